@@ -86,24 +86,47 @@ def wrap_turn(angle: Column) -> Column:
     return F.pmod(angle + math.pi, F.lit(2 * math.pi)) - math.pi
 
 
-def plane_basis(normal: Vec, reference: Vec | None = None) -> tuple[Vec, Vec, Vec]:
-    """In-plane axes (u, v) and unit normal; the first usable reference axis gives u."""
-    n = normalize(normal, lits(DEFAULT_NORMAL))
-    tries = [reference or lits((1, 0, 0)), lits((0, 0, 1)), lits((0, 1, 0))]
-    flat = [onto_plane(t, n) for t in tries]
-    usable = [length(f) >= PARALLEL_LENGTH for f in flat]
-    raw = tuple(
-        F.when(usable[0], flat[0][i]).when(usable[1], flat[1][i]).otherwise(flat[2][i]) for i in range(3)
-    )
-    u = normalize(raw, lits((1, 0, 0)))
-    v = normalize(cross(n, u), lits((0, 0, 1)))
-    return normalize(cross(v, n), u), v, n
+def fixed_basis(normal: Sequence[float], reference: Sequence[float] = (1, 0, 0)) -> Column:
+    """Table frame STRUCT<u,v,n> of a known normal, worked out once on the driver."""
+
+    def unit(a, fallback):
+        size = math.sqrt(sum(c * c for c in a))
+        return tuple(fallback) if size < ZERO_LENGTH else tuple(c / size for c in a)
+
+    def by(a, b):
+        return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+    n = unit(normal, DEFAULT_NORMAL)
+    for axis in (reference, (0, 0, 1), (0, 1, 0)):
+        k = sum(p * q for p, q in zip(axis, n))
+        u = tuple(p - k * q for p, q in zip(axis, n))
+        if math.sqrt(sum(c * c for c in u)) >= PARALLEL_LENGTH:
+            break
+    u = unit(u, (1, 0, 0))
+    v = unit(by(n, u), (0, 0, 1))
+    return F.struct(pack(lits(unit(by(v, n), u))).alias("u"), pack(lits(v)).alias("v"), pack(lits(n)).alias("n"))
 
 
-def stored_basis(normal: Vec) -> Column:
-    """The basis as STRUCT<u,v,n>, to compute it once per normal and then reuse it."""
-    u, v, n = plane_basis(normal)
-    return F.struct(pack(u).alias("u"), pack(v).alias("v"), pack(n).alias("n"))
+def with_basis(df, normal: Column, out: str = "basis", reference: Sequence[float] = (1, 0, 0)):
+    """Adds the table frame STRUCT<u,v,n> of a normal column.
+
+    The first usable reference axis gives u.  Each step is its own column, so that no
+    vector is spelled out more than once in the plan.
+    """
+    col = lambda name: parts(F.col(name))
+    df = df.withColumn("_bn", pack(normalize(parts(normal), lits(DEFAULT_NORMAL))))
+    for i, axis in enumerate((reference, (0, 0, 1), (0, 1, 0))):
+        df = df.withColumn(f"_f{i}", pack(onto_plane(lits(axis), col("_bn"))))
+    usable = [length(col(f"_f{i}")) >= PARALLEL_LENGTH for i in range(2)]
+    df = df.withColumn("_bu", F.when(usable[0], F.col("_f0")).when(usable[1], F.col("_f1")).otherwise(F.col("_f2")))
+    df = df.withColumn("_bu", pack(normalize(col("_bu"), lits((1, 0, 0)))))
+    df = df.withColumn("_bv", pack(cross(col("_bn"), col("_bu"))))
+    df = df.withColumn("_bv", pack(normalize(col("_bv"), lits((0, 0, 1)))))
+    df = df.withColumn("_bw", pack(cross(col("_bv"), col("_bn"))))
+    df = df.withColumn("_bu", pack(normalize(col("_bw"), col("_bu"))))
+    return df.withColumn(out, F.struct(F.col("_bu").alias("u"), F.col("_bv").alias("v"), F.col("_bn").alias("n"))).drop(
+        "_bn", "_f0", "_f1", "_f2", "_bu", "_bv", "_bw"
+    )
 
 
 def turned_axes(u: Vec, v: Vec, yaw: Column) -> tuple[Vec, Vec]:

@@ -252,15 +252,15 @@ def table_obb(
     gives the yaw, then extremes along the turned axes give centre and extent.
     """
     keys = list(keys)
-    n = vec.parts(normal) if isinstance(normal, str) else vec.lits(normal)
-    p = tuple(F.col(c) for c in xyz)
-    frame = [] if not isinstance(normal, str) else ["_basis"]
-    basis = vec.stored_basis(n)
     force = F.lit(force_yaw_zero) if isinstance(force_yaw_zero, bool) else force_yaw_zero
-    src = points.select(*keys, *[c.alias(f"_{a}") for c, a in zip(p, "xyz")], basis.alias("_basis"), force.alias("_flat"))
+    given = [F.col(normal).alias("_normal")] if isinstance(normal, str) else []
+    src = points.select(*keys, *[F.col(c).alias(f"_{a}") for c, a in zip(xyz, "xyz")], *given, force.alias("_flat"))
+    if given:
+        src = vec.with_basis(src, F.col("_normal"), "_basis")
+    else:
+        src = src.withColumn("_basis", vec.fixed_basis(normal))
     p = (F.col("_x"), F.col("_y"), F.col("_z"))
-    axes = lambda: tuple(vec.parts(F.col("_basis")[k]) for k in ("u", "v", "n"))
-    u, v, w = axes()
+    u, v, w = (vec.parts(F.col("_basis")[k]) for k in ("u", "v", "n"))
     planar = src.withColumns({"_pu": vec.dot(p, u), "_pv": vec.dot(p, v), "_pn": vec.dot(p, w)})
     shape = planar.groupBy(*keys).agg(
         F.count("*").alias("point_count"),

@@ -44,14 +44,13 @@ def _write_text_files(rows: DataFrame, root: str, file: str, text: str, order: S
             yield close()
 
     placed = rows.select(file, text, *[c for c in order if c not in (file, text)])
-    done = placed.repartition(file).sortWithinPartitions(file, *order).mapInPandas(run, f"{file} STRING, lines BIGINT".replace(file, "file", 1))
+    done = placed.repartition(file).sortWithinPartitions(file, *order).mapInPandas(run, "file STRING, lines BIGINT")
     return settle(done)
 
 
-def labelme_document(shapes: Column | str = "shapes") -> Column:
+def labelme_document() -> Column:
     """JSON text of an annotation document from its fields."""
     names = ["version", "flags", "shapes", "imagePath", "imageData", "imageHeight", "imageWidth"]
-    del shapes
     return F.to_json(F.struct(*[F.col(n) for n in names]), {"ignoreNullFields": "false"})
 
 
