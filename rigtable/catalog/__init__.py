@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("geometry", "labels")
+MODULES = ("geometry", "labels", "tracking")
 
 
 def _collect(attr: str) -> dict:

@@ -55,7 +55,7 @@ def _(spark, d):
     return both.groupBy("occluder", "label").agg(F.count("*").alias("n"))
 
 
-@query("P3_normalize_polygon", sql([*SIZED, CLASS_ROWS], f"""SELECT stem, line_no, class_id || ' ' || list_aggregate(list_transform(points, p ->
+@query("P3_normalize_polygon", sql([*SIZED, CLASS_ROWS], f"""SELECT stem, line_no, class_id || ' ' || list_aggregate(list_transform(points, lambda p:
   printf('%.6f %.6f', greatest(0e0, least(1e0, p[1] / width)), greatest(0e0, least(1e0, p[2] / height)))), 'string_agg', ' ') AS line
   FROM shapes JOIN images USING (stem) JOIN classes ON name = trim(label) WHERE {VALID} AND width > 0"""))
 def _(spark, d):

@@ -35,7 +35,7 @@ def clean_label(label: Column) -> Column:
 
 def name_list(value: Column) -> Column:
     """Comma list to trimmed, non-empty names."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), F.trim), lambda n: n != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda n: F.trim(n)), lambda n: n != "")
 
 
 def parse_names(value: str | None) -> list[str]:
@@ -50,6 +50,26 @@ def rounded(col: Column, digits: int) -> Column:
     return F.bround(col, digits)
 
 
+def fixed6(value: Column) -> Column:
+    """Six-digit text of a value in [0, 1], ties judged on the exact binary value.
+
+    Twice the millionths are formed with their rounding error (a split product), so a
+    value a hair above or below a tie goes the right way and true ties go to even.
+    """
+    scale = 2_000_000.0
+    split = 134_217_729.0
+    high_c = scale * split - (scale * split - scale)
+    low_c = scale - high_c
+    twice = value * scale
+    big = value * split
+    high = big - (big - value)
+    low = value - high
+    err = ((high * high_c - twice) + high * low_c + low * high_c) + low * low_c
+    odd = twice % 2 == 1
+    n = F.when(odd & (err > 0), (twice + 1) / 2).when(odd & (err < 0), (twice - 1) / 2).otherwise(F.rint(twice / 2)).cast("long")
+    return F.format_string("%d.%06d", F.floor(n / 1_000_000), n % 1_000_000)
+
+
 def age_s(now: Column, ts: Column) -> Column:
     return (F.unix_micros(now) - F.unix_micros(ts)) / 1e6
 

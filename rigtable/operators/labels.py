@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigtable.functions.text import clean_label, tagged_stem
+from rigtable.functions.text import clean_label, fixed6, tagged_stem
 from rigtable.scale import running
 from rigtable.session import settle
 
@@ -54,7 +54,7 @@ def split_occluders(shapes: DataFrame, label: str = "label") -> tuple[DataFrame,
 def normalize_polygon(points: Column | str, width: Column | str, height: Column | str) -> Column:
     """``x y x y ...`` text: divided by the image size, clamped to [0, 1], six digits."""
     def unit(v: Column, size: Column) -> Column:
-        return F.format_string("%.6f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / size)))
+        return fixed6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / size)))
 
     w, h = _col(width), _col(height)
     return F.array_join(F.transform(_col(points), lambda p: F.concat_ws(" ", unit(p[0], w), unit(p[1], h))), " ")

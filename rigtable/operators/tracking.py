@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -287,68 +288,75 @@ def frame_records(tracked: DataFrame, stable_only: bool = False) -> DataFrame:
 
 # --- multi-object tracker --------------------------------------------------------
 
-TRACKED_EXTRA = (
-    "track_no BIGINT, hits INT, confidence_mean DOUBLE, "
-    "center_filtered STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>, extent_filtered STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>, "
+# Flat result columns of a tracked detection, in the order a book reports them.
+REPORT = (
+    "track_no BIGINT, hits INT, confidence_mean DOUBLE, fcx DOUBLE, fcy DOUBLE, fcz DOUBLE, fex DOUBLE, fey DOUBLE, fez DOUBLE, "
     "yaw_filtered_deg DOUBLE, position_std_m DOUBLE, yaw_std_deg DOUBLE, track_reliable BOOLEAN, stable BOOLEAN"
 )
+REPORT_NAMES = [part.split()[0] for part in REPORT.split(", ")]
+
+
+def _median(values: list[float]) -> float:
+    s = sorted(values)
+    n = len(s)
+    return s[n // 2] if n % 2 else (s[n // 2 - 1] + s[n // 2]) / 2
+
+
+def _variance(values: list[float]) -> float:
+    mean = sum(values) / len(values)
+    return sum((v - mean) ** 2 for v in values) / len(values)
 
 
 class TrackBook:
-    """Live tracks of one object class in one session, as arrays of bounded windows.
+    """Live tracks of one object class in one session.
 
     The book is the whole state of the recurrence: its size depends on how many objects
-    are in view and the window, never on how long the session runs.
+    are in view and on the window, never on how long the session runs.  A sample is
+    (x, y, z, ex, ey, ez, yaw, confidence, reliable).
     """
 
     def __init__(self, cfg: TrackerConfig, next_no: int = 0, tracks: list[dict] | None = None):
         self.cfg, self.next_no, self.tracks = cfg, next_no, tracks or []
 
-    def frame(self, index: int, rows: list[tuple]) -> list[tuple]:
-        """One frame of (center, extent, yaw, confidence, reliable, in_workspace) rows, in input order."""
+    def frame(self, index: int, samples: list[tuple], inside: list[bool]) -> list[tuple]:
+        """Reports for the samples of one frame, in input order."""
         cfg = self.cfg
         self.tracks = [t for t in self.tracks if index - t["last"] - 1 <= cfg.max_misses]
-        free = list(range(len(self.tracks)))
-        mids = np.array([np.median([s[0] for s in t["win"]], axis=0) for t in self.tracks]).reshape(-1, 3)
+        free = list(self.tracks)
         out = []
-        for row in rows:
-            choice = None
-            if free:
-                gaps = np.sqrt(((mids[free] - row[0]) ** 2).sum(axis=1))
-                near = gaps.min()
-                if near <= cfg.assoc_max_dist_m:
-                    # equal distances go to the newest track
-                    choice = free[int(np.flatnonzero(gaps == near)[-1])]
+        for sample, in_workspace in zip(samples, inside):
+            choice, reach = None, cfg.assoc_max_dist_m
+            for t in free:
+                gap = math.dist(t["mid"], sample[:3])
+                if gap <= reach:  # equal distances go to the newest track
+                    choice, reach = t, gap
             if choice is None:
-                track = {"no": self.next_no, "win": [], "last": index, "streak": 0, "on": False}
+                choice = {"no": self.next_no, "win": [], "streak": 0, "on": False}
                 self.next_no += 1
-                self.tracks.append(track)
+                self.tracks.append(choice)
             else:
-                track = self.tracks[choice]
-                free.remove(choice)
-            track["win"] = (track["win"] + [row[:5]])[-cfg.window_size :]
-            track["last"] = index
-            out.append(self._report(track, row[5]))
+                free = [t for t in free if t is not choice]
+            choice["win"] = (choice["win"] + [sample])[-cfg.window_size :]
+            choice["last"] = index
+            choice["mid"] = [_median([s[i] for s in choice["win"]]) for i in range(3)]
+            out.append(self._report(choice, in_workspace))
         return out
 
     def _report(self, track: dict, in_workspace: bool) -> tuple:
         cfg, win = self.cfg, track["win"]
-        centers = np.array([s[0] for s in win])
-        twice = np.radians(2.0 * np.array([s[2] for s in win]))
-        s, c = np.sin(twice).mean(), np.cos(twice).mean()
-        size = min(1.0, float(np.hypot(s, c)))
-        if len(win) < 2:
-            yaw_std = pos_std = 0.0
-        else:
-            pos_std = float(np.sqrt((centers.std(axis=0) ** 2).sum()))
-            yaw_std = 90.0 if size <= 1e-9 else abs(float(np.degrees(np.sqrt(-2.0 * np.log(size))) / 2))
-        conf = float(np.mean([s[3] for s in win]))
-        reliable = bool(np.mean([s[4] for s in win]) >= 0.5)
+        n = len(win)
+        twice = [math.radians(2.0 * s[6]) for s in win]
+        s, c = sum(map(math.sin, twice)) / n, sum(map(math.cos, twice)) / n
+        pos_std = math.sqrt(sum(_variance([w[i] for w in win]) for i in range(3)))
+        size = min(1.0, math.hypot(s, c))
+        yaw_std = 0.0 if n < 2 else 90.0 if size <= 1e-9 else abs(math.degrees(math.sqrt(-2.0 * math.log(size))) / 2)
+        conf = sum(w[7] for w in win) / n
+        reliable = sum(w[8] for w in win) / n >= 0.5
 
         def fits(slack: float, margin: float) -> bool:
-            return bool(
+            return (
                 in_workspace
-                and len(win) >= cfg.min_hits
+                and n >= cfg.min_hits
                 and pos_std <= cfg.max_position_std_m * slack
                 and (not reliable or yaw_std <= cfg.max_yaw_std_deg * slack)
                 and conf >= cfg.min_confidence - margin
@@ -360,27 +368,18 @@ class TrackBook:
         else:
             track["streak"] = track["streak"] + 1 if fits(1.0, 0.0) else 0
             track["on"] = track["streak"] >= cfg.stable_enter_frames
-        yaw = float(np.degrees(np.arctan2(s, c)) / 2) if reliable else 0.0
-        xyz = lambda v: dict(zip("xyz", map(float, v)))
-        return (
-            track["no"], len(win), conf, xyz(np.median(centers, axis=0)), xyz(np.median([s[1] for s in win], axis=0)),
-            yaw, pos_std, yaw_std, reliable, track["on"],
-        )
-
-
-TRACKED_NAMES = [part.split()[0] for part in (
-    "track_no", "hits", "confidence_mean", "center_filtered", "extent_filtered",
-    "yaw_filtered_deg", "position_std_m", "yaw_std_deg", "track_reliable", "stable",
-)]
-
-
-def detection_rows(part: pd.DataFrame) -> list[tuple]:
-    vecs = [np.array([[v["x"], v["y"], v["z"]] for v in part[c]], dtype=float) for c in ("center", "extent")]
-    flags = part["in_workspace"]
-    inside = np.where(flags.isna(), True, flags).astype(bool)
-    return list(
-        zip(vecs[0], vecs[1], part["yaw_deg"].astype(float), part["confidence"].astype(float), part["yaw_reliable"].fillna(False).astype(bool), inside)
-    )
+        yaw = math.degrees(math.atan2(s, c)) / 2 if reliable else 0.0
+        size_mid = [_median([w[i] for w in win]) for i in range(3, 6)]
+        return (track["no"], n, conf, *track["mid"], *size_mid, yaw, pos_std, yaw_std, reliable, track["on"])
+
+
+# What the fold reads of a detection, flat so that Arrow hands over plain arrays.
+SAMPLE = {
+    **{f"_c{a}": f"center.{a}" for a in "xyz"},
+    **{f"_e{a}": f"extent.{a}" for a in "xyz"},
+    "_yaw": "yaw_deg",
+    "_conf": "confidence",
+}
 
 
 def track(dets: DataFrame, cfg: TrackerConfig = TrackerConfig(), session: str = "session_id", frame_block: int = 10_000) -> DataFrame:
@@ -397,56 +396,69 @@ def track(dets: DataFrame, cfg: TrackerConfig = TrackerConfig(), session: str =
     gap = running(located, key, block, order, {"_prev": ("last", F.col("frame_index"))}, exclusive=True)
     fresh = F.col("_prev").isNull() | (F.col("frame_index") - F.col("_prev") - 1 > cfg.max_misses)
     pieces = running(gap.withColumn("_new", fresh.cast("int")), key, block, order, {"_piece": ("sum", F.col("_new"))}).drop("_prev", "_new")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", " + TRACKED_EXTRA
-
-    tracked = _fold_frames(pieces, key + ["_piece"], schema, cfg)
+    flat = pieces.withColumns({n: F.col(c).cast("double") for n, c in SAMPLE.items()}).withColumns(
+        {"_rel": F.coalesce("yaw_reliable", F.lit(False)), "_in": F.coalesce("in_workspace", F.lit(True))}
+    )
+    tracked = _fold_frames(flat, key + ["_piece"], cfg)
+    tracked = tracked.drop(*SAMPLE, "_rel", "_in")
     creators = tracked.groupBy(*key, "_piece", "track_no").agg(F.min(F.struct("frame_index", "det_idx")).alias("_f"))
     ids = number_rows(
         creators.withColumns({"_ff": F.col("_f.frame_index"), "_fd": F.col("_f.det_idx")}),
         [session], F.floor(F.col("_ff") / frame_block), [F.col("_ff"), F.col("_fd")], "_no",
-    ).select(*key, "_piece", "track_no", (F.col("_no") - 1).alias("track_id"))
+    ).select(*key, "_piece", "track_no", (F.col("_no") - 1).alias("track_id"))
     return (
-        tracked.join(ids, key + ["_piece", "track_no"])
+        nest_report(tracked).join(ids, key + ["_piece", "track_no"])
         .drop("_piece", "track_no")
         .withColumn("yaw_filtered_rad", F.radians("yaw_filtered_deg"))
+    )
+
+
+def nest_report(df: DataFrame) -> DataFrame:
+    point = lambda p: vec.pack(tuple(F.col(f"{p}{a}") for a in "xyz"))
+    return df.withColumns({"center_filtered": point("fc"), "extent_filtered": point("fe")}).drop(
+        *[f"{p}{a}" for p in ("fc", "fe") for a in "xyz"]
     )
 
 
-def _fold_frames(pieces: DataFrame, keys: Sequence[str], schema: str, cfg: TrackerConfig) -> DataFrame:
+def _fold_frames(pieces: DataFrame, keys: Sequence[str], cfg: TrackerConfig) -> DataFrame:
     """Plays sorted rows through a book; the last frame of a batch waits for its remaining rows."""
     keys = list(keys)
+    marks_of = keys + ["frame_index"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", " + REPORT
 
     def run(batches):
         book, current, held = None, None, None
 
-        def play(part: pd.DataFrame) -> pd.DataFrame:
+        def play(data: pd.DataFrame, marks: np.ndarray) -> pd.DataFrame:
+            nonlocal book, current
+            heads = list(zip(*[data[k] for k in keys]))
+            samples = list(zip(*[data[c].tolist() for c in (*SAMPLE, "_rel")]))
+            inside, frames = data["_in"].tolist(), data["frame_index"].tolist()
+            starts = np.flatnonzero(marks).tolist() + [len(data)]
             done = []
-            for index, rows in part.groupby("frame_index", sort=False):
-                done += book.frame(int(index), detection_rows(rows))
-            extra = pd.DataFrame(done, columns=TRACKED_NAMES, index=part.index)
-            return pd.concat([part, extra], axis=1)
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                if heads[lo] != current:
+                    current, book = heads[lo], TrackBook(cfg)
+                done += book.frame(frames[lo], samples[lo:hi], inside[lo:hi])
+            return pd.concat([data.reset_index(drop=True), pd.DataFrame(done, columns=REPORT_NAMES)], axis=1)
 
         for batch in batches:
             if not len(batch):
                 continue
             data = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            marks = data[keys + ["frame_index"]].ne(data[keys + ["frame_index"]].shift()).any(axis=1).to_numpy()
+            marks = data[marks_of].ne(data[marks_of].shift()).any(axis=1).to_numpy()
             marks[0] = True
             last = int(np.flatnonzero(marks)[-1])
-            held, data = data.iloc[last:], data.iloc[:last]
-            for key, part in data.groupby(keys, sort=False):
-                if key != current:
-                    current, book = key, TrackBook(cfg)
-                yield play(part)
+            held = data.iloc[last:]
+            if last:
+                yield play(data.iloc[:last], marks[:last])
         if held is not None:
-            for key, part in held.groupby(keys, sort=False):
-                if key != current:
-                    current, book = key, TrackBook(cfg)
-                yield play(part)
+            marks = np.zeros(len(held), dtype=bool)
+            marks[0] = True
+            yield play(held, marks)
 
     return (
         pieces.repartition(*keys)
         .sortWithinPartitions(*keys, "frame_index", "det_idx")
         .mapInPandas(run, schema)
-    )
-
+    )

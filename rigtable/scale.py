@@ -262,14 +262,17 @@ def ordered_fold(
             marks = batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy()
             marks[0] = True
             bounds = [i for i, m in enumerate(marks) if m] + [len(batch)]
+            heads = list(zip(*[batch[k] for k in keys]))
+            outs = []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                part = batch.iloc[lo:hi]
-                key = tuple(part.iloc[0][k] for k in keys)
+                key = heads[lo]
                 if current is None or key != current:
                     current, state = key, start(key)
-                state, out = step(state, part)
+                state, out = step(state, batch.iloc[lo:hi])
                 if len(out):
-                    yield out
+                    outs.append(out)
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
 
     return (
         df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

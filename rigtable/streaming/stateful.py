@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rigtable.operators.tracking import TRACKED_NAMES, TrackBook, TrackerConfig
+from rigtable.operators.tracking import REPORT, REPORT_NAMES, TrackBook, TrackerConfig, nest_report
 
 Handler = Callable[[tuple, pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
 
@@ -69,10 +69,8 @@ def _split_fields(schema: str) -> list[str]:
 TRACKED_STREAM = (
     "session_id STRING, frame_index BIGINT, ts TIMESTAMP, det_idx INT, class_name STRING, confidence DOUBLE, "
     "center STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>, extent STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>, yaw_deg DOUBLE, "
-    "point_count INT, in_workspace BOOLEAN, yaw_reliable BOOLEAN, track_id BIGINT, hits INT, confidence_mean DOUBLE, "
-    "center_filtered STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>, extent_filtered STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>, "
-    "yaw_filtered_deg DOUBLE, position_std_m DOUBLE, yaw_std_deg DOUBLE, track_reliable BOOLEAN, stable BOOLEAN"
-)
+    "point_count INT, in_workspace BOOLEAN, yaw_reliable BOOLEAN, track_id BIGINT, "
+) + REPORT.split(", ", 1)[1]
 
 
 def track_stream(frames: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_s: float | None = None) -> DataFrame:
@@ -83,52 +81,45 @@ def track_stream(frames: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_s
 
     def handle(key: tuple, rows: pd.DataFrame, memory: dict | None) -> tuple[pd.DataFrame, dict]:
         memory = memory or {"next_id": 0, "last": None, "books": {}}
-        books = {c: _load_book(cfg, b) for c, b in memory["books"].items()}
+        books = {c: TrackBook(cfg, b["next_no"], b["tracks"]) for c, b in memory["books"].items()}
         out = []
         for row in rows.itertuples(index=False):
-            if memory["last"] is not None and row.frame_index <= memory["last"]:
+            index = int(row.frame_index)
+            if memory["last"] is not None and index <= memory["last"]:
                 continue
-            memory["last"] = int(row.frame_index)
+            memory["last"] = index
             dets = [(i, d) for i, d in enumerate(row.detections if row.detections is not None else []) if d["center"] is not None]
             told: dict[int, tuple] = {}
             for name in dict.fromkeys(d["class_name"] for _, d in dets):
                 book = books.setdefault(name, TrackBook(cfg))
                 mine = [(i, d) for i, d in dets if d["class_name"] == name]
-                told.update({i: (book, r) for (i, _), r in zip(mine, book.frame(int(row.frame_index), [_entry(d) for _, d in mine]))})
+                inside = [d["in_workspace"] is None or bool(d["in_workspace"]) for _, d in mine]
+                told.update(zip([i for i, _ in mine], book.frame(index, [_sample(d) for _, d in mine], inside)))
             for i, d in dets:
-                book, report = told[i]
-                track = next(t for t in book.tracks if t["no"] == report[0])
+                report = told[i]
+                track = next(t for t in books[d["class_name"]].tracks if t["no"] == report[0])
                 if "id" not in track:
                     track["id"] = memory["next_id"]
                     memory["next_id"] += 1
                 out.append((*key, row.frame_index, row.ts, i, *[d[c] for c in _RAW], track["id"], *report[1:]))
         memory["books"] = {
-            c: _save_book(b) for c, b in books.items()
+            c: {"next_no": b.next_no, "tracks": b.tracks}
+            for c, b in books.items()
             if any(memory["last"] - t["last"] <= cfg.max_misses for t in b.tracks)
-        }
+        }
         return pd.DataFrame(out, columns=_STREAM_COLUMNS), memory
 
-    return keyed(frames, ["session_id"], ["frame_index", "ts"], TRACKED_STREAM, handle, idle_s)
+    return nest_report(keyed(frames, ["session_id"], ["frame_index", "ts"], TRACKED_STREAM, handle, idle_s))
 
 
 _RAW = ["class_name", "confidence", "center", "extent", "yaw_deg", "point_count", "in_workspace", "yaw_reliable"]
-_STREAM_COLUMNS = ["session_id", "frame_index", "ts", "det_idx", *_RAW, "track_id", *TRACKED_NAMES[1:]]
+_STREAM_COLUMNS = ["session_id", "frame_index", "ts", "det_idx", *_RAW, "track_id", *REPORT_NAMES[1:]]
 
 
-def _entry(d: dict) -> tuple:
-    xyz = lambda v: np.array([v["x"], v["y"], v["z"]], dtype=float)
-    inside = True if d["in_workspace"] is None else bool(d["in_workspace"])
-    return xyz(d["center"]), xyz(d["extent"]), float(d["yaw_deg"]), float(d["confidence"]), bool(d["yaw_reliable"]), inside
-
-
-def _save_book(book: TrackBook) -> dict:
-    tracks = [{**t, "win": [[s[0].tolist(), s[1].tolist(), *s[2:]] for s in t["win"]]} for t in book.tracks]
-    return {"next_no": book.next_no, "tracks": tracks}
-
-
-def _load_book(cfg: TrackerConfig, saved: dict) -> TrackBook:
-    tracks = [{**t, "win": [(np.array(s[0]), np.array(s[1]), *s[2:]) for s in t["win"]]} for t in saved["tracks"]]
-    return TrackBook(cfg, saved["next_no"], tracks)
+def _sample(d: dict) -> tuple:
+    c, e = d["center"], d["extent"]
+    numbers = (c["x"], c["y"], c["z"], e["x"], e["y"], e["z"], d["yaw_deg"], d["confidence"])
+    return (*map(float, numbers), bool(d["yaw_reliable"]))
 
 
 # --- last known values --------------------------------------------------------------
@@ -189,22 +180,27 @@ def fresh_stream(messages: DataFrame, ttl_s: float = 1.0, key: str = "topic", ts
     """
     schema = f"{key} STRING, {ts} TIMESTAMP, in_view BOOLEAN"
 
+    ttl = int(ttl_s * 1e6)
+
+    def table(rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[key, ts, "in_view"])
+        out[ts] = out[ts].astype("int64").to_numpy().astype("datetime64[us]")
+        return out
+
     def handle(k: tuple, rows: pd.DataFrame, memory: dict | None) -> tuple[pd.DataFrame, dict]:
         memory = memory or {"on": False, "at": None}
         out = []
-        for t, n in zip(rows[ts], rows["n_detections"]):
-            at = t.timestamp()
-            if memory["on"] and at - memory["at"] > ttl_s:
-                out.append((*k, pd.Timestamp(memory["at"] + ttl_s, unit="s"), False))
+        for t, n in zip(rows[ts].astype("datetime64[us]").astype("int64"), rows["n_detections"]):
+            if memory["on"] and t - memory["at"] > ttl:
+                out.append((*k, memory["at"] + ttl, False))
                 memory["on"] = False
             if (n > 0) != memory["on"]:
                 memory["on"] = bool(n > 0)
-                out.append((*k, t, memory["on"]))
-            memory["at"] = at
-        return pd.DataFrame(out, columns=[key, ts, "in_view"]), memory
+                out.append((*k, int(t), memory["on"]))
+            memory["at"] = int(t)
+        return table(out), memory
 
     def expire(k: tuple, memory: dict) -> pd.DataFrame:
-        rows = [(*k, pd.Timestamp(memory["at"] + ttl_s, unit="s"), False)] if memory["on"] else []
-        return pd.DataFrame(rows, columns=[key, ts, "in_view"])
+        return table([(*k, memory["at"] + ttl, False)] if memory["on"] else [])
 
     return keyed(messages, [key], [ts], schema, handle, ttl_s, expire, ts)
