@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("geometry", "labels", "tracking", "views", "robot")
+MODULES = ("geometry", "labels", "tracking", "views", "robot", "models")
 
 
 def _collect(attr: str) -> dict:

@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 # --- vectors and rotations ------------------------------------------------------------
 
 
-@query("F3_vector_helpers", f"""SELECT o_orderkey, {rs('x / n')} AS ux, {rs('y / n')} AS uy, {rs('x - (x + y + z) / 3')} AS px, {rs('y * 3 - z * 2', 4)} AS cx FROM
+@query("F3_vector_helpers", f"""SELECT o_orderkey, {rs('x / n')} AS ux, {rs('y / n')} AS uy, {rs('x - (x + y + z) / 3', 9)} AS px, {rs('y * 3 - z * 2', 9)} AS cx FROM
   (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM (SELECT o_orderkey, o_custkey % 7 + 1e0 AS x, o_custkey % 5 - 2e0 AS y, o_totalprice / 1e5 AS z FROM orders))""")
 def _(spark, d):
     p = ((F.col("o_custkey") % 7) + 1.0, (F.col("o_custkey") % 5) - 2.0, F.col("o_totalprice") / 1e5)
@@ -36,7 +36,7 @@ def _(spark, d):
     third = 3**-0.5
     flat = vec.onto_plane(p, vec.lits((third, third, third)))
     c = vec.cross(p, vec.lits((1, 2, 3)))
-    return table(spark, d, "orders").select("o_orderkey", r(u[0]).alias("ux"), r(u[1]).alias("uy"), r(flat[0]).alias("px"), r(c[0], 4).alias("cx"))
+    return table(spark, d, "orders").select("o_orderkey", r(u[0]).alias("ux"), r(u[1]).alias("uy"), r(flat[0], 9).alias("px"), r(c[0], 9).alias("cx"))
 
 
 @query("F4_wrap_half_turn", f"SELECT l_orderkey, l_linenumber, {rs('a - pi() * floor((a + pi() / 2) / pi())')} AS w FROM (SELECT l_orderkey, l_linenumber, l_quantity - 2 * l_linenumber * l_quantity AS a FROM lineitem)")
@@ -163,17 +163,17 @@ def _(spark, d):
     return types.join(fixed, "p_type", "left").filter(made["r"].between(0, 255)).select("p_type", "r")
 
 
-@query("F21_age", sql(DETS, f"SELECT det_idx, {rs('(1706745600000000 - ts_us) / 1e6', 3)} AS age_s FROM dets"))
+@query("F21_age", sql(DETS, f"SELECT det_idx, {rs('(1706745600000000 - ts_us) / 1e6', 6)} AS age_s FROM dets"))
 def _(spark, d):
     now = tx.stamp_from_ms(F.lit(1_706_745_600_000))
-    return detections(spark, d).select("det_idx", r(tx.age_s(now, F.col("ts")), 3).alias("age_s"))
+    return detections(spark, d).select("det_idx", r(tx.age_s(now, F.col("ts")), 6).alias("age_s"))
 
 
-@query("F22_approach_targets", sql(DETS, f"""SELECT det_idx, phase, {rs('cx + cos(atan2(cy, cx)) * dx', 5)} AS px, {rs('cy + sin(atan2(cy, cx)) * dx', 5)} AS py, {rs('cz + h', 5)} AS pz,
+@query("F22_approach_targets", sql(DETS, f"""SELECT det_idx, phase, {rs('cx + cos(atan2(cy, cx)) * dx', 8)} AS px, {rs('cy + sin(atan2(cy, cx)) * dx', 8)} AS py, {rs('cz + h', 8)} AS pz,
   {rs('cos(atan2(cy, cx) / 2) * qx - sin(atan2(cy, cx) / 2) * qy', 5)} AS qx FROM dets, (VALUES ('prehover', -1e-1, 2e-1, 862e-3, 36e-3), ('hover', 0e0, 1e-1, 934e-3, 6e-3)) t(phase, dx, h, qx, qy)"""))
 def _(spark, d):
     t = rb.approach_targets(detections(spark, d).select("det_idx", "center"))
-    return t.select("det_idx", "phase", *[r(F.col("position")[a], 5).alias(f"p{a}") for a in "xyz"], r(F.col("orientation.x"), 5).alias("qx"))
+    return t.select("det_idx", "phase", *[r(F.col("position")[a], 8).alias(f"p{a}") for a in "xyz"], r(F.col("orientation.x"), 5).alias("qx"))
 
 
 @query("P19_collision_primitive", sql(DETS, f"""SELECT det_idx, CASE class_name WHEN 'cork' THEN 'cylinder' WHEN 'pompom' THEN 'sphere' ELSE 'box' END AS kind,
@@ -230,7 +230,7 @@ def _(spark, d):
     return rb.motion_lock(det, ["session_id"], BY_TIME, day()).select("session_id", "det_idx", "still")
 
 
-@query("T7_joint_stream", sql(DETS, f"""SELECT CAST(session_id AS VARCHAR) AS robot_id, count(*) AS n, {rs('sum(greatest(0, least(45e-3, k / 40e0 / 5 * 45e-3)))', 4)} AS position FROM dets, range(2) GROUP BY 1"""))
+@query("T7_joint_stream", sql(DETS, f"""SELECT CAST(session_id AS VARCHAR) AS robot_id, count(*) AS n, {rs('sum(greatest(0, least(45e-3, k / 40e0 / 5 * 45e-3)))', 8)} AS position FROM dets, range(2) GROUP BY 1"""))
 def _(spark, d):
     from rigtable.catalog.tracking import stream_detections
     from rigtable.streaming.run import drain
@@ -239,7 +239,7 @@ def _(spark, d):
         F.col("session_id").cast("string").alias("robot_id"), "ts", (F.col("k") / -40.0).alias("position"), F.lit(0.1).alias("velocity"), F.lit(0.0).alias("torque")
     )
     out = drain(rb.gripper_joints(motor))
-    return out.groupBy("robot_id").agg(F.count("*").alias("n"), r(F.sum("position"), 4).alias("position"))
+    return out.groupBy("robot_id").agg(F.count("*").alias("n"), r(F.sum("position"), 8).alias("position"))
 
 
 @query("T8_tracking_error", sql(DETS, f"""SELECT goal_id, {rs('CASE WHEN k / 50e0 >= 1 THEN value ELSE k + (value - k) * (k / 50e0) END - value / 2', 5)} AS error, {rs('0 - k / 10e0', 5)} AS velocity_error FROM (SELECT *, det_idx AS goal_id FROM dets)"""))

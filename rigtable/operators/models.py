@@ -128,7 +128,7 @@ def evaluate(
     curve = running(hits, keys, band, order, {"ctp": ("sum", F.col("tp")), "cn": ("count", F.lit(1))})
     curve = curve.withColumn("prec", F.col("ctp") / F.col("cn"))
     # Interpolation looks ahead: the best precision from here to the lowest score.
-    back = running(curve, keys, -band, [F.col("score"), -F.col("pred_id")], {"best": ("max", F.col("prec"))})
+    back = running(curve, keys, -band, [-F.col("cn")], {"best": ("max", F.col("prec"))})
     positives = truth.groupBy("class_name").agg(F.count("*").alias("n_pos"))
     area = (
         back.groupBy(*keys).agg(F.sum(F.col("tp") * F.col("best")).alias("_a"))

@@ -138,8 +138,8 @@ def least_motion(cands: DataFrame, by: Sequence[str], wrap_joints: Sequence[int]
     pairs = F.transform(
         F.arrays_zip(F.col("_seed").alias("s"), F.col("target").alias("t")),
         lambda p, i: F.struct(
-            p["_seed"].alias("s"),
-            F.when(is_wrap(i), arm.wrap_near(p["target"], p["_seed"])).otherwise(p["target"]).alias("t"),
+            p["s"].alias("s"),
+            F.when(is_wrap(i), arm.wrap_near(p["t"], p["s"])).otherwise(p["t"]).alias("t"),
             is_wrap(i).alias("w"),
         ),
     )
