@@ -110,23 +110,33 @@ def fixed_basis(normal: Sequence[float], reference: Sequence[float] = (1, 0, 0))
 def with_basis(df, normal: Column, out: str = "basis", reference: Sequence[float] = (1, 0, 0)):
     """Adds the table frame STRUCT<u,v,n> of a normal column.
 
-    The first usable reference axis gives u.  Each step is its own column, so that no
-    vector is spelled out more than once in the plan.
+    The first usable reference axis gives u.  Vectors are bound one after another, so none
+    is spelled out twice in the plan.  Meant for one row per normal; join the result to
+    points.
     """
-    col = lambda name: parts(F.col(name))
-    df = df.withColumn("_bn", pack(normalize(parts(normal), lits(DEFAULT_NORMAL))))
-    for i, axis in enumerate((reference, (0, 0, 1), (0, 1, 0))):
-        df = df.withColumn(f"_f{i}", pack(onto_plane(lits(axis), col("_bn"))))
-    usable = [length(col(f"_f{i}")) >= PARALLEL_LENGTH for i in range(2)]
-    df = df.withColumn("_bu", F.when(usable[0], F.col("_f0")).when(usable[1], F.col("_f1")).otherwise(F.col("_f2")))
-    df = df.withColumn("_bu", pack(normalize(col("_bu"), lits((1, 0, 0)))))
-    df = df.withColumn("_bv", pack(cross(col("_bn"), col("_bu"))))
-    df = df.withColumn("_bv", pack(normalize(col("_bv"), lits((0, 0, 1)))))
-    df = df.withColumn("_bw", pack(cross(col("_bv"), col("_bn"))))
-    df = df.withColumn("_bu", pack(normalize(col("_bw"), col("_bu"))))
-    return df.withColumn(out, F.struct(F.col("_bu").alias("u"), F.col("_bv").alias("v"), F.col("_bn").alias("n"))).drop(
-        "_bn", "_f0", "_f1", "_f2", "_bu", "_bv", "_bw"
-    )
+
+    def after_normal(n: Column) -> Column:
+        flats = [onto_plane(lits(axis), parts(n)) for axis in (reference, (0, 0, 1), (0, 1, 0))]
+        return let(F.array(*[pack(f) for f in flats]), lambda f: let(first_usable(f), lambda u: after_u(n, u)))
+
+    def first_usable(f: Column) -> Column:
+        usable = [length(parts(f[i])) >= PARALLEL_LENGTH for i in range(2)]
+        chosen = F.when(usable[0], f[0]).when(usable[1], f[1]).otherwise(f[2])
+        return let(chosen, lambda c: pack(normalize(parts(c), lits((1, 0, 0)))))
+
+    def after_u(n: Column, u: Column) -> Column:
+        side = let(pack(cross(parts(n), parts(u))), lambda c: pack(normalize(parts(c), lits((0, 0, 1)))))
+        return let(side, lambda v: let(pack(cross(parts(v), parts(n))), lambda w: frame_of(n, u, v, w)))
+
+    def frame_of(n: Column, u: Column, v: Column, w: Column) -> Column:
+        return F.struct(pack(normalize(parts(w), parts(u))).alias("u"), v.alias("v"), n.alias("n"))
+
+    return df.withColumn(out, let(normal, lambda c: let(pack(normalize(parts(c), lits(DEFAULT_NORMAL))), after_normal)))
+
+
+def let(value: Column, body) -> Column:
+    """Bind a value once inside an expression."""
+    return F.transform(F.array(value), body)[0]
 
 
 def turned_axes(u: Vec, v: Vec, yaw: Column) -> tuple[Vec, Vec]:

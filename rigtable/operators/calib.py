@@ -65,7 +65,7 @@ def cube_directions(m: int) -> np.ndarray:
     return dirs / np.linalg.norm(dirs, axis=1, keepdims=True)
 
 
-def max_pairwise(df: DataFrame, keys: Sequence[str], xyz: Sequence[str], m: int = 4) -> DataFrame:
+def max_pairwise(df: DataFrame, keys: Sequence[str], xyz: Sequence[str], m: int = 3) -> DataFrame:
     """Largest distance between two points of a group, exact, without forming all pairs.
 
     Every direction is within sqrt(2)/m of a grid direction, so the two ends of a widest
@@ -76,19 +76,16 @@ def max_pairwise(df: DataFrame, keys: Sequence[str], xyz: Sequence[str], m: int
     keys, (cx, cy, cz) = list(keys), list(xyz)
     dirs = cube_directions(m)
     pts = df.groupBy(*keys, cx, cy, cz).agg(F.count("*").alias("_w"))
-    along = lambda d: F.col(cx) * float(d[0]) + F.col(cy) * float(d[1]) + F.col(cz) * float(d[2])
-    ends = pts.groupBy(*keys).agg(
-        F.sum("_w").alias("n"),
-        *[F.min(along(d)).alias(f"_lo{k}") for k, d in enumerate(dirs)],
-        *[F.max(along(d)).alias(f"_hi{k}") for k, d in enumerate(dirs)],
-    )
-    spans = F.array(
-        *[F.struct(F.lit(k).alias("k"), F.col(f"_lo{k}").alias("lo"), F.col(f"_hi{k}").alias("hi")) for k in range(len(dirs))]
+    # SQL text keeps the many directions cheap to build.
+    along = [f"({cx} * {float(a)!r}D + {cy} * {float(b)!r}D + {cz} * {float(c)!r}D)" for a, b, c in dirs]
+    spans = F.expr(
+        "array(" + ", ".join(f"named_struct('k', {k}, 'lo', min({p}), 'hi', max({p}))" for k, p in enumerate(along)) + ")"
     )
+    ends = pts.groupBy(*keys).agg(F.sum("_w").alias("n"), spans.alias("_s"))
     widest = F.array_max(F.transform("_s", lambda s: s["hi"] - s["lo"]))
     near = float(np.cos(np.sqrt(2) / m))
-    bound = ends.select(*keys, "n", spans.alias("_s")).withColumn("_L", widest * near * (1 - 1e-12))
-    proj = F.array(*[along(d) for d in dirs])
+    bound = ends.withColumn("_L", widest * near * (1 - 1e-12))
+    proj = F.expr("array(" + ", ".join(along) + ")")
     caps = (
         pts.join(bound, keys)
         .withColumn("_p", proj)
@@ -108,14 +105,14 @@ def max_pairwise(df: DataFrame, keys: Sequence[str], xyz: Sequence[str], m: int
                 )
             ),
         )
-        .select(*keys, F.col("_c.k").alias("k"), "_c.top", "_c.low", *xyz)
+        .select(*keys, F.col("_c.k").alias("_k"), F.col("_c.top").alias("_top"), F.col("_c.low").alias("_low"), *xyz)
     )
-    side = lambda flag, tag: caps.filter(flag).select(*keys, "k", *[F.col(c).alias(f"{tag}{i}") for i, c in enumerate(xyz)])
+    side = lambda flag, tag: caps.filter(flag).select(*keys, "_k", *[F.col(c).alias(f"_{tag}{i}") for i, c in enumerate(xyz)])
     wide = (
-        side("top", "a")
-        .join(side("low", "b"), keys + ["k"])
+        side("_top", "a")
+        .join(side("_low", "b"), keys + ["_k"])
         .groupBy(*keys)
-        .agg(F.max(vec.distance(tuple(F.col(f"a{i}") for i in range(3)), tuple(F.col(f"b{i}") for i in range(3)))).alias("_d"))
+        .agg(F.max(vec.distance(tuple(F.col(f"_a{i}") for i in range(3)), tuple(F.col(f"_b{i}") for i in range(3)))).alias("_d"))
     )
     return bound.select(*keys, "n").join(wide, keys, "left").select(
         *keys, "n", F.coalesce("_d", F.lit(0.0)).alias("max_pair")

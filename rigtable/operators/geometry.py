@@ -248,14 +248,17 @@ def table_obb(
 ) -> DataFrame:
     """Box aligned to the table plane per group, from two combinable aggregations.
 
-    ``normal`` is fixed or the name of a STRUCT<x,y,z> column.  The planar covariance
+    ``normal`` is fixed, or names a STRUCT<x,y,z> column or a ready frame STRUCT<u,v,n>
+    (cheaper when many points share it: see ``vec.with_basis``).  The planar covariance
     gives the yaw, then extremes along the turned axes give centre and extent.
     """
     keys = list(keys)
     force = F.lit(force_yaw_zero) if isinstance(force_yaw_zero, bool) else force_yaw_zero
     given = [F.col(normal).alias("_normal")] if isinstance(normal, str) else []
     src = points.select(*keys, *[F.col(c).alias(f"_{a}") for c, a in zip(xyz, "xyz")], *given, force.alias("_flat"))
-    if given:
+    if given and "u" in points.schema[normal].dataType.fieldNames():
+        src = src.withColumn("_basis", F.col("_normal"))
+    elif given:
         src = vec.with_basis(src, F.col("_normal"), "_basis")
     else:
         src = src.withColumn("_basis", vec.fixed_basis(normal))

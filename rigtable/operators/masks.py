@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rigtable.scale import spread_small
 from rigtable.session import settle
 
 # Width of the column bands that run joins are keyed by.
@@ -30,7 +31,7 @@ def rasterize(
     height = F.lit(height) if isinstance(height, int) else height
     cut = (lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")) if truncate else (lambda c: c)
     keep = [c for c in polygons.columns if c != points]
-    shaped = polygons.filter(F.size(points) >= 3).withColumn(
+    shaped = spread_small(polygons).filter(F.size(points) >= 3).withColumn(
         "_p", F.transform(points, lambda p: F.struct(cut(p[0]).alias("x"), cut(p[1]).alias("y")))
     )
     edges = F.transform(
@@ -54,8 +55,10 @@ def rasterize(
             lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"]),
         )
     )
+    # A line without crossings yields an empty list; a filter would evaluate the crossings twice.
+    steps = F.when(F.size("_x") >= 2, F.sequence(F.lit(0), (F.size("_x") / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     pairs = F.transform(
-        F.sequence(F.lit(0), (F.size("_x") / 2).cast("int") - 1),
+        steps,
         lambda i: F.struct(
             F.greatest(F.ceil(F.get("_x", i * 2) - 0.5).cast("int"), F.lit(0)).alias("u0"),
             F.least(F.ceil(F.get("_x", i * 2 + 1) - 0.5).cast("int") - 1, width.cast("int") - 1).alias("u1"),
@@ -63,7 +66,6 @@ def rasterize(
     )
     return (
         lines.withColumn("_x", xs)
-        .filter(F.size("_x") >= 2)
         .select(*keep, "v", F.explode(pairs).alias("r"))
         .select(*keep, "v", "r.u0", "r.u1")
         .filter("u0 <= u1")

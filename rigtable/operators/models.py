@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rigtable.operators.masks import dedup_masks, mask_overlap
 from rigtable.scale import running
+from rigtable.session import settle
 
 DETECTION_LIST = "ARRAY<STRUCT<class: STRING, score: DOUBLE, bbox: ARRAY<DOUBLE>, polygon: ARRAY<ARRAY<DOUBLE>>>>"
 
@@ -120,7 +121,7 @@ def evaluate(
         .agg(F.max_by("pred_id", F.struct("score", "pred_id")).alias("pred_id")).select(model, "step", "pred_id")
         .withColumn("tp", F.lit(1))
     )
-    hits = scored.join(first, [model, "step", "pred_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    hits = settle(scored.join(first, [model, "step", "pred_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0))))
     keys = [model, "class_name", "step"]
     # Running counts in descending score, spread over score bands.
     band = F.floor((F.lit(1.0) - F.col("score")) * 200)

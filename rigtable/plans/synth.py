@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rigtable.operators.labels import only_new, resolve_background
 from rigtable.operators.masks import close_mask, mask_to_polygons
 from rigtable.operators.views import DEFAULT_VIEWS, composite, expand_views, project_views, splat, visible_views
+from rigtable.session import settle
 
 
 def render_views(
@@ -78,6 +79,7 @@ def export_review(
     unless overwriting.
     """
     view = list(view)
+    instances = settle(instances)  # rendered once, read several times below
     fresh = only_new(instances, existing, view, overwrite)
     named = fresh.join(classes.select("capture_id", "instance_id", "label"), ["capture_id", "instance_id"])
     closed = close_mask(named, view + ["instance_id", "label"], kernel, width, height)

@@ -25,6 +25,17 @@ def has_large_group(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
     return bool(df.groupBy(*keys).count().filter(F.col("count") > limit).take(1))
 
 
+def spread_small(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
+    """Use all cores for work that grows per row when the input fills too few partitions.
+
+    Judged by the plan's size estimate; large inputs keep their scan partitions and no
+    shuffle is added.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(tasks) if size < tasks * bytes_per_task else df
+
+
 # --- order statistics -------------------------------------------------------
 
 
@@ -42,7 +53,14 @@ def group_quantiles(
         return data.groupBy(*keys).agg(
             *[F.expr(f"percentile(_x, {p!r})").alias(name) for name, p in probs.items()]
         )
-    return _narrowed_quantiles(data, keys, probs, limit)
+    # Own key names, so that no input column can clash with the working columns.
+    safe = [f"_g{i}" for i in range(len(keys))]
+    for old, new in zip(keys, safe):
+        data = data.withColumnRenamed(old, new)
+    out = _narrowed_quantiles(data, safe, probs, limit)
+    for old, new in zip(keys, safe):
+        out = out.withColumnRenamed(new, old)
+    return out
 
 
 def _narrowed_quantiles(
