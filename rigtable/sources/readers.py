@@ -174,9 +174,7 @@ def parse_yolo(lines: DataFrame, raw: str = "raw", dialect: str = "analysis") ->
 
 def read_yolo(spark: SparkSession, path: str, dialect: str = "analysis") -> DataFrame:
     """Label files below ``labels/<split>/`` as lines, numbered per file; empty files give no row."""
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(f"{path}/labels")
-    )
+    files = spark.read.text(f"{path}/labels", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     file = F.col("_metadata.file_path")
     lines = files.select(
         F.element_at(F.split(file, "/"), -2).alias("split"), stem(file).alias("stem"),

@@ -110,14 +110,10 @@ def test_stream_equals_batch_for_any_cut(spark, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA)
     det = F.struct("det_idx", "class_name", "confidence", "center", "extent", "yaw_deg", "point_count", "in_workspace", "yaw_reliable")
     frames = df.groupBy("session_id", "frame_index").agg(F.array_sort(F.collect_list(det)).alias("detections"))
-    frames = frames.withColumn("ts", F.timestamp_seconds(F.col("frame_index") + 1_700_000_000)).toPandas().sort_values("frame_index")
-    cuts = [0, 5, 6, 31, len(frames)]
-    for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-        part = spark.createDataFrame(frames.iloc[lo:hi][["session_id", "frame_index", "ts", "detections"]].values.tolist(), schemas.FRAMES.replace("ARRAY<STRUCT<", "ARRAY<STRUCT<det_idx: INT, "))
-        part.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        # repeated frames must not be counted twice
-        if i == 1:
-            part.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    frames = frames.withColumn("ts", F.timestamp_seconds(F.col("frame_index") + 1_700_000_000))
+    for lo, hi, times in ((0, 5, 1), (5, 6, 2), (6, 31, 1), (31, 99, 1)):
+        for _ in range(times):  # a repeated frame must not be counted twice
+            frames.filter(F.col("frame_index").between(lo, hi - 1)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schemas.FRAMES).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     got = result(drain(track_stream(stream), str(tmp_path / "out")))
     assert got == result(tk.track(df))
