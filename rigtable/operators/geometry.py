@@ -7,12 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigtable.functions import vec
 from rigtable.functions.text import parse_names
-from rigtable.scale import GROUP_LIMIT, group_quantiles, number_rows
+from rigtable.scale import GROUP_LIMIT, group_quantiles, has_large_group, number_rows, ranked_quantile, with_rank
 
 # Consistency factor and width of the robust depth band.
 MAD_SIGMA = 1.4826
@@ -178,7 +178,7 @@ def depth_stats(pixels: DataFrame, keys: Sequence[str], depth: str = "depth_m")
 
 
 def mad_filter(
-    points: DataFrame, keys: Sequence[str], value: str = "z", scale: float = MAD_SCALE, limit: int = GROUP_LIMIT
+    points: DataFrame, keys: Sequence[str], value: str = "z", scale: float = MAD_SCALE, limit: int = GROUP_LIMIT, large: bool | None = None
 ) -> DataFrame:
     """Keep points within scale * 1.4826 * MAD of the median; a flat group keeps everything.
 
@@ -186,10 +186,20 @@ def mad_filter(
     never empty while scale * 1.4826 >= 1; below that the group's count decides.
     """
     keys = list(keys)
-    centre = group_quantiles(points, keys, value, {"_med": 0.5}, limit)
-    around = points.join(centre, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    spread = group_quantiles(around, keys, "_dev", {"_mad": 0.5}, limit)
-    judged = around.join(spread, keys).withColumn(
+    if large is None:
+        large = has_large_group(points, keys, limit)
+    if large:
+        centre = group_quantiles(points, keys, value, {"_med": 0.5}, limit, large)
+        around = points.join(centre, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+        spread = group_quantiles(around, keys, "_dev", {"_mad": 0.5}, limit, large)
+        judged = around.join(spread, keys)
+    else:
+        # One shuffle by key serves both medians and whatever groups by the key next.
+        over = lambda c: F.max(c).over(Window.partitionBy(*keys))
+        centre = with_rank(points, keys, value).withColumn("_med", ranked_quantile(value, 0.5, over))
+        around = centre.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))).drop("_i", "_n")
+        judged = with_rank(around, keys, "_dev").withColumn("_mad", ranked_quantile("_dev", 0.5, over)).drop("_i", "_n")
+    judged = judged.withColumn(
         "_in", (F.col("_mad") < 1e-6) | (F.col("_dev") <= F.lit(scale * MAD_SIGMA) * F.col("_mad"))
     )
     if scale * MAD_SIGMA < 1:
@@ -245,12 +255,15 @@ def table_obb(
     normal: Sequence[float] | str = UNIT_NORMAL,
     force_yaw_zero: Column | bool = False,
     xyz: Sequence[str] = ("x", "y", "z"),
+    together: bool = False,
 ) -> DataFrame:
     """Box aligned to the table plane per group, from two combinable aggregations.
 
     ``normal`` is fixed, or names a STRUCT<x,y,z> column or a ready frame STRUCT<u,v,n>
     (cheaper when many points share it: see ``vec.with_basis``).  The planar covariance
-    gives the yaw, then extremes along the turned axes give centre and extent.
+    gives the yaw, then extremes along the turned axes give centre and extent.  Set
+    ``together`` when the rows already sit with their key (after ``mad_filter``): the
+    covariance is then read over the group in place instead of being joined back.
     """
     keys = list(keys)
     force = F.lit(force_yaw_zero) if isinstance(force_yaw_zero, bool) else force_yaw_zero
@@ -265,29 +278,32 @@ def table_obb(
     p = (F.col("_x"), F.col("_y"), F.col("_z"))
     u, v, w = (vec.parts(F.col("_basis")[k]) for k in ("u", "v", "n"))
     planar = src.withColumns({"_pu": vec.dot(p, u), "_pv": vec.dot(p, v), "_pn": vec.dot(p, w)})
-    shape = planar.groupBy(*keys).agg(
-        F.count("*").alias("point_count"),
-        F.covar_samp("_pu", "_pv").alias("_c"),
-        F.var_samp("_pu").alias("_vu"),
-        F.var_samp("_pv").alias("_vv"),
-        F.first("_basis").alias("_frame"),
-        F.first("_flat").alias("_zero"),
-    )
     turn = vec.wrap_half_turn(F.atan2(F.col("_c") * 2.0, F.col("_vu") - F.col("_vv")) * 0.5)
     finite = F.abs(F.col("_c") + F.col("_vu") + F.col("_vv")) < float("inf")
     yaw = F.when((F.col("point_count") < 3) | F.col("_zero") | ~finite, F.lit(0.0)).otherwise(turn)
-    shape = shape.withColumn("yaw_rad", yaw).select(*keys, "point_count", "yaw_rad", "_frame")
+    moments = {
+        "point_count": F.count("*"), "_c": F.covar_samp("_pu", "_pv"), "_vu": F.var_samp("_pu"), "_vv": F.var_samp("_pv"),
+    }
+    if together:
+        group = Window.partitionBy(*keys)
+        turned = planar.withColumns({n: c.over(group) for n, c in moments.items()}).withColumnRenamed("_flat", "_zero")
+        turned = turned.withColumn("yaw_rad", yaw)
+    else:
+        shape = planar.groupBy(*keys).agg(*[c.alias(n) for n, c in moments.items()], F.first("_flat").alias("_zero"))
+        shape = shape.withColumn("yaw_rad", yaw).select(*keys, "point_count", "yaw_rad")
+        turned = planar.join(shape, keys)
     c, s = F.cos("yaw_rad"), F.sin("yaw_rad")
-    local = planar.select(*keys, "_pu", "_pv", "_pn").join(shape.select(*keys, "yaw_rad"), keys).select(
-        *keys,
+    local = turned.select(
+        *keys, "point_count", "yaw_rad", "_basis",
         (c * F.col("_pu") + s * F.col("_pv")).alias("_l"),
         (c * F.col("_pv") - s * F.col("_pu")).alias("_s"),
         F.col("_pn"),
-    )
+    )
     ends = local.groupBy(*keys).agg(
-        *[f(c).alias(f"{c}_{tag}") for c in ("_l", "_s", "_pn") for f, tag in ((F.min, "lo"), (F.max, "hi"))]
-    )
-    joined = shape.join(ends, keys).withColumns(
+        F.first("point_count").alias("point_count"), F.first("yaw_rad").alias("yaw_rad"), F.first("_basis").alias("_frame"),
+        *[f(c).alias(f"{c}_{tag}") for c in ("_l", "_s", "_pn") for f, tag in ((F.min, "lo"), (F.max, "hi"))],
+    )
+    joined = ends.withColumns(
         {
             **{f"_e{a}": F.col(f"{c}_hi") - F.col(f"{c}_lo") for a, c in zip("xyz", ("_l", "_s", "_pn"))},
             **{f"_m{a}": (F.col(f"{c}_hi") + F.col(f"{c}_lo")) * 0.5 for a, c in zip("xyz", ("_l", "_s", "_pn"))},
@@ -340,9 +356,10 @@ def build_detections(
     keys = list(keys)
     classes = detections.select(*keys, cls)
     tagged = points.join(classes, keys)
-    clean = mad_filter(tagged, keys, limit=limit)
+    large = has_large_group(points, keys, limit)
+    clean = mad_filter(tagged, keys, limit=limit, large=large)
     reliable = yaw_reliable(cls, non_symmetric)
-    boxes = table_obb(clean, keys, normal, force_yaw_zero=~reliable)
+    boxes = table_obb(clean, keys, normal, force_yaw_zero=~reliable, together=not large)
     enough = F.coalesce(F.col("point_count"), F.lit(0)) >= min_points
     pose = ["center", "extent", "yaw_rad", "yaw_deg", "axes", "corners", "bbox_min", "bbox_max"]
     out = detections.join(boxes, keys, "left").withColumns({c: F.when(enough, F.col(c)) for c in pose})

@@ -38,7 +38,7 @@ class TrackerConfig:
 
 def middle(values: Column) -> Column:
     """Median of an array, the mean of the two middle values when even."""
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     n = F.size(s)
     lo, hi = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
     return (lo + hi) / 2.0

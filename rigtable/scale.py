@@ -45,14 +45,19 @@ def group_quantiles(
     value: str,
     probs: dict[str, float],
     limit: int = GROUP_LIMIT,
+    large: bool | None = None,
 ) -> DataFrame:
-    """One row per key with exact, linearly interpolated quantiles named by ``probs``."""
+    """One row per key with exact, linearly interpolated quantiles named by ``probs``.
+
+    ``large`` tells whether some key exceeds the limit, where the caller knows.
+    """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if not has_large_group(data, keys, limit):
-        return data.groupBy(*keys).agg(
-            *[F.expr(f"percentile(_x, {p!r})").alias(name) for name, p in probs.items()]
-        )
+    if large is None:
+        large = has_large_group(data, keys, limit)
+    if not large:
+        ranked = with_rank(data, keys, "_x")
+        return ranked.groupBy(*keys).agg(*[ranked_quantile("_x", p, F.max).alias(name) for name, p in probs.items()])
     # Own key names, so that no input column can clash with the working columns.
     safe = [f"_g{i}" for i in range(len(keys))]
     for old, new in zip(keys, safe):
@@ -63,6 +68,21 @@ def group_quantiles(
     return out
 
 
+def with_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """0-based ``_i`` in value order and the group size ``_n``; one sort per key, spilling as needed."""
+    group = Window.partitionBy(*keys)
+    return df.withColumn("_i", F.row_number().over(group.orderBy(value)) - 1).withColumn("_n", F.count("*").over(group))
+
+
+def ranked_quantile(value: str, p: float, over: Callable[[Column], Column]) -> Column:
+    """Quantile of a ranked group; ``over`` reduces the two rows around it (max, or max over a window)."""
+    spot = F.lit(p) * (F.col("_n") - 1)
+    at = lambda rank: over(F.when(F.col("_i") == rank, F.col(value)))
+    low, high = at(F.floor(spot)), at(F.ceil(spot))
+    share = over(spot - F.floor(spot))
+    return low + (high - low) * share
+
+
 def _narrowed_quantiles(
     data: DataFrame, keys: list[str], probs: dict[str, float], limit: int, bins: int = 1024
 ) -> DataFrame:
