@@ -307,21 +307,29 @@ def mask_to_polygons(
     runs = pixel_runs(pixels, keys)
     fields = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
     schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", part INT, area DOUBLE, points ARRAY<ARRAY<DOUBLE>>"
+    # A fixed partition count: tracing costs per mask, not per byte, so it must not be merged.
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    masks = runs.repartition(tasks, *keys).groupBy(*keys).agg(
+        *[F.collect_list(c).alias(f"_{c}") for c in ("v", "u0", "u1")]
+    )
 
-    def trace(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for part, contour in enumerate(outer_contours(pdf)):
-            area = polygon_area(contour)
-            if area < min_area:
-                continue
-            closed = np.vstack([contour, contour[:1]])
-            perimeter = np.hypot(*np.diff(closed, axis=0).T).sum()
-            simple = simplify_ring(contour, max(1.0, epsilon_ratio * perimeter))
-            if len(simple) >= 3:
-                rows.append((*key, part, float(area), simple.astype(float).tolist()))
-        return pd.DataFrame(rows, columns=keys + ["part", "area", "points"])
-
-    return runs.groupBy(*keys).applyInPandas(trace, schema)
+    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            heads = zip(*[batch[k] for k in keys])
+            for head, *cols in zip(heads, batch["_v"], batch["_u0"], batch["_u1"]):
+                for part, contour in enumerate(outer_contours(np.stack(cols, axis=1))):
+                    area = polygon_area(contour)
+                    if area < min_area:
+                        continue
+                    closed = np.vstack([contour, contour[:1]])
+                    perimeter = np.hypot(*np.diff(closed, axis=0).T).sum()
+                    simple = simplify_ring(contour, max(1.0, epsilon_ratio * perimeter))
+                    if len(simple) >= 3:
+                        rows.append((*head, part, float(area), simple.astype(float).tolist()))
+            yield pd.DataFrame(rows, columns=keys + ["part", "area", "points"])
+
+    return masks.mapInPandas(trace, schema)
 
 
 def polygon_area(ring: np.ndarray) -> float:
@@ -329,11 +337,11 @@ def polygon_area(ring: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2.0
 
 
-def outer_contours(runs: pd.DataFrame) -> Iterator[np.ndarray]:
-    """Boundary pixel ring (u, v) of every 8-connected region, ordered by its top-left pixel."""
-    v0, u_min = int(runs["v"].min()), int(runs["u0"].min())
-    grid = np.zeros((int(runs["v"].max()) - v0 + 3, int(runs["u1"].max()) - u_min + 3), dtype=bool)
-    for v, a, z in runs[["v", "u0", "u1"]].itertuples(index=False):
+def outer_contours(runs: np.ndarray) -> Iterator[np.ndarray]:
+    """Boundary pixel ring (u, v) of every 8-connected region of (v, u0, u1) runs, by top-left pixel."""
+    v0, u_min = int(runs[:, 0].min()), int(runs[:, 1].min())
+    grid = np.zeros((int(runs[:, 0].max()) - v0 + 3, int(runs[:, 2].max()) - u_min + 3), dtype=bool)
+    for v, a, z in runs.tolist():
         grid[v - v0 + 1, a - u_min + 1 : z - u_min + 2] = True
     seen = np.zeros_like(grid)
     around = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
