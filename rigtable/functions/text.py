@@ -46,10 +46,6 @@ def tagged_stem(stem_col: Column, tag: str | None) -> Column:
     return stem_col if not tag else F.concat(F.lit(f"{tag}__"), stem_col)
 
 
-def rounded(col: Column, digits: int) -> Column:
-    return F.bround(col, digits)
-
-
 def fixed6(value: Column) -> Column:
     """Six-digit text of a value in [0, 1], ties judged on the exact binary value.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -503,11 +502,3 @@ def format_label(tracked: bool = True) -> Column:
     pose = F.format_string("xyz=(%.3f, %.3f, %.3f) m\nyaw=%s\n", center["x"], center["y"], center["z"], yaw_text)
     return F.concat(head, F.when(F.col("center").isNull(), "").otherwise(pose), tail)
 
-
-def least_angle(a: Column, b: Column) -> Column:
-    """Absolute half-turn difference in degrees."""
-    d = F.pmod(a - b, F.lit(180.0))
-    return F.least(d, F.lit(180.0) - d)
-
-
-HALF_PI = math.pi / 2
