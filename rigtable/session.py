@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +19,27 @@ def build_session(app: str = "rigtable", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if not getattr(context, "_rigtable_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "rigtable.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, files in os.walk(root):
+                for file in files:
+                    if file.endswith(".py"):
+                        full = os.path.join(folder, file)
+                        out.write(full, os.path.join("rigtable", os.path.relpath(full, root)))
+        context.addPyFile(path)
+        context._rigtable_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = context.getCheckpointDir()
     return named or current

@@ -71,7 +71,7 @@ def write_yolo(lines: DataFrame, path: str, layout: str = "lines") -> DataFrame
     ``labels/<split>/<stem>.txt``, empty where an image has no line.
     """
     if layout == "lines":
-        lines.write.mode("overwrite").partitionBy("split").json(path)
+        lines.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("split").json(path)
         return None
     rows = lines.select(
         F.concat(F.lit("labels/"), F.col("split"), F.lit("/"), F.col("stem"), F.lit(".txt")).alias("file"), F.col("line").alias("text"), "line_no"
@@ -100,7 +100,7 @@ def write_frames(stream: DataFrame, path: str, state: str, stable_only: bool = F
 
 def write_points(points: DataFrame, path: str, meta: DataFrame | None = None) -> None:
     """Labelled points partitioned by capture, with the per-capture facts in a sibling table."""
-    points.write.mode("overwrite").partitionBy("capture_id").parquet(path)
+    points.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("capture_id").parquet(path)
     if meta is not None:
         meta.write.mode("overwrite").parquet(path.rstrip("/") + ".meta")
 
