@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rigtable.llm import packing, tokenfile
+from rigtable.llm import lm, packing, pieces, tokenfile
 from rigtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,13 @@ def _(spark, d):
 @query("op8_packing")
 def _(spark, d):
     return packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op7_sentencepiece")
+def _(spark, d):
+    return pieces.digests(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op10_lattice_score")
+def _(spark, d):
+    return lm.score(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))

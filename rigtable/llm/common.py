@@ -25,9 +25,9 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def block_count(docs: DataFrame, text: str, block_bytes: int) -> int:
-    """Blocks of about ``block_bytes`` of text, never fewer than twice the shuffle partitions."""
+    """Blocks of about ``block_bytes`` of text, never fewer than the shuffle partitions."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(2 * shuffle_parts(docs.sparkSession), -(-total // block_bytes))
+    return max(shuffle_parts(docs.sparkSession), -(-total // block_bytes))
 
 
 def crc_mod(id_col: str, n: int):
