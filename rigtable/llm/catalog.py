@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rigtable.llm import lm, packing, pieces, tokenfile
+from rigtable.llm import jaccard, lm, packing, pieces, tokenfile
 from rigtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_ngram_jaccard")
+def _(spark, d):
+    return jaccard.join(table(spark, d, "documents"))
+
+
 @query("op4_token_files")
 def _(spark, d):
     return tokenfile.op4(spark, table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"))

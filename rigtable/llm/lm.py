@@ -1,11 +1,13 @@
 """Language-model scoring: the marginal probability of a text over all segmentations of its words into pieces.
 
-The pieces are those of an existing vocabulary.  Their weights start from its scores (the rank of a piece, as
-1 / rank) and are learned from the training documents by expected counts over the lattice of every distinct
-word.  A word is a mark and its characters; every path through the pieces that spell it adds to its
-probability, by a forward recursion in log space.  A text's probability is the product over its words and one
-end token.  Characters outside the vocabulary are spelled by an escape with its own weight and a fixed weight a
-byte, so every text has a positive probability.
+The lattice of a word holds the pieces of an existing vocabulary and, for a word of the training documents, one
+arc for the whole word.  Piece weights start from the vocabulary's scores (the rank of a piece, as 1 / rank) and
+are learned by expected counts over the lattices of all distinct training words.  A whole word's arc has its
+count less a discount, as share of all tokens; the discounts together are the share of the paths through pieces
+(discount n1 / (n1 + 2 n2), from the numbers of words seen once and twice).  Every path that spells a word adds
+to its probability, by a forward recursion in log space; a text's probability is the product over its words and
+one end token.  Characters outside the vocabulary are spelled by an escape with its own weight and 1/256 a
+byte, so every text has a positive probability, and those of all texts sum to one at most.
 
 Both the word counts of the base score and the lattice scores live in one table with a row a distinct word;
 blocks of documents ask it for their distinct words, so nothing that grows is broadcast or collected.
@@ -30,7 +32,7 @@ from rigtable.llm.words import words_of
 
 MARK = "▁"
 #: Rounds of expected counts, and what is added to the expected count of each piece.
-ROUNDS, PRIOR = 2, 0.1
+ROUNDS, PRIOR = 3, 0.1
 BLOCK_BYTES = 16 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of a lattice that are worked on at once.
@@ -162,15 +164,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(count, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(counts: DataFrame, pieces: list[str], logs: np.ndarray, ends: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights of pieces, escape and end token, from the distinct words of the training documents."""
+def learn(counts: DataFrame, pieces: list[str], logs: np.ndarray, n_types: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Log weights of pieces, escape and word end; each distinct word of the training documents counts once."""
     logs = np.append(logs, math.log(1e-6))
 
     def expect(weights: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(pieces), np.zeros(len(weights))
             for batch in batches:
-                total += lattice.scores(batch.column("word").to_pylist(), weights, batch.column("n").to_numpy())[1]
+                total += lattice.scores(batch.column("word").to_pylist(), weights, np.ones(batch.num_rows))[1]
             kept = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], ["piece", "n"])
 
@@ -181,9 +183,9 @@ def learn(counts: DataFrame, pieces: list[str], logs: np.ndarray, ends: int, rou
         got = np.full(len(logs), PRIOR)
         for row in rows:
             got[row.piece] += row.n
-        logs = np.log(got) - math.log(got.sum() + ends + PRIOR)
-    total = np.exp(np.logaddexp.reduce(logs)) if rounds else 1.0
-    return np.append(logs, math.log(max(1 - total, 1e-12)) if rounds else math.log(0.01))
+        total = math.log(got.sum() + n_types + PRIOR)
+        logs = np.log(got) - total
+    return np.append(logs, math.log(n_types + PRIOR) - total)
 
 
 def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,19 +194,27 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(id_col, 7) == 2).alias("held_out")
     )
     counts = stage(word_counts(source), "word-counts")
-    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    n_words, n_types, once, twice = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    ).first()
     ends = source.where(~F.col("held_out")).count()
-    n_train, distinct = n_words + ends, distinct + (ends > 0)
-    base_all = n_train + distinct + 1
+    n_train, base_all = n_words + ends, n_words + ends + n_types + (ends > 0) + 1
     pieces, logs = vocabulary(vocabulary_path)
-    weights = learn(counts, pieces, logs, ends)
-    end_log, logs = weights[-1] / math.log(10), weights[:-1]
-    end_base = math.log10((ends + 1) / base_all)
+    weights = learn(counts, pieces, logs, n_types)
+    logs, stop = weights[:-1], weights[-1]
+    discount = once / (once + 2 * twice) if once else 0.5
+    total = n_train + 2
+    by_pieces = math.log10((discount * n_types + 1) / total)
+    end_log, end_base = math.log10((ends + 1) / total), math.log10((ends + 1) / base_all)
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
         for batch in batches:
-            found = lattice.scores(batch.column("word").to_pylist(), logs)[0] / math.log(10)
+            spelled = (lattice.scores(batch.column("word").to_pylist(), logs)[0] + stop) / math.log(10) + by_pieces
+            with np.errstate(divide="ignore"):
+                whole = np.log10(np.maximum(batch.column("n").to_numpy() - discount, 0) / total)
+            high = np.maximum(whole, spelled)
+            found = high + np.log10(10 ** (whole - high) + 10 ** (spelled - high))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found)], ["word", "n", "log10_p"])
 
     blocks = block_count(source, "text", BLOCK_BYTES)
