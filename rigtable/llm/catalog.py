@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rigtable.llm import jaccard, lm, packing, pieces, tokenfile
+from rigtable.llm import jaccard, lm, packing, pieces, tokenfile, vectors
 from rigtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def _(spark, d):
     return pieces.digests(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query("op9_embedding_dedup")
+def _(spark, d):
+    return vectors.near_duplicates(table(spark, d, "embeddings"))
+
+
 @query("op10_lattice_score")
 def _(spark, d):
     return lm.score(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
