@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rigtable.llm import jaccard, lm, packing, pieces, tokenfile, vectors
+from rigtable.llm import jaccard, lm, packing, pieces, pii, quality, sharding, tokenfile, vectors
 from rigtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,11 +30,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The key of the surrogates; a deployment passes its own secret.
+PII_KEY = "rigtable-demo-key"
+
+
+@query("op1_pii_surrogates")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
 @query("op2_ngram_jaccard")
 def _(spark, d):
     return jaccard.join(table(spark, d, "documents"))
 
 
+@query("op3_hash_tree")
+def _(spark, d):
+    return sharding.place(table(spark, d, "documents"), sharding.even_tree(8))
+
+
 @query("op4_token_files")
 def _(spark, d):
     return tokenfile.op4(spark, table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -45,6 +60,11 @@ def _(spark, d):
     return packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op5_quality_rules", quality.oracle())
+def _(spark, d):
+    return quality.op5(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("op7_sentencepiece")
 def _(spark, d):
     return pieces.digests(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
