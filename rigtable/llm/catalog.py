@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rigtable.llm import jaccard, lm, packing, pieces, pii, quality, sharding, tokenfile, vectors
+from rigtable.llm import jaccard, langid, lm, packing, pieces, pii, quality, sharding, tokenfile, vectors
 from rigtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def _(spark, d):
     return quality.op5(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query("op6_language_spans")
+def _(spark, d):
+    return langid.op6(table(spark, d, "documents"))
+
+
 @query("op7_sentencepiece")
 def _(spark, d):
     return pieces.digests(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
