@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rigtable.catalog.bind import DETS, day, detections, r, rs, sql, table
@@ -155,12 +156,19 @@ def _(spark, d):
     return rows.groupBy("robot_id", "joint").agg(F.count("*").alias("n"), r(F.sum("position"), 4).alias("position"), r(F.sum("velocity"), 3).alias("velocity"))
 
 
-@query("F20_class_color", """SELECT p_type, CASE WHEN p_type = 'ECONOMY' THEN 255 END AS r FROM (SELECT DISTINCT p_type FROM part)""")
+def _channel(shift: int) -> str:
+    """A colour channel of a hue, at a saturation of 0.65."""
+    k = f"(({shift}e0 + hue / 60e0) % 6e0)"
+    return f"CAST(floor((1e0 - 65e-2 * greatest(0e0, least({k}, 4e0 - {k}, 1e0))) * 255e0) AS INTEGER)"
+
+
+@query("F20_class_color", """SELECT p_type, CASE WHEN p_type = 'ECONOMY' THEN 255 ELSE c(5) END AS r, CASE WHEN p_type = 'ECONOMY' THEN 128 ELSE c(3) END AS g, CASE WHEN p_type = 'ECONOMY' THEN 0 ELSE c(1) END AS b
+  FROM (SELECT DISTINCT p_type, ('0x' || substr(md5(p_type), 1, 8))::BIGINT % 360 AS hue FROM part)""".replace("c(5)", _channel(5)).replace("c(3)", _channel(3)).replace("c(1)", _channel(1)))
 def _(spark, d):
     types = table(spark, d, "part").select("p_type").distinct()
-    fixed = spark.createDataFrame([("ECONOMY", 255)], "p_type STRING, r INT")
+    fixed = spark.createDataFrame([("ECONOMY", (255, 128, 0))], "p_type STRING, rgb STRUCT<r: INT, g: INT, b: INT>")
     made = tx.hue_rgb(tx.hue_of(F.col("p_type")))
-    return types.join(fixed, "p_type", "left").filter(made["r"].between(0, 255)).select("p_type", "r")
+    return types.join(fixed, "p_type", "left").select("p_type", F.coalesce("rgb", made).alias("rgb")).select("p_type", "rgb.*")
 
 
 @query("F21_age", sql(DETS, f"SELECT det_idx, {rs('(1706745600000000 - ts_us) / 1e6', 6)} AS age_s FROM dets"))
@@ -329,9 +337,9 @@ def _(spark, d):
 
 
 @query("O12_latest_state", sql([DETS, JOINTS], f"""SELECT robot_id, {rs("coalesce(max(CASE WHEN n = 2 AND joint = 'joint1' THEN position END), 9)", 5)} AS p1, max(n) < 2 AS used_fallback FROM (SELECT *, count(*) OVER (PARTITION BY robot_id) AS n FROM
-  (SELECT robot_id, joint, arg_max(position, (ts_us, position)) AS position FROM joints WHERE joint IN ('joint1', 'joint2') AND ts_us % 5 = 0 GROUP BY 1, 2)) GROUP BY 1"""))
+  (SELECT robot_id, joint, arg_max(position, (ts_us, position)) AS position FROM joints WHERE joint IN ('joint1', 'joint2') GROUP BY 1, 2)) GROUP BY 1"""))
 def _(spark, d):
-    rows = rb.unnest_joints(states(spark, d).filter(F.unix_micros("ts") % 5 == 0))
+    rows = rb.unnest_joints(states(spark, d))
     out = rb.latest_state(rows, ["joint1", "joint2"], [9.0, 9.0])
     return out.select("robot_id", r(F.col("positions")[0], 5).alias("p1"), "used_fallback")
 
@@ -342,10 +350,10 @@ def _(spark, d):
 def calib_rows(spark, d):
     """Samples whose target is fixed but for a small, event-driven offset."""
     det = detections(spark, d)
-    eye = [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
-    rot = [[F.lit(float(v)) for v in row] for row in eye]
-    base = vec.pack_rigid(rot, (F.col("k") / 100.0, F.lit(0.0), F.lit(0.0)))
-    cam = vec.pack_rigid(rot, (F.lit(0.5) - F.col("k") / 100.0 + F.col("value") / 1e5, F.lit(0.1), F.lit(0.4)))
+    flat = lambda rows: [[v if isinstance(v, Column) else F.lit(float(v)) for v in row] for row in rows]
+    angle = F.radians(F.col("k") / 10.0)
+    base = vec.pack_rigid(flat([[F.cos(angle), -F.sin(angle), 0], [F.sin(angle), F.cos(angle), 0], [0, 0, 1]]), (F.col("k") / 100.0, F.lit(0.0), F.lit(0.0)))
+    cam = vec.pack_rigid(flat([[1, 0, 0], [0, 1, 0], [0, 0, 1]]), (F.lit(0.5) - F.col("k") / 100.0 + F.col("value") / 1e5, F.lit(0.1), F.lit(0.4)))
     samples = det.select("session_id", "det_idx", base.alias("base_T_ee"), cam.alias("cam_T_target"))
     c, s = 0.9998476951563913, 0.01745240643728351  # one degree about z
     turned = [[c, -s, 0, 0.0], [s, c, 0, 0.0], [0, 0, 1, 0.1]]
@@ -357,12 +365,16 @@ def calib_rows(spark, d):
     return samples, cands
 
 
-@query("A13_calibration_spread", sql(DETS, f"""SELECT session_id, method, count(*) AS n_samples, {rs('1000 * sqrt(var_pop(k / 100e0 + c * q - s * 1e-1) + var_pop(s * q + c * 1e-1))', 3)} AS trans_mm, method = 'exact' AS best
-  FROM (SELECT *, 5e-1 - k / 100e0 + value / 1e5 AS q FROM dets), (VALUES ('exact', 1e0, 0e0), ('turned', 0.9998476951563913::DOUBLE, 0.01745240643728351::DOUBLE)) t(method, c, s) GROUP BY 1, 2"""))
+@query("A13_calibration_spread", sql(DETS, f"""SELECT session_id, method, n_samples, {rs('trans', 3)} AS trans_mm, {rs('rot', 3)} AS rot_std_deg, {rs('trans + rot', 2)} AS score,
+  method = arg_min(method, (round(trans + rot, 9), method)) OVER (PARTITION BY session_id) AS best FROM (SELECT session_id, method, count(*) AS n_samples,
+    1000 * sqrt(var_pop(k / 100e0 + cos(a) * q - sin(a) * 1e-1) + var_pop(sin(a) * q + cos(a) * 1e-1)) AS trans, avg(abs(degrees(a) - mid)) AS rot
+  FROM (SELECT *, degrees(atan2(avg(sin(a)) OVER w, avg(cos(a)) OVER w)) AS mid FROM (SELECT *, 5e-1 - k / 100e0 + value / 1e5 AS q, radians(k / 1e1 + turn) AS a FROM dets, (VALUES ('exact', 0e0), ('turned', 1e0)) t(method, turn))
+    WINDOW w AS (PARTITION BY session_id, method)) GROUP BY 1, 2)"""))
 def _(spark, d):
     samples, cands = calib_rows(spark, d)
     out = calib.calibration_spread(samples, cands)
-    return out.select("session_id", "method", "n_samples", r(F.col("trans_std_m") * 1000, 3).alias("trans_mm"), "best")
+    mm = F.col("trans_std_m") * 1000
+    return out.select("session_id", "method", "n_samples", r(mm, 3).alias("trans_mm"), r("rot_std_deg", 3).alias("rot_std_deg"), r("score", 2).alias("score"), "best")
 
 
 @query("J19_candidates_per_sample", sql(DETS, "SELECT session_id, count(*) * 2 AS n FROM dets GROUP BY 1"))

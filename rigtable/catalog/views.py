@@ -71,10 +71,10 @@ def render(spark, d):
     return synth.render_views(labelled(spark, d), INTR, TILE, TILE)
 
 
-@query("M3_splat", sql(RENDER, "SELECT capture_id, u, v, inst_id AS instance_id FROM drawn WHERE view_id = 'view_000'"))
+@query("M3_splat", sql(RENDER, "SELECT capture_id, view_id, u, v, inst_id AS instance_id FROM drawn"))
 def _(spark, d):
-    one = vw.project_views(vw.expand_views(labelled(spark, d), vw.DEFAULT_VIEWS[:1]), *INTR)
-    return vw.splat(one, ["capture_id"], TILE, TILE, 1).select("capture_id", "u", "v", "instance_id")
+    seen = vw.project_views(vw.expand_views(labelled(spark, d)), *INTR)
+    return vw.splat(seen, ["capture_id", "view_id"], TILE, TILE, 1).select("capture_id", "view_id", "u", "v", "instance_id")
 
 
 @query("M4_render_views", sql(RENDER, "SELECT capture_id, view_id, inst_id AS instance_id, count(*) AS n, CAST(sum(r + g + b) AS BIGINT) AS rgb FROM drawn GROUP BY 1, 2, 3"))
@@ -97,12 +97,13 @@ def _(spark, d):
     return kept.unionByName(dropped.select("capture_id", "view_id", F.lit(0).cast("bigint").alias("n_left")))
 
 
-@query("J17_composite", sql([*RENDER, OCC], """SELECT p.capture_id, p.u, p.v, CASE WHEN s.u IS NOT NULL AND o.u IS NULL THEN s.r ELSE p.b END AS r, s.u IS NOT NULL AND o.u IS NULL AS pasted
-  FROM pixels p LEFT JOIN (SELECT * FROM drawn WHERE view_id = 'view_001') s USING (capture_id, u, v) LEFT JOIN occ o USING (capture_id, u, v)"""))
+@query("J17_composite", sql([*RENDER, OCC], """SELECT p.capture_id, w.view_id, p.u, p.v, CASE WHEN s.u IS NOT NULL AND o.u IS NULL THEN s.r ELSE p.b END AS r, s.u IS NOT NULL AND o.u IS NULL AS pasted
+  FROM pixels p CROSS JOIN views w LEFT JOIN drawn s ON s.capture_id = p.capture_id AND s.view_id = w.view_id AND s.u = p.u AND s.v = p.v LEFT JOIN occ o ON o.capture_id = p.capture_id AND o.u = p.u AND o.v = p.v"""))
 def _(spark, d):
-    bg = pixels(spark, d).select("capture_id", "u", "v", F.col("b").alias("r"), "g", "b")
-    obj = render(spark, d)[0].filter("view_id = 'view_001'")
-    return vw.composite(bg, obj, occluder(spark, d), ["capture_id", "u", "v"]).select("capture_id", "u", "v", "r", "pasted")
+    views = F.explode(F.array(*[F.lit(v[0]) for v in vw.DEFAULT_VIEWS])).alias("view_id")
+    bg = pixels(spark, d).select("capture_id", views, "u", "v", F.col("b").alias("r"), "g", "b")
+    hidden = occluder(spark, d).select("*", views)
+    return vw.composite(bg, render(spark, d)[0], hidden, ["capture_id", "view_id", "u", "v"]).select("capture_id", "view_id", "u", "v", "r", "pasted")
 
 
 @query("M6_composite_views", sql([*RENDER, OCC], """, vis AS (SELECT s.* FROM drawn s ANTI JOIN occ o ON o.capture_id = s.capture_id AND o.u = s.u AND o.v = s.v)
@@ -118,13 +119,13 @@ def _(spark, d):
 ELLIPSE = "el AS (SELECT * FROM (VALUES (0, -2), (-2, -1), (-1, -1), (0, -1), (1, -1), (2, -1), (-2, 0), (-1, 0), (0, 0), (1, 0), (2, 0), (-2, 1), (-1, 1), (0, 1), (1, 1), (2, 1), (0, 2)) t(du, dv))"
 
 
-@query("M7_close_mask", sql([PIXELS, ELLIPSE, """grown AS (SELECT DISTINCT capture_id, u + du AS u, v + dv AS v FROM pixels, el WHERE inst_id = 1 AND depth_m > 7e-1 AND u + du BETWEEN 0 AND 7 AND v + dv BETWEEN 0 AND 7)""",
+@query("M7_close_mask", sql([PIXELS, ELLIPSE, """grown AS (SELECT DISTINCT capture_id, inst_id, u + du AS u, v + dv AS v FROM pixels, el WHERE inst_id > 0 AND u + du BETWEEN 0 AND 7 AND v + dv BETWEEN 0 AND 7)""",
   "grid AS (SELECT a.u, b.v, du, dv FROM range(8) a(u), range(8) b(v), el WHERE a.u + du BETWEEN 0 AND 7 AND b.v + dv BETWEEN 0 AND 7)"],
-  """SELECT capture_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v FROM (SELECT c.capture_id, g.u, g.v, count(*) AS need, count(w.u) AS have FROM (SELECT DISTINCT capture_id FROM grown) c, grid g
-  LEFT JOIN grown w ON w.capture_id = c.capture_id AND w.u = g.u + g.du AND w.v = g.v + g.dv GROUP BY 1, 2, 3) WHERE need = have"""))
+  """SELECT capture_id, inst_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v FROM (SELECT c.capture_id, c.inst_id, g.u, g.v, count(*) AS need, count(w.u) AS have FROM (SELECT DISTINCT capture_id, inst_id FROM grown) c, grid g
+  LEFT JOIN grown w ON w.capture_id = c.capture_id AND w.inst_id = c.inst_id AND w.u = g.u + g.du AND w.v = g.v + g.dv GROUP BY 1, 2, 3, 4) WHERE need = have"""))
 def _(spark, d):
-    mask = pixels(spark, d).filter("inst_id = 1 AND depth_m > 0.7").select("capture_id", "u", "v")
-    return mk.close_mask(mask, ["capture_id"], 5, TILE, TILE)
+    mask = pixels(spark, d).filter("inst_id > 0").select("capture_id", "inst_id", "u", "v")
+    return mk.close_mask(mask, ["capture_id", "inst_id"], 5, TILE, TILE)
 
 
 @query("M8_mask_to_polygons")
@@ -200,10 +201,10 @@ def _(spark, d):
     )
 
 
-@query("J21_renderable", sql([PIXELS, LABELLED], "SELECT vec_id AS capture_id, vec_id IN (SELECT capture_id FROM lifted WHERE inst_id = 1 AND z > 68e-2) AS has_points FROM embeddings"))
+@query("J21_renderable", sql([PIXELS, LABELLED], "SELECT doc_id AS capture_id, doc_id IN (SELECT capture_id FROM lifted) AS has_points FROM documents"))
 def _(spark, d):
-    caps = table(spark, d, "embeddings").select(F.col("vec_id").alias("capture_id"))
-    ok, rest = vw.renderable(caps, labelled(spark, d).filter("inst_id = 1 AND z > 0.68"))
+    caps = table(spark, d, "documents").select(F.col("doc_id").alias("capture_id"))
+    ok, rest = vw.renderable(caps, labelled(spark, d))
     return ok.withColumn("has_points", F.lit(True)).unionByName(rest.withColumn("has_points", F.lit(False)))
 
 

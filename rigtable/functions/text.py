@@ -92,7 +92,7 @@ def to_metres(raw: Column, depth_scale: Column | float) -> Column:
 
 def hue_of(name: Column) -> Column:
     """Stable hue in degrees for a class without a configured colour."""
-    return F.pmod(F.xxhash64(name), F.lit(360)).cast("int")
+    return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % 360).cast("int")
 
 
 def hue_rgb(hue: Column, saturation: float = 0.65) -> Column:

@@ -165,7 +165,7 @@ def normalize_depth(
 
 def depth_stats(pixels: DataFrame, keys: Sequence[str], depth: str = "depth_m") -> DataFrame:
     keys = list(keys)
-    good = F.col(depth) > 0
+    good = (F.col(depth) > 0) & ~F.isnan(depth)
     base = pixels.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count_if(good).alias("n_valid"),

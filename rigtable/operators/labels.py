@@ -83,9 +83,10 @@ def check_labels(
         named.filter(F.col(label) != "").join(known, label, "left_anti").groupBy(label).agg(F.count("*").alias("n"))
     )
     if mode == "strict":
-        names = [r[0] for r in unknown.select(label).orderBy(label).limit(20).collect()]
-        if names:
-            raise ValueError(f"labels missing from the class registry: {names}")
+        rejects = settle(unknown)
+        n, first = rejects.agg(F.count("*"), F.min(label)).first()
+        if n:
+            raise ValueError(f"{n} labels are missing from the class registry, the first is {first!r}; mode 'warn' returns them all")
     return named.join(known, label, "left_semi"), unknown
 
 

@@ -14,7 +14,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigtable.scale import spread_small
 from rigtable.session import settle
 
 # Width of the column bands that run joins are keyed by.
@@ -22,19 +21,19 @@ BAND = 32
 
 
 def rasterize(
-    polygons: DataFrame, points: str, width: Column | int, height: Column | int, truncate: bool = False
+    polygons: DataFrame, points: str, width: Column | int, height: Column | int, truncate: bool = False, partitions: int | None = None
 ) -> DataFrame:
     """One row per run; all other columns ride along.
 
     ``points`` is ARRAY<ARRAY<DOUBLE>> in pixels.  ``truncate`` cuts vertices to whole
-    pixels first.  The crossings of a whole Arrow batch are sorted and paired at once: the
+    pixels first; ``partitions`` spreads a small table over that many tasks.  The crossings of a whole Arrow batch are sorted and paired at once: the
     step needs no shuffle, and array lambdas per scan line took five times as long.
     """
     width = F.lit(width) if isinstance(width, int) else width
     height = F.lit(height) if isinstance(height, int) else height
     cut = (lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")) if truncate else (lambda c: c)
     keep = [f for f in polygons.schema.fields if f.name != points]
-    flat = spread_small(polygons).filter(F.size(points) >= 3).select(
+    flat = (polygons.repartition(partitions) if partitions else polygons).filter(F.size(points) >= 3).select(
         *[f.name for f in keep],
         F.transform(points, lambda p: cut(p[0])).alias("_xs"),
         F.transform(points, lambda p: cut(p[1])).alias("_ys"),
@@ -193,7 +192,6 @@ def dedup_masks(
     inst: str = "inst_id",
     cls: str = "class_name",
     score: str = "score",
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """Greedy suppression by descending score inside (image, class); input columns returned.
 
@@ -215,9 +213,7 @@ def dedup_masks(
         )
     )
     dropped = None
-    for _ in range(max_rounds):
-        if not edges.take(1):
-            break
+    while edges.take(1):  # every round decides a node at least
         weak = edges.select(*image, F.col("weak").alias("n")).distinct()
         top = edges.select(*image, F.col("strong").alias("n")).distinct().join(weak, image + ["n"], "left_anti")
         out = settle(
@@ -230,8 +226,6 @@ def dedup_masks(
         edges = settle(
             edges.join(gone("weak"), image + ["weak"], "left_anti").join(gone("strong"), image + ["strong"], "left_anti")
         )
-    else:
-        raise RuntimeError("suppression did not settle")
     if dropped is None:
         return dets
     return dets.join(dropped.withColumnRenamed("n", inst), key, "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rigtable.session import scratch_path
 
@@ -22,6 +23,19 @@ def drain(stream: DataFrame, path: str | None = None, fmt: str = "parquet", mode
     return spark.read.schema(stream.schema).format(fmt).load(target)
 
 
+def closed(stream: DataFrame, ts: str = "ts", at: str = "2100-01-01") -> DataFrame:
+    """The stream with one last row far in the future, null but for its time.
+
+    It moves the watermark past all data, so that windows and sessions still open when the input ends are
+    emitted; its own window never is.
+    """
+    spark = SparkSession.active()
+    path = scratch_path(spark, "closing")
+    row = spark.range(1).select(*[(F.lit(at) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields])
+    row.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """Stream a parquet table that is either a folder of files or one single file."""
     jvm = spark.sparkContext._jvm
