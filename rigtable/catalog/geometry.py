@@ -12,7 +12,6 @@ from rigtable.functions import vec
 from rigtable.operators import calib
 from rigtable.operators import geometry as g
 from rigtable.operators import views as vw
-from rigtable.scale import has_large_group
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -203,9 +202,7 @@ def _(spark, d):
 @query("robust_box_per_cloud", sql([CLOUD, MAD, *obb_sql("kept", "cloud_id", "FALSE")], f"SELECT cloud_id, n AS point_count, {OBB_OUT} FROM world"))
 def robust_box(spark, d):
     pts = cloud(spark, d).select("cloud_id", "x", "y", "z")
-    large = has_large_group(pts, ["cloud_id"])
-    clean = g.mad_filter(pts, ["cloud_id"], large=large)
-    return flat_box(g.table_obb(clean, ["cloud_id"], OBB_NORMAL, together=not large), "cloud_id")
+    return flat_box(g.table_obb(g.mad_filter(pts, ["cloud_id"]), ["cloud_id"], OBB_NORMAL), "cloud_id")
 
 
 DET_SQL = [

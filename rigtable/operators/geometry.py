@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigtable.functions import vec
 from rigtable.functions.text import parse_names
-from rigtable.scale import GROUP_LIMIT, group_quantiles, has_large_group, number_rows, ranked_quantile, with_rank
+from rigtable.scale import group_quantiles, median_and_mad, number_rows, with_stats
 
 # Consistency factor and width of the robust depth band.
 MAD_SIGMA = 1.4826
@@ -176,35 +176,20 @@ def depth_stats(pixels: DataFrame, keys: Sequence[str], depth: str = "depth_m")
     return base.join(mid, keys, "left").withColumn("valid_pct", F.col("n_valid") * 100.0 / F.col("n"))
 
 
-def mad_filter(
-    points: DataFrame, keys: Sequence[str], value: str = "z", scale: float = MAD_SCALE, limit: int = GROUP_LIMIT, large: bool | None = None
-) -> DataFrame:
+def mad_filter(points: DataFrame, keys: Sequence[str], value: str = "z", scale: float = MAD_SCALE) -> DataFrame:
     """Keep points within scale * 1.4826 * MAD of the median; a flat group keeps everything.
 
     With a positive MAD at least half of the group lies within one MAD, so the band is
     never empty while scale * 1.4826 >= 1; below that the group's count decides.
     """
     keys = list(keys)
-    if large is None:
-        large = has_large_group(points, keys, limit)
-    if large:
-        centre = group_quantiles(points, keys, value, {"_med": 0.5}, limit, large)
-        around = points.join(centre, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-        spread = group_quantiles(around, keys, "_dev", {"_mad": 0.5}, limit, large)
-        judged = around.join(spread, keys)
-    else:
-        # One shuffle by key serves both medians and whatever groups by the key next.
-        over = lambda c: F.max(c).over(Window.partitionBy(*keys))
-        centre = with_rank(points, keys, value).withColumn("_med", ranked_quantile(value, 0.5, over))
-        around = centre.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))).drop("_i", "_n")
-        judged = with_rank(around, keys, "_dev").withColumn("_mad", ranked_quantile("_dev", 0.5, over)).drop("_i", "_n")
-    judged = judged.withColumn(
-        "_in", (F.col("_mad") < 1e-6) | (F.col("_dev") <= F.lit(scale * MAD_SIGMA) * F.col("_mad"))
+    judged = with_stats(points, median_and_mad(points, keys, value), keys).withColumn(
+        "_in", (F.col("_mad") < 1e-6) | (F.abs(F.col(value) - F.col("_med")) <= F.lit(scale * MAD_SIGMA) * F.col("_mad"))
     )
     if scale * MAD_SIGMA < 1:
         some = judged.groupBy(*keys).agg(F.max(F.col("_in").cast("int")).alias("_some"))
-        judged = judged.join(some, keys).withColumn("_in", F.col("_in") | (F.col("_some") == 0)).drop("_some")
-    return judged.filter("_in").drop("_in", "_dev", "_med", "_mad")
+        judged = with_stats(judged, some, keys).withColumn("_in", F.col("_in") | (F.col("_some") == 0)).drop("_some")
+    return judged.filter("_in").drop("_in", "_med", "_mad")
 
 
 def lift_report(points: DataFrame, masks: DataFrame, keys: Sequence[str], low_pct: float = 95.0) -> DataFrame:
@@ -254,15 +239,12 @@ def table_obb(
     normal: Sequence[float] | str = UNIT_NORMAL,
     force_yaw_zero: Column | bool = False,
     xyz: Sequence[str] = ("x", "y", "z"),
-    together: bool = False,
 ) -> DataFrame:
     """Box aligned to the table plane per group, from two combinable aggregations.
 
     ``normal`` is fixed, or names a STRUCT<x,y,z> column or a ready frame STRUCT<u,v,n>
     (cheaper when many points share it: see ``vec.with_basis``).  The planar covariance
-    gives the yaw, then extremes along the turned axes give centre and extent.  Set
-    ``together`` when the rows already sit with their key (after ``mad_filter``): the
-    covariance is then read over the group in place instead of being joined back.
+    gives the yaw, then extremes along the turned axes give centre and extent.
     """
     keys = list(keys)
     force = F.lit(force_yaw_zero) if isinstance(force_yaw_zero, bool) else force_yaw_zero
@@ -283,14 +265,8 @@ def table_obb(
     moments = {
         "point_count": F.count("*"), "_c": F.covar_samp("_pu", "_pv"), "_vu": F.var_samp("_pu"), "_vv": F.var_samp("_pv"),
     }
-    if together:
-        group = Window.partitionBy(*keys)
-        turned = planar.withColumns({n: c.over(group) for n, c in moments.items()}).withColumnRenamed("_flat", "_zero")
-        turned = turned.withColumn("yaw_rad", yaw)
-    else:
-        shape = planar.groupBy(*keys).agg(*[c.alias(n) for n, c in moments.items()], F.first("_flat").alias("_zero"))
-        shape = shape.withColumn("yaw_rad", yaw).select(*keys, "point_count", "yaw_rad")
-        turned = planar.join(shape, keys)
+    shape = planar.groupBy(*keys).agg(*[c.alias(n) for n, c in moments.items()], F.first("_flat").alias("_zero"))
+    turned = with_stats(planar, shape.withColumn("yaw_rad", yaw).select(*keys, "point_count", "yaw_rad"), keys)
     c, s = F.cos("yaw_rad"), F.sin("yaw_rad")
     local = turned.select(
         *keys, "point_count", "yaw_rad", "_basis",
@@ -346,7 +322,6 @@ def build_detections(
     non_symmetric: str | Sequence[str] = (),
     bounds: Bounds | None = None,
     cls: str = "class_name",
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Filtered points to located detections; too few points leave the pose null.
 
@@ -355,10 +330,9 @@ def build_detections(
     keys = list(keys)
     classes = detections.select(*keys, cls)
     tagged = points.join(classes, keys)
-    large = has_large_group(points, keys, limit)
-    clean = mad_filter(tagged, keys, limit=limit, large=large)
+    clean = mad_filter(tagged, keys)
     reliable = yaw_reliable(cls, non_symmetric)
-    boxes = table_obb(clean, keys, normal, force_yaw_zero=~reliable, together=not large)
+    boxes = table_obb(clean, keys, normal, force_yaw_zero=~reliable)
     enough = F.coalesce(F.col("point_count"), F.lit(0)) >= min_points
     pose = ["center", "extent", "yaw_rad", "yaw_deg", "axes", "corners", "bbox_min", "bbox_max"]
     out = detections.join(boxes, keys, "left").withColumns({c: F.when(enough, F.col(c)) for c in pose})

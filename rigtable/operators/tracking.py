@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rigtable.functions import vec
 from rigtable.functions.angles import circ_mean_deg, circ_std_deg
 from rigtable.operators.geometry import Bounds, in_workspace
-from rigtable.scale import GROUP_LIMIT, number_rows, ordered_fold, running, sliding
+from rigtable.scale import number_rows, ordered_fold, running, sliding
 
 
 @dataclass(frozen=True)
@@ -62,17 +62,17 @@ def _window_stats(frame: Window, lead: str = "") -> dict[str, Column]:
 
 
 def track_window(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, n: int = 10, limit: int = GROUP_LIMIT, chunk: int = 100_000
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, n: int = 10, chunk: int = 100_000
 ) -> DataFrame:
     """Statistics over the last n detections of each track."""
-    out = sliding(df, keys, [F.col(o) for o in order], bucket, n, _window_stats, chunk, limit)
+    out = sliding(df, keys, [F.col(o) for o in order], bucket, n, _window_stats, chunk)
     return out.withColumn("yaw_filtered_deg", F.when(F.col("window_reliable"), F.col("yaw_mean_deg")).otherwise(0.0)).drop("yaw_mean_deg")
 
 
-def rolling_fps(frames: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: str, bucket: Column, n: int = 30, limit: int = GROUP_LIMIT, chunk: int = 100_000) -> DataFrame:
+def rolling_fps(frames: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: str, bucket: Column, n: int = 30, chunk: int = 100_000) -> DataFrame:
     """Frames per second over the last n loop times."""
     over = lambda w: {"fps": F.when(F.sum(seconds).over(w) > 0, F.count(seconds).over(w) / F.sum(seconds).over(w)).otherwise(0.0)}
-    return sliding(frames, keys, [F.col(o) for o in order], bucket, n, over, chunk, limit)
+    return sliding(frames, keys, [F.col(o) for o in order], bucket, n, over, chunk)
 
 
 def strict_ok(cfg: TrackerConfig) -> Column:

@@ -2,11 +2,12 @@
 
 Everything here is exact.  Running values are computed inside (key, bucket) and
 completed with what earlier buckets hold, so a key is spread over its buckets;
-order statistics of a large group are found by narrowing a value histogram.
+order statistics bracket the wanted ranks by a sketch and read what lies inside.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -14,143 +15,100 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rigtable.session import settle
+# Points of a group's rank grid, and the grid steps its sketch may be off by (rank error, both ends, rounding).
+GRID, SLACK = 2000, 6
+LARGEST = 1.7976931348623157e308
 
-# Rows one task may hold for a single group before the spread-out path is taken.
-GROUP_LIMIT = 4_000_000
 
+# --- order statistics -------------------------------------------------------
 
-def has_large_group(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> bool:
-    """Map-side combined count; only one row comes back."""
-    return bool(df.groupBy(*keys).count().filter(F.col("count") > limit).take(1))
 
+def ordered(x: Column) -> Column:
+    """Finite stand-in with the same order: NaN above all, as Spark sorts it."""
+    return F.when(F.isnan(x), LARGEST).otherwise(F.least(F.greatest(x, F.lit(-LARGEST)), F.lit(LARGEST)))
 
-def spread_small(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
-    """Use all cores for work that grows per row when the input fills too few partitions.
 
-    Judged by the plan's size estimate; large inputs keep their scan partitions and no
-    shuffle is added.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(tasks) if size < tasks * bytes_per_task else df
+def rank_grid(x: Column) -> Column:
+    """Aggregate: values of ``x`` at ``GRID`` + 1 evenly spaced ranks, from a mergeable sketch."""
+    return F.percentile_approx(ordered(x), [i / GRID for i in range(GRID + 1)], 10 * GRID)
 
 
-# --- order statistics -------------------------------------------------------
+def bracket(grid: Column, n: Column, p: float) -> tuple[Column, Column]:
+    """Values that the two rows around quantile ``p`` lie between; a group below the grid's resolution is taken whole."""
+    spot = p * GRID
+    low, high = math.floor(spot) - SLACK, math.ceil(spot) + SLACK
+    small = n < 20 * GRID
+    return (
+        F.when(small | F.lit(low < 0), -LARGEST).otherwise(F.get(grid, F.lit(max(low, 0)))),
+        F.when(small | F.lit(high > GRID), LARGEST).otherwise(F.get(grid, F.lit(min(high, GRID)))),
+    )
 
 
-def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    limit: int = GROUP_LIMIT,
-    large: bool | None = None,
-) -> DataFrame:
-    """One row per key with exact, linearly interpolated quantiles named by ``probs``.
+def within(x: Column, low: Column, high: Column) -> Column:
+    """Aggregate STRUCT<below, held>: rows under the bracket and the sorted rows inside it."""
+    spot = ordered(x)
+    return F.struct(
+        F.count_if(spot < low).alias("below"), F.sort_array(F.collect_list(F.when((spot >= low) & (spot <= high), x))).alias("held")
+    )
+
+
+def picked(part: Column, n: Column, p: float) -> Column:
+    """The exact, linearly interpolated quantile from what ``within`` gathered."""
+    spot = F.lit(p) * (n - 1)
+    at = lambda rank: F.get(part["held"], (rank - part["below"]).cast("int"))
+    low, high, share = at(F.floor(spot)), at(F.ceil(spot)), spot - F.floor(spot)
+    return F.when((share == 0) | (low == high), low).otherwise(low + (high - low) * share)
+
+
+def with_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows beside their group's values; null keys match each other."""
+    named = stats.withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(named[f"_s_{k}"])
+    return df.join(named, same).drop(*[f"_s_{k}" for k in keys])
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """One row per key with exact, linearly interpolated quantiles named by ``probs``; null values are left out.
 
-    ``large`` tells whether some key exceeds the limit, where the caller knows.
+    One plan for groups of any size, from two map-side combined passes: a rank sketch per group brackets each
+    quantile to about half a per cent of the rows, then the rows below are counted and those inside gathered.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if large is None:
-        large = has_large_group(data, keys, limit)
-    if not large:
-        ranked = with_rank(data, keys, "_x")
-        return ranked.groupBy(*keys).agg(*[ranked_quantile("_x", p, F.max).alias(name) for name, p in probs.items()])
-    # Own key names, so that no input column can clash with the working columns.
-    safe = [f"_g{i}" for i in range(len(keys))]
-    for old, new in zip(keys, safe):
-        data = data.withColumnRenamed(old, new)
-    out = _narrowed_quantiles(data, safe, probs, limit)
-    for old, new in zip(keys, safe):
-        out = out.withColumnRenamed(new, old)
-    return out
-
-
-def with_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """0-based ``_i`` in value order and the group size ``_n``; one sort per key, spilling as needed."""
-    group = Window.partitionBy(*keys)
-    return df.withColumn("_i", F.row_number().over(group.orderBy(value)) - 1).withColumn("_n", F.count("*").over(group))
-
-
-def ranked_quantile(value: str, p: float, over: Callable[[Column], Column]) -> Column:
-    """Quantile of a ranked group; ``over`` reduces the two rows around it (max, or max over a window)."""
-    spot = F.lit(p) * (F.col("_n") - 1)
-    at = lambda rank: over(F.when(F.col("_i") == rank, F.col(value)))
-    low, high = at(F.floor(spot)), at(F.ceil(spot))
-    share = over(spot - F.floor(spot))
-    return low + (high - low) * share
-
-
-def _narrowed_quantiles(
-    data: DataFrame, keys: list[str], probs: dict[str, float], limit: int, bins: int = 1024
-) -> DataFrame:
-    """Histogram selection: each pass keeps the bin that holds the wanted rank."""
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                side.alias("rank"),
-                F.lit(which).alias("which"),
-                (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))).alias("frac"),
-            )
-            for name, p in probs.items()
-            for which, side in (
-                ("lo", F.floor(F.lit(p) * (F.col("n") - 1))),
-                ("hi", F.ceil(F.lit(p) * (F.col("n") - 1))),
-            )
-        ]
-    )
-    target = keys + ["name", "which", "frac"]
-    open_ = settle(
-        data.groupBy(*keys)
-        .agg(F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        .select(*keys, "n", "lo", "hi", F.explode(ranks).alias("t"))
-        .select(*keys, "t.name", "t.which", "t.frac", F.col("t.rank").alias("k"), "lo", "hi", F.col("n").alias("c"))
+    sketch = data.groupBy(*keys).agg(F.count("*").alias("_n"), rank_grid(F.col("_x")).alias("_grid"))
+    for i, p in enumerate(probs.values()):
+        low, high = bracket(F.col("_grid"), F.col("_n"), p)
+        sketch = sketch.withColumns({f"_lo{i}": low, f"_hi{i}": high})
+    found = with_stats(data, sketch.drop("_grid"), keys).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), *[within(F.col("_x"), F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias(f"_q{i}") for i in range(len(probs))]
     )
-    closed: list[DataFrame] = []
-    while True:
-        small = (F.col("c") <= limit) | (F.col("lo") == F.col("hi"))
-        closed.append(open_.filter(small))
-        open_ = open_.filter(~small)
-        if not open_.take(1):
-            break
-        width = F.col("hi") - F.col("lo")
-        spot = F.least(F.floor((F.col("_x") - F.col("lo")) / width * bins), F.lit(bins - 1))
-        hist = (
-            data.join(open_, keys)
-            .filter(F.col("_x").between(F.col("lo"), F.col("hi")))
-            .groupBy(*target, "k", spot.alias("bin"))
-            .agg(F.count("*").alias("c"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        )
-        upto = Window.partitionBy(*target).orderBy("bin")
-        open_ = settle(
-            hist.withColumn("before", F.sum("c").over(upto) - F.col("c"))
-            .filter((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("c")))
-            .select(*target, (F.col("k") - F.col("before")).alias("k"), "lo", "hi", "c")
-        )
-    found = closed[0]
-    for part in closed[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy(*target).orderBy("_x")
-    flat = found.filter("lo = hi").select(*target, F.col("lo").alias("_x"))
-    ranked = (
-        data.join(found.filter("lo < hi"), keys)
-        .filter(F.col("_x").between(F.col("lo"), F.col("hi")))
-        .withColumn("i", F.row_number().over(order) - 1)
-        .filter(F.col("i") == F.col("k"))
-        .select(*target, "_x")
+    return found.select(*keys, *[picked(F.col(f"_q{i}"), F.col("_n"), p).alias(name) for i, (name, p) in enumerate(probs.items())])
+
+
+def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows (keys, _med, _mad): exact median and median absolute deviation of each group.
+
+    The grid that brackets the median also brackets the deviations, so the rows are read three times and never
+    ranked as a whole.
+    """
+    keys = list(keys)
+    data = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    sketch = data.groupBy(*keys).agg(F.count("*").alias("_n"), rank_grid(F.col("_x")).alias("_grid"))
+    low, high = bracket(F.col("_grid"), F.col("_n"), 0.5)
+    ready = sketch.withColumns({"_lo": low, "_hi": high})
+    first = with_stats(data, ready, keys).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("_grid").alias("_grid"), within(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_q")
     )
-    stats = flat.unionByName(ranked)
-    pick = lambda name, which: F.max(F.when((F.col("name") == name) & (F.col("which") == which), F.col("_x")))
-    frac = lambda name: F.max(F.when(F.col("name") == name, F.col("frac")))
-    return stats.groupBy(*keys).agg(
-        *[
-            (pick(n, "lo") + (pick(n, "hi") - pick(n, "lo")) * frac(n)).alias(n)
-            for n in probs
-        ]
+    centre = first.select(*keys, "_n", "_grid", picked(F.col("_q"), F.col("_n"), 0.5).alias("_med"))
+    apart = F.sort_array(F.transform("_grid", lambda g: ordered(F.abs(g - F.col("_med")))))
+    low, high = bracket(apart, F.col("_n"), 0.5)
+    ready = centre.withColumns({"_lo": low, "_hi": high}).drop("_grid")
+    second = with_stats(data, ready, keys).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("_med").alias("_med"), within(F.abs(F.col("_x") - F.col("_med")), F.col("_lo"), F.col("_hi")).alias("_q")
     )
+    return second.select(*keys, "_med", picked(F.col("_q"), F.col("_n"), 0.5).alias("_mad"))
 
 
 # --- running values over (key, bucket) --------------------------------------
@@ -247,21 +205,11 @@ def with_halo(df: DataFrame, keys: Sequence[str], position: str, halo: int, chun
 
 
 def sliding(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    bucket: Column,
-    rows: int,
-    values: Callable[[Window], dict[str, Column]],
-    chunk: int = 100_000,
-    limit: int = GROUP_LIMIT,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, rows: int, values: Callable[[Window], dict[str, Column]], chunk: int = 100_000
 ) -> DataFrame:
-    """Columns over the last ``rows`` rows of each key; large keys are cut into chunks."""
+    """Columns over the last ``rows`` rows of each key, which is cut into chunks that borrow the rows before."""
     keys = list(keys)
     cols = df.columns
-    if not has_large_group(df, keys, limit):
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), 0)
-        return df.select(*cols, *[c.alias(n) for n, c in values(frame).items()])
     numbered = number_rows(df, keys, bucket, order, "_rn")
     cut = with_halo(numbered, keys, "_rn", rows - 1, chunk)
     frame = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(-(rows - 1), 0)

@@ -206,3 +206,22 @@ def test_ranking_puts_missing_last(spark):
     rows = [("a", 0.5, 0.1), ("b", float("nan"), 0.2), ("c", 0.61239, 0.3)]
     out = md.rank_models(spark.createDataFrame(rows, "model string, mask_map50_95 double, mask_map50 double")).collect()
     assert [r["model"] for r in out] == ["c", "a", "b"] and out[0]["best"] and out[0]["mask_map50_95"] == 0.6124
+
+
+def test_a_second_export_replaces_the_first(spark, tmp_path):
+    lines = spark.createDataFrame([("train", "a", 0, "0 1"), ("val", "b", 0, "0 2")], "split string, stem string, line_no int, line string")
+    sk.write_yolo(lines, f"{tmp_path}/yolo")
+    sk.write_yolo(lines.filter("split = 'train'"), f"{tmp_path}/yolo")
+    assert [r.split for r in spark.read.json(f"{tmp_path}/yolo").collect()] == ["train"]
+    points = spark.createDataFrame([("c1", 1.0), ("c2", 2.0)], "capture_id string, x double")
+    sk.write_points(points, f"{tmp_path}/points")
+    sk.write_points(points.filter("capture_id = 'c1'"), f"{tmp_path}/points")
+    assert sk.read_points(spark, f"{tmp_path}/points").count() == 1
+
+
+def test_unknown_labels_are_counted_in_full(spark):
+    shapes = spark.createDataFrame([(f"odd{k:03}",) for k in range(60)] + [("cork",)], "label string")
+    known = spark.createDataFrame([(0, "cork")], "class_id int, name string")
+    with pytest.raises(ValueError, match="60 labels .* 'odd000'"):
+        lb.check_labels(shapes, known)
+    assert lb.check_labels(shapes, known, "warn")[1].count() == 60

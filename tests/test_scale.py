@@ -20,14 +20,37 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_quantiles_of_large_groups(skewed):
+@pytest.mark.parametrize("grid", [30, scale.GRID])
+def test_quantiles_of_large_groups(skewed, monkeypatch, grid):
+    monkeypatch.setattr(scale, "GRID", grid)
     pdf, df = skewed
     probs = {"a": 0.02, "m": 0.5, "z": 0.98}
-    for limit in (10, 10**6):
-        got = scale.group_quantiles(df, ["key"], "v", probs, limit).toPandas().set_index("key")
-        for key, part in pdf.groupby("key"):
-            want = [np.percentile(part["v"], 100 * p) for p in probs.values()]
-            assert np.allclose(got.loc[key, list(probs)].astype(float), want), key
+    got = scale.group_quantiles(df, ["key"], "v", probs).toPandas().set_index("key")
+    spread = scale.median_and_mad(df, ["key"], "v").toPandas().set_index("key")
+    for key, part in pdf.groupby("key"):
+        want = [np.percentile(part["v"], 100 * p) for p in probs.values()]
+        assert np.allclose(got.loc[key, list(probs)].astype(float), want), key
+        mid = np.median(part["v"])
+        assert np.allclose(spread.loc[key].astype(float), [mid, np.median(np.abs(part["v"] - mid))]), key
+
+
+def test_quantiles_with_infinite_missing_and_null_values(spark, monkeypatch):
+    monkeypatch.setattr(scale, "GRID", 30)
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, float(v)) for v in range(1000)] + [(1, inf)] * 3 + [(1, -inf), (1, None), (None, 2.0), (None, 4.0)] + [(2, nan)] * 700 + [(2, 1.0)] * 600
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r.k: r for r in scale.group_quantiles(df, ["k"], "v", {"lo": 0.25, "mid": 0.5, "top": 1.0}).collect()}
+    assert (got[1].lo, got[1].mid, got[1].top) == (249.75, 500.5, inf)
+    assert got[None].mid == 3.0 and got[2].lo == 1.0 and np.isnan(got[2].mid) and np.isnan(got[2].top)
+
+
+def test_no_job_runs_before_the_result(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    spark.sparkContext.setJobGroup("quantiles", "none expected")
+    scale.group_quantiles(df, ["k"], "v", {"m": 0.5})
+    scale.median_and_mad(df, ["k"], "v")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles")
+    spark.sparkContext.setJobGroup("", "")
 
 
 def test_running_values(skewed):
@@ -57,7 +80,7 @@ def test_exclusive_running_is_a_lag(skewed):
 def test_sliding_across_chunks(skewed):
     pdf, df = skewed
     values = lambda w: {"m": F.avg("v").over(w), "n": F.count("*").over(w)}
-    got = scale.sliding(df, ["key"], [F.col("t")], F.floor(F.col("t") / 50), 10, values, chunk=16, limit=5)
+    got = scale.sliding(df, ["key"], [F.col("t")], F.floor(F.col("t") / 50), 10, values, chunk=16)
     got = got.toPandas().sort_values(["key", "t"])
     roll = pdf.sort_values(["key", "t"]).groupby("key")["v"].rolling(10, min_periods=1)
     assert len(got) == len(pdf)
