@@ -29,6 +29,12 @@ HEADLINE = [
     "U4_split_dataset",
     "M4_render_views",
     "M11_lift_captures",
+    "A20_qc_report",
+    "T2_perception_publish",
+    "W3_stability",
+    "O9_dedup_masks",
+    "M8_mask_to_polygons",
+    "M9_export_review",
 ]
 
 
