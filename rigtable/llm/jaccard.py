@@ -3,13 +3,14 @@
 A document's set: 64-bit hashes of its distinct five-word shingles, words lower-cased A-Z (all words as one
 shingle if fewer; a chance collision could move a set's size by one with odds of about n * n / 2^65).
 
-1. Blocks of documents ask how many documents hold each of their shingles; only shingles of two or more come
-   back.  Requests and answers are packed arrays, a block lists a shingle once, so a hot passage is one entry a
+1. Blocks of documents ask how many distinct texts hold each of their shingles; only shingles of two or more
+   come back.  Requests and answers are packed arrays, a block lists a shingle once, so a hot passage is one entry a
    block.  Requests hold 32-bit prints within a bucket: a print shared by chance raises a count, no more.
 2. Each set is ordered rarest first.  Two sets that link share a token of their prefixes, the first
    n - ceil(0.8 n) + 1 tokens; tokens that no other document holds keep their position but join with nothing.
 3. Equal sets are one class.  Classes meet on prefix tokens, pass the length filter (sizes within 80 %), the
-   positional filter (shared prefix tokens plus what can follow the last of them) and the suffix filter (for
+   positional filter (tokens before the shared one that another text holds, in both, plus what can follow in
+   both, have to make up the overlap that is needed) and the suffix filter (for
    sixteen ranges of hashes the smaller of both counts, summed: what lies outside cannot be shared) and are verified once a pair on whole sets.
 4. Hot tokens: all classes of a token first meet one pivot, then a second one.  What is then in one component
    needs no further pair; only pairs across components follow, all of them.  So no link between different
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigtable.llm.common import block_count, stage
-from rigtable.llm.components import components
+from rigtable.llm.components import components, merged
 from rigtable.llm.words import words_of
 
 BLOCK_BYTES = 8 << 20
@@ -91,15 +93,19 @@ def prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
     blocks = block_count(docs, "text", BLOCK_BYTES)
     placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     buckets = blocks
+    # One document of each text: copies would make their shingles look shared.
+    same = ["octet_length(text)", "xxhash64(text)", "crc32(cast(text AS binary))"]
+    once = placed.where("text IS NOT NULL").groupBy(*map(F.expr, same)).agg(F.min(F.struct("doc_id", "block")).alias("head")).select("head.*")
 
-    def ask(group: pa.Table) -> pa.Table:
-        every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(group.column("text"), width)])
+    def ask(group: pa.Table, heads: pa.Table) -> pa.Table:
+        first = pc.is_in(group.column("doc_id"), heads.column("doc_id").combine_chunks() if heads.num_rows else pa.array([], pa.int64()))
+        every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(group.column("text").filter(first), width)])
         values, counts = np.unique(every, return_counts=True)
         bucket = (values >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         values, counts, bucket = values[order], counts[order], bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(2**63), append=np.uint64(2**63)))
-        block, rows = group.column("block")[0].as_py(), list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        block, rows = group.column("block")[0].as_py() if group.num_rows else 0, list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         return pa.table({
             "bucket": pa.array([int(bucket[a]) for a, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
             "prints": pa.array([values[a:b].astype("<u4").tobytes() for a, b in rows], pa.binary()),
@@ -153,16 +159,17 @@ def prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
             "positions": pa.array(positions, pa.list_(pa.int32())), "bins": pa.array(bins, pa.list_(pa.int32())), "shingles": pa.array(packed, pa.binary()),
         })
 
-    asked = placed.groupBy("block").applyInArrow(ask, "bucket int, block int, prints binary, counts binary")
+    asked = placed.groupBy("block").cogroup(once.groupBy("block")).applyInArrow(ask, "bucket int, block int, prints binary, counts binary")
     known = asked.groupBy("bucket").applyInArrow(count, "block int, bucket int, prints binary, counts binary")
     schema = "doc_id long, n long, sum long, xor long, tokens array<long>, positions array<int>, bins array<int>, shingles binary"
     return stage(placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(order, schema), "shingles")
 
 
 def filtered(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that met on a prefix token (row: a, b, n_a, n_b, i, j, bins_a, bins_b) and pass all filters."""
+    """Pairs (a, b), a < b, of classes that met on a prefix token (row: a, b, n_a, n_b, k_a, k_b, i, j, bins_a, bins_b)
+    and pass all filters.  i, j: positions of the token; k_a, k_b: how many prefix tokens before it other texts hold."""
     needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    positional = F.least("i", "j") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= needed
+    positional = F.least("k_a", "k_b") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= needed
     suffix = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y) >= needed
     length = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return met.where(F.col("a") != F.col("b")).where(length).where(positional).where(suffix).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -196,46 +203,44 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
     classes = stage(held.groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = held.where("size(tokens) > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     heads = stage(heads.select("doc_id", "n", "tokens", "positions", "bins", "shingles"), "class-sets")
-    entries = stage(heads.select("doc_id", "n", "bins", F.explode(F.arrays_zip("tokens", "positions")).alias("t")).select(
-        F.col("t.tokens").alias("token"), "doc_id", "n", F.col("t.positions").alias("i"), "bins"
+    entries = stage(heads.select("doc_id", "n", "bins", F.posexplode(F.arrays_zip("tokens", "positions")).alias("k", "t")).select(
+        F.col("t.tokens").alias("token"), "doc_id", "n", "k", F.col("t.positions").alias("i"), "bins"
     ), "prefixes")
 
-    as_b = [F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("j"), F.col("bins").alias("bins_b")]
-    as_a = [F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("i"), F.col("bins").alias("bins_a")]
+    as_b = [F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("i").alias("j"), F.col("bins").alias("bins_b")]
+    as_a = [F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("i"), F.col("bins").alias("bins_a")]
 
     def found(met: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        pairs = filtered(met, percent)
+        pairs = stage(filtered(met, percent), "pairs")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
         return pairs, stage(verified(pairs, heads, percent), "links")
 
-    def with_component(links: DataFrame) -> DataFrame:
+    def with_component(known: DataFrame) -> DataFrame:
         """Entries of tokens that meet in more than one component, with the component."""
-        known = components(links).withColumnRenamed("id", "doc_id")
-        now = entries.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        now = entries.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         open_tokens = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
         return stage(now.join(open_tokens, "token", "left_semi"), "open-prefixes")
 
-    pivot = F.min_by(F.struct("doc_id", "n", "i", "bins"), "doc_id").alias("p")
+    pivot = F.min_by(F.struct("doc_id", "n", "k", "i", "bins"), "doc_id").alias("p")
     pivots = entries.groupBy("token").agg(pivot, F.count("*").alias("m")).where("m > 1").select("token", "p.*").select("token", *as_a)
     pivots = stage(pivots, "pivots")
     tested, links = found(pivots.join(entries.select("token", *as_b), "token"), None)
 
-    still = with_component(links)
+    known = components(links)
+    still = with_component(known)
     # The second pivot: the largest id, which the first one missed in tokens that are still open more often than not.
-    last = F.max_by(F.struct("doc_id", "n", "i", "bins", "component"), "doc_id").alias("p")
-    pivots = still.groupBy("token").agg(last).select("token", "p.*").select("token", "component", *as_a)
-    pivots = stage(pivots, "pivots")
+    last = F.max_by(F.struct("doc_id", "n", "k", "i", "bins", "component"), "doc_id").alias("p")
+    pivots = stage(still.groupBy("token").agg(last).select("token", "p.*").select("token", "component", *as_a), "pivots")
     others = still.select("token", F.col("component").alias("other"), *as_b)
     more, found_links = found(pivots.join(others, "token").where("component <> other"), tested)
-    tested, links = tested.unionByName(more), links.unionByName(found_links)
+    tested, joined = tested.unionByName(more), merged(known, found_links)
 
-    still = with_component(links)
+    if joined is not known:
+        still = with_component(joined)
     left, right = still.select("token", "component", *as_a), still.select("token", F.col("component").alias("other"), *as_b)
     _, found_links = found(left.join(right, "token").where("component < other"), tested)
-
-    known = components(links.unionByName(found_links)).withColumnRenamed("id", "class_id")
+    known = merged(joined, found_links).withColumnRenamed("id", "class_id")
     placed = ready.select("doc_id", "n", "sum", "xor").join(classes, ["n", "sum", "xor"], "left").join(known, "class_id", "left")
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")), F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), F.col("doc_id")).alias("class_id"))
