@@ -30,9 +30,9 @@ FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Señorita|Lady|Госпожа
 NEUTRAL = r"Dr|Prof"
 NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<![a-z])(?:password|passwd|secret|token|api_?key)\s?[=:]\s?[\"']?)[A-Za-z0-9/+_-]{8,}|(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])",
+    "secret": r"(?i:(?<![a-z])(?:password|passwd|secret|token|api_?key)\s?[=:]\s?[\"']?)[A-Za-z0-9/+_-]{8,}|(?<![A-Za-z0-9])(?=[a-f]*\d)[0-9a-f]{40}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{2,5}){2,5}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
@@ -40,9 +40,10 @@ PATTERNS = {
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "name": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {NAME}(?: {NAME})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap test that every entity passes: an address sign, a digit, a secret's sign or a title.
-MAYBE = rf"[@0-9]|(?i:password|passwd|secret|token|api_?key)|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
+#: No entity begins inside a word: most places fail at the first test.
+ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: What every entity without a digit holds one of: an address or assignment sign, a key's prefix or a title (the shorter where one begins another).
+SIGNS = ("@", "=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "Mr", "Ms", "Miss", "Frau", "Herr", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Sir", "Lord", "Lady", "Dr", "Prof", "осподин", "оспожа")
 DIGITS = ("phone", "ssn", "card")
 SYLLABLES = {
     "latin": "ba be bo da de di do fa fe ga go ka ke ko la le li lo ma me mi mo na ne ni no pa po ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
@@ -67,18 +68,18 @@ def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def stream(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
-    """64 keyed numbers from 0 to 65,535 for an entity and an attempt."""
-    named = F.concat_ws("\x1f", F.lit(key), kind, canonical, attempt.cast("string"))
-    text = F.concat(F.sha2(named, 512), F.sha2(F.concat(named, F.lit("\x1f")), 512))
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(text, 4 * i + 1, F.lit(4)), 16, 10).cast("int"))
+def drawn(state: DataFrame, key: str) -> DataFrame:
+    """Adds ``n``, 32 keyed numbers from 0 to 65,535 for (kind, canonical, attempt), as a column: later expressions use it often."""
+    named = F.concat_ws("\x1f", F.lit(key), "kind", "canonical", F.col("attempt").cast("string"))
+    hashed = state.withColumn("hash", F.sha2(named, 512))
+    return hashed.withColumn("n", F.array(*[F.conv(F.substring("hash", 4 * i + 1, 4), 16, 10).cast("int") for i in range(32)])).drop("hash")
 
 
 def by_class(text: Column, numbers: Column, hexadecimal: Column) -> Column:
     """Every letter and digit replaced by one of its class; hexadecimal: letters stay below g."""
 
     def one(char: Column, i: Column) -> Column:
-        n = F.get(numbers, i % 64)
+        n = F.get(numbers, i % 32)
         letters = F.when(hexadecimal, 6).otherwise(26)
         return (
             F.when(char.between("0", "9"), (n % 10).cast("string"))
@@ -101,9 +102,8 @@ def with_check_digit(number: Column) -> Column:
 
 
 def surrogate(key: str) -> Column:
-    """The surrogate of (kind, canonical) at an attempt."""
-    kind, canonical, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
-    n = stream(key, kind, canonical, attempt)
+    """The surrogate of (kind, canonical) at an attempt with its numbers ``n``."""
+    kind, canonical, attempt, n = F.col("kind"), F.col("canonical"), F.col("attempt"), F.col("n")
     plain = by_class(canonical, n, canonical.rlike("^[0-9a-f]+$"))
     local, domain = F.split_part(canonical, F.lit("@"), F.lit(1)), F.split_part(canonical, F.lit("@"), F.lit(2))
     host = F.concat(F.lit("m"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256), 1, 6), F.lit(".example.net"))
@@ -116,8 +116,8 @@ def surrogate(key: str) -> Column:
     iban = F.concat(F.substring(canonical, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
     name = None
     for (script, gender), endings in ENDINGS.items():
-        parts = F.array_join(F.transform(F.sequence(F.lit(0), 1 + attempt), lambda i: F.get(F.array(*map(F.lit, SYLLABLES[script])), F.get(n, i % 64) % len(SYLLABLES[script]))), "")
-        whole = F.concat(parts, F.get(F.array(*map(F.lit, endings)), F.get(n, F.lit(63)) % len(endings)))
+        parts = F.array_join(F.transform(F.sequence(F.lit(0), 1 + attempt), lambda i: F.get(F.array(*map(F.lit, SYLLABLES[script])), F.get(n, i % 31) % len(SYLLABLES[script]))), "")
+        whole = F.concat(parts, F.get(F.array(*map(F.lit, endings)), F.get(n, F.lit(31)) % len(endings)))
         fits = kind.like(f"%name {gender} {script}")
         name = F.when(fits, whole) if name is None else name.when(fits, whole)
     return (
@@ -171,7 +171,8 @@ def rendered(kind: Column, original: Column, replacement: Column) -> Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """Rows (kind, canonical, surrogate), surrogates distinct within a kind and from all entities; entities: distinct kind, canonical."""
-    state = stage(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(key)).withColumn("settled", F.lit(False)), "surrogates")
+    first_draw = drawn(entities.withColumn("attempt", F.lit(0)), key).withColumn("surrogate", surrogate(key)).drop("n")
+    state = stage(first_draw.withColumn("settled", F.lit(False)), "surrogates")
     taken = entities.select("kind", F.col("canonical").alias("surrogate"))
     while True:
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy(F.col("settled").desc(), "canonical")) == 1
@@ -181,21 +182,25 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if state.where("NOT settled").isEmpty():
             return state.select("kind", "canonical", "surrogate")
         state = state.withColumn("attempt", F.when(F.col("settled"), F.col("attempt")).otherwise(F.col("attempt") + 1))
-        state = state.withColumn("surrogate", F.when(F.col("settled"), F.col("surrogate")).otherwise(surrogate(key)))
+        state = drawn(state, key).withColumn("surrogate", F.when(F.col("settled"), F.col("surrogate")).otherwise(surrogate(key))).drop("n")
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with entities of the text replaced, and ``n_replaced`` (in place of any column so named)."""
     kept = [c for c in docs.columns if c != "n_replaced"]
     rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("body"))
-    has = F.coalesce(F.col("body").rlike(MAYBE) & F.col("body").rlike(ANY), F.lit(False))
+    # Plain searches rule most documents out; only the others are tried against the patterns.
+    maybe = F.col("body").rlike("[0-9]")
+    for sign in SIGNS:
+        maybe = maybe | F.contains("body", F.lit(sign))
+    maybe = F.coalesce(maybe, F.lit(False))
 
     def out(rows: DataFrame, body: Column, n: Column) -> DataFrame:
         columns = [body.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept]
         return rows.select(*columns, n.cast("long").alias("n_replaced"))
 
     # Matches of a document with the text before each, and the rest; ids are stable because the rows are staged.
-    hits = stage(rows.where(has).select(
+    hits = stage(rows.where(maybe).select(
         F.monotonically_increasing_id().alias("hit"), "row", F.split("body", ANY, -1).alias("between"), F.regexp_extract_all("body", F.lit(ANY), F.lit(0)).alias("matches")
     ), "pii-hits")
     found = hits.select("hit", F.posexplode("matches").alias("at", "value")).withColumn("kind", kind_of(F.col("value")))
@@ -205,7 +210,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         "hit", F.struct("at", "part", F.concat("lead", rendered(F.col("kind"), F.col("original"), F.col("surrogate"))).alias("text")).alias("piece")
     )
     fixes = written.groupBy("hit").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))  # entities of one document
-    joined = hits.join(fixes, "hit")
+    joined = hits.join(fixes, "hit", "left").withColumn("pieces", F.coalesce("pieces", F.array().cast(fixes.schema["pieces"].dataType)))
     replaced = F.transform("between", lambda x, i: F.concat(x, F.array_join(F.transform(F.filter("pieces", lambda p: p["at"] == i), lambda p: p["text"]), "")))
     changed = out(joined, F.array_join(replaced, ""), F.size("matches"))
-    return out(rows.where(~has), F.col("body"), F.lit(0)).unionByName(changed)
+    return out(rows.where(~maybe), F.col("body"), F.lit(0)).unionByName(changed)
