@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rigtable.catalog.bind import CLASSES, GOOD, HEIGHT, IMAGES, PIXELS, SHAPES, VALID, WIDTH, detections, images, pixels, r, rs, shapes, sql, table
+from rigtable.catalog.bind import CLASSES, DETS, GOOD, HEIGHT, IMAGES, PIXELS, SHAPES, VALID, WIDTH, detections, images, pixels, r, rs, shapes, sql, table
 from rigtable.catalog.labels import CLASS_ROWS, good_shapes
 from rigtable.operators import labels as lb
 from rigtable.operators import masks as mk
@@ -266,24 +266,26 @@ def _(spark, d):
     return sk.ply_lines(pts).groupBy("capture_id").agg(F.count("line").alias("n_lines"))
 
 
-@query("K4_frame_records", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS n FROM events WHERE value < 200 GROUP BY 1")
+@query("K4_frame_records", sql(DETS, f"""SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) AS n, {rs('sum(round_even(confidence, 6))', 4)} AS confidence, {rs('sum(round_even(cy, 6))', 4)} AS y FROM dets WHERE in_workspace GROUP BY 1"""))
 def _(spark, d):
     from rigtable.catalog.tracking import stream_detections
     from rigtable.operators.tracking import frame_records
 
-    recs = frame_records(stream_detections(spark, d)).withColumn("session_id", F.col("session_id").cast("string"))
-    return drain(recs, fmt="json").groupBy("session_id").agg(F.count("detection.class_name").alias("n"))
+    dets = stream_detections(spark, d).withColumn("session_id", F.col("session_id").cast("string"))
+    path = scratch_path(spark, "frames")
+    sk.write_frames(dets, path, f"{path}.state", once=True).awaitTermination()
+    seen = spark.read.schema(frame_records(dets).schema).json(path).select("session_id", "detection.*")
+    return seen.groupBy("session_id").agg(F.count("class_name").alias("n"), r(F.sum("confidence"), 4).alias("confidence"), r(F.sum(F.col("center_camera_xyz_m")[1]), 4).alias("y"))
 
 
-@query("S2_image_inventory", "SELECT source AS pool, count(*) AS n FROM documents GROUP BY 1")
+@query("S2_image_inventory", "SELECT source AS pool, CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS suffix, count(*) AS n FROM documents GROUP BY 1, 2")
 def _(spark, d):
-    from rigtable.functions.text import folder, stem, suffix
-
-    # The listing of an inventory kept as a table: paths split as the file scan does.
-    path = F.concat(F.lit("/pool/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".JPG"))
-    rows = table(spark, d, "documents").select(path.alias("path"))
-    kept = rows.filter(suffix(F.col("path")).isin(list(rd.IMAGE_SUFFIXES))).select(F.element_at(F.split(folder(F.col("path")), "/"), -1).alias("pool"), stem(F.col("path")).alias("stem"))
-    return kept.groupBy("pool").agg(F.countDistinct("stem").alias("n"))
+    root = scratch_path(spark, "pool")
+    name = F.concat("source", F.lit("/"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".JPG").otherwise(".png"))
+    rows = table(spark, d, "documents").select(name.alias("file"), F.lit("x").alias("text"))
+    notes = rows.select(F.concat("file", F.lit(".txt")).alias("file"), "text")
+    sk.write_text_files(rows.unionByName(notes), root).agg(F.sum("lines")).first()
+    return rd.list_images(spark, root).groupBy("pool", "suffix").agg(F.countDistinct("stem").alias("n"))
 
 
 # --- captures --------------------------------------------------------------------------------------
@@ -342,10 +344,9 @@ def _(spark, d):
     sample = lambda index: F.struct(index.alias("index"), F.lit("f.png").alias("image"), eye.alias("base_T_ee"), F.lit(9).alias("n_corners"))
     head = ["session_id", F.lit("base").alias("base_frame"), F.lit("ee").alias("ee_frame"), F.lit("board.json").alias("board")]
     path = scratch_path(spark, "sessions")
-    one.select(*head, F.array(sample(F.lit(0))).alias("samples")).write.json(path)
-    old = spark.read.schema(rd.schemas.SESSION).json(path).select("session_id", "base_frame", "ee_frame", "board", F.explode("samples").alias("_s")).select(
-        "session_id", "base_frame", "ee_frame", "board", "_s.*"
-    )
+    whole = F.to_json(F.struct(*head, F.array(sample(F.lit(0))).alias("samples")))
+    sk.write_text_files(one.select(F.concat("session_id", F.lit("/session.json")).alias("file"), whole.alias("text")), path).agg(F.sum("lines")).first()
+    old = rd.read_sessions(spark, path)
     new = det.withColumn("session_id", F.col("session_id").cast("string")).select(
         *head, F.lit(None).cast("int").alias("index"), F.lit("f.png").alias("image"), eye.alias("base_T_ee"), F.lit(9).alias("n_corners"), F.col("ts").alias("taken_at")
     )

@@ -54,6 +54,11 @@ def labelme_document() -> Column:
     return F.to_json(F.struct(*[F.col(n) for n in names]), {"ignoreNullFields": "false"})
 
 
+def write_text_files(rows: DataFrame, root: str) -> DataFrame:
+    """Rows ``file, text`` as one file each name; file and line count come back once the result is read."""
+    return _write_text_files(rows, root, "file", "text", [])
+
+
 def write_labelme(docs: DataFrame, path: str, layout: str = "lines") -> DataFrame | None:
     """Annotation documents as JSON lines partitioned by pool, or as one file per image."""
     if layout == "lines":
@@ -91,11 +96,10 @@ def write_manifest(classes: DataFrame, path: str) -> None:
     manifest_text(classes).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_frames(stream: DataFrame, path: str, state: str, stable_only: bool = False):
-    """Streaming JSON sink of rounded frame records."""
-    return (
-        frame_records(stream, stable_only).writeStream.format("json").outputMode("append").option("checkpointLocation", state).start(path)
-    )
+def write_frames(stream: DataFrame, path: str, state: str, stable_only: bool = False, once: bool = False):
+    """Streaming JSON sink of rounded frame records; ``once`` ends when everything available is written."""
+    records = frame_records(stream, stable_only).writeStream.format("json").outputMode("append").option("checkpointLocation", state)
+    return (records.trigger(availableNow=True) if once else records).start(path)
 
 
 def write_points(points: DataFrame, path: str, meta: DataFrame | None = None) -> None:
