@@ -10,11 +10,14 @@ shingle if fewer; a chance collision could move a set's size by one with odds of
    n - ceil(0.8 n) + 1 tokens; tokens that no other document holds keep their position but join with nothing.
 3. Equal sets are one class.  Classes meet on prefix tokens, pass the length filter (sizes within 80 %), the
    positional filter (tokens before the shared one that another text holds, in both, plus what can follow in
-   both, have to make up the overlap that is needed) and the suffix filter (for
-   sixteen ranges of hashes the smaller of both counts, summed: what lies outside cannot be shared) and are verified once a pair on whole sets.
-4. Hot tokens: all classes of a token first meet one pivot, then a second one.  What is then in one component
-   needs no further pair; only pairs across components follow, all of them.  So no link between different
-   components is lost, and a group of near copies costs a pair a member, not a pair for any two.
+   both, have to make up the overlap that is needed) and the suffix filter (a
+   lower bound of the Hamming distance: places of a bitmap of hashes that only one set fills) and are verified once a pair on whole sets.
+4. Hot tokens: a few rounds first compare classes at random.  A round takes a share of all tokens (the first the
+   last ones of each prefix, which most of a group has), deals a token's classes into slots of about ``SLOT``
+   and lets all pairs of a slot meet.  What is then in one component needs no further pair; only pairs across
+   components follow, all of them, on all prefix tokens.  So no link between different components is lost, and
+   a group of near copies costs a few pairs a member, not a pair for any two; nothing of a token larger than a
+   slot meets in one task in these rounds.
 
 Null or empty text, or no words: an empty set, linked with nothing, a component of its own.  Null ids: sizes
 are returned, component null, no links.  Repeated rows of an id are one class or linked like any others.
@@ -38,7 +41,10 @@ from rigtable.llm.words import words_of
 BLOCK_BYTES = 8 << 20
 #: Shingles of a bucket of counts, about.
 BUCKET = 2_000_000
-BINS = 16
+#: 64-bit words of a set's bitmap.
+BITMAP = 16
+#: Last prefix tokens of a class in the first random round, part of all tokens in later ones, classes of a slot, rounds.
+LATE, PART, SLOT, ROUNDS = 4, 8, 8, 4
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -79,15 +85,22 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """One bit for each of the top bits of the hashes that occurs."""
+    places = np.zeros(64 * BITMAP, bool)
+    places[(own >> np.uint64(64 - (64 * BITMAP - 1).bit_length())).astype(np.int64)] = True
+    return np.packbits(places, bitorder="little").view("<i8")
+
+
 def at_least(n: np.ndarray | int, percent: int):
     """Smallest integer of at least percent/100 of n."""
     return -(-n * percent // 100)
 
 
 def prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Rows (doc_id, n, sum, xor, tokens, positions, bins, shingles), staged; docs: doc_id, text.
+    """Rows (doc_id, n, sum, xor, tokens, positions, bits, shingles), staged; docs: doc_id, text.
 
-    sum, xor: 128 bits that tell sets apart; tokens: prefix tokens held by two documents or more, with their positions in the rare-first order; bins
+    sum, xor: 128 bits that tell sets apart; tokens: prefix tokens held by two documents or more, with their positions in the rare-first order; bits
     and shingles (packed) are null where there are none.
     """
     blocks = block_count(docs, "text", BLOCK_BYTES)
@@ -136,7 +149,7 @@ def prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
         by_key = np.argsort(keys)
         keys, counts = keys[by_key], counts[by_key]
         sets = shingle_sets(group.column("text"), width)
-        n, sums, xors, tokens, positions, bins, packed = [], [], [], [], [], [], []
+        n, sums, xors, tokens, positions, bits, packed = [], [], [], [], [], [], []
         for own in sets:
             n.append(len(own))
             frequency = np.ones(len(own), np.int64)
@@ -152,25 +165,26 @@ def prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
             tokens.append(own[prefix[shared]].view(np.int64))
             positions.append(shared.astype(np.int32))
             held = len(shared) > 0
-            bins.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32) if held else None)
+            bits.append(bitmap(own) if held else None)
             packed.append(own.astype("<u8").tobytes() if held else None)
         return pa.table({
             "doc_id": group.column("doc_id"), "n": pa.array(n, pa.int64()), "sum": pa.array(np.array(sums, np.uint64).view(np.int64)), "xor": pa.array(np.array(xors, np.uint64).view(np.int64)), "tokens": pa.array(tokens, pa.list_(pa.int64())),
-            "positions": pa.array(positions, pa.list_(pa.int32())), "bins": pa.array(bins, pa.list_(pa.int32())), "shingles": pa.array(packed, pa.binary()),
+            "positions": pa.array(positions, pa.list_(pa.int32())), "bits": pa.array(bits, pa.list_(pa.int64())), "shingles": pa.array(packed, pa.binary()),
         })
 
     asked = placed.groupBy("block").cogroup(once.groupBy("block")).applyInArrow(ask, "bucket int, block int, prints binary, counts binary")
     known = asked.groupBy("bucket").applyInArrow(count, "block int, bucket int, prints binary, counts binary")
-    schema = "doc_id long, n long, sum long, xor long, tokens array<long>, positions array<int>, bins array<int>, shingles binary"
+    schema = "doc_id long, n long, sum long, xor long, tokens array<long>, positions array<int>, bits array<long>, shingles binary"
     return stage(placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(order, schema), "shingles")
 
 
 def filtered(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that met on a prefix token (row: a, b, n_a, n_b, k_a, k_b, i, j, bins_a, bins_b)
+    """Pairs (a, b), a < b, of classes that met on a prefix token (row: a, b, n_a, n_b, k_a, k_b, i, j, bits_a, bits_b)
     and pass all filters.  i, j: positions of the token; k_a, k_b: how many prefix tokens before it other texts hold."""
     needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     positional = F.least("k_a", "k_b") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= needed
-    suffix = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y) >= needed
+    apart = sum((F.bit_count(F.get("bits_a", F.lit(w)).bitwiseXOR(F.get("bits_b", F.lit(w)))) for w in range(BITMAP)), F.lit(0))
+    suffix = apart <= F.col("n_a") + F.col("n_b") - 2 * needed
     length = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return met.where(F.col("a") != F.col("b")).where(length).where(positional).where(suffix).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -202,13 +216,13 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
     held = ready.where("doc_id IS NOT NULL AND n > 0")
     classes = stage(held.groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = held.where("size(tokens) > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    heads = stage(heads.select("doc_id", "n", "tokens", "positions", "bins", "shingles"), "class-sets")
-    entries = stage(heads.select("doc_id", "n", "bins", F.posexplode(F.arrays_zip("tokens", "positions")).alias("k", "t")).select(
-        F.col("t.tokens").alias("token"), "doc_id", "n", "k", F.col("t.positions").alias("i"), "bins"
+    heads = stage(heads.select("doc_id", "n", "tokens", "positions", "bits", "shingles"), "class-sets")
+    entries = stage(heads.select("doc_id", "n", "bits", "tokens", F.posexplode(F.arrays_zip("tokens", "positions")).alias("k", "t")).select(
+        F.col("t.tokens").alias("token"), "doc_id", "n", "k", F.col("t.positions").alias("i"), "bits", (F.col("k") >= F.size("tokens") - LATE).alias("late")
     ), "prefixes")
 
-    as_b = [F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("i").alias("j"), F.col("bins").alias("bins_b")]
-    as_a = [F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("i"), F.col("bins").alias("bins_a")]
+    as_b = [F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("i").alias("j"), F.col("bits").alias("bits_b")]
+    as_a = [F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("i"), F.col("bits").alias("bits_a")]
 
     def found(met: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         pairs = stage(filtered(met, percent), "pairs")
@@ -222,25 +236,21 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
         open_tokens = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
         return stage(now.join(open_tokens, "token", "left_semi"), "open-prefixes")
 
-    pivot = F.min_by(F.struct("doc_id", "n", "k", "i", "bins"), "doc_id").alias("p")
-    pivots = entries.groupBy("token").agg(pivot, F.count("*").alias("m")).where("m > 1").select("token", "p.*").select("token", *as_a)
-    pivots = stage(pivots, "pivots")
-    tested, links = found(pivots.join(entries.select("token", *as_b), "token"), None)
-
-    known = components(links)
-    still = with_component(known)
-    # The second pivot: the largest id, which the first one missed in tokens that are still open more often than not.
-    last = F.max_by(F.struct("doc_id", "n", "k", "i", "bins", "component"), "doc_id").alias("p")
-    pivots = stage(still.groupBy("token").agg(last).select("token", "p.*").select("token", "component", *as_a), "pivots")
-    others = still.select("token", F.col("component").alias("other"), *as_b)
-    more, found_links = found(pivots.join(others, "token").where("component <> other"), tested)
-    tested, joined = tested.unionByName(more), merged(known, found_links)
-
-    if joined is not known:
-        still = with_component(joined)
+    still, known, tested = entries.withColumn("component", F.col("doc_id")), None, None
+    for turn in range(ROUNDS):
+        late = still.where(F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(PART)) == 0 if turn else F.col("late"))
+        counts = stage(late.groupBy("token").agg(F.ceil(F.count("*") / SLOT).alias("slots"), F.count("*").alias("m")).where("m > 1").drop("m"), "slots")
+        dealt = late.join(counts, "token").withColumn("slot", F.pmod(F.xxhash64("doc_id", "token", F.lit(turn)), F.col("slots")))
+        dealt = stage(dealt.drop("slots", "late"), "dealt")
+        left, right = dealt.select("token", "slot", "component", *as_a), dealt.select("token", "slot", F.col("component").alias("other"), *as_b)
+        more, links = found(left.join(right, ["token", "slot"]).where("component < other"), tested)
+        tested = more if tested is None else tested.unionByName(more)
+        known = components(links) if known is None else merged(known, links)
+        still = with_component(known)
+
     left, right = still.select("token", "component", *as_a), still.select("token", F.col("component").alias("other"), *as_b)
-    _, found_links = found(left.join(right, "token").where("component < other"), tested)
-    known = merged(joined, found_links).withColumnRenamed("id", "class_id")
+    _, links = found(left.join(right, "token").where("component < other"), tested)
+    known = merged(known, links).withColumnRenamed("id", "class_id")
     placed = ready.select("doc_id", "n", "sum", "xor").join(classes, ["n", "sum", "xor"], "left").join(known, "class_id", "left")
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")), F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), F.col("doc_id")).alias("class_id"))
