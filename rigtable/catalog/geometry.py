@@ -242,8 +242,7 @@ def _(spark, d):
 def _(spark, d):
     pts = lifted(spark, d)
     frames = pts.withColumn("frame_id", F.col("class_id"))
-    pix = F.col("capture_id")
-    fit = g.table_normal(frames, ["frame_id"], seed=7, distance=0.05, order=("capture_id", "v", "u"), bucket=F.floor(pix / 1000))
+    fit = g.table_normal(frames, ["frame_id"], seed=7, distance=0.05, order=("capture_id", "v", "u"))
     return fit.select("frame_id", r("nx", 4).alias("nx"), r("ny", 4).alias("ny"), r("nz", 4).alias("nz"), "inliers")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigtable.functions import vec
@@ -413,46 +413,63 @@ def table_normal(
     seed: int = 0,
     distance: float = 0.01,
     tries: int = 120,
-    max_points: int = 12_000,
     min_points: int = 128,
     order: Sequence[str] = ("v", "u"),
-    bucket: Column | None = None,
 ) -> DataFrame:
     """Normal of the plane with most inliers per frame, facing the default normal.
 
-    The even cap bounds every group before it reaches Python.
+    A trial plane goes through three of the points that a seeded hash puts first.  All
+    points of a frame are counted for each trial, map-side combined; the best trial (of
+    equals the first) is refined to the direction of least spread of its inliers, from
+    their covariances.  Frames of fewer than ``min_points`` keep the default normal.
     """
     keys = list(keys)
-    capped = cap_even(points.select(*keys, *order, "x", "y", "z"), keys, [F.col(c) for c in order], max_points, bucket)
-    # The cap must not change the "too few points" rule, which a cap above it guarantees.
-    assert max_points >= min_points
-    fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", nx DOUBLE, ny DOUBLE, nz DOUBLE, inliers BIGINT"
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        normal, inliers = np.array(UNIT_NORMAL), 0
-        if len(pdf) >= min_points:
-            xyz = pdf.sort_values(list(order))[["x", "y", "z"]].to_numpy(float)
-            rng = np.random.default_rng(seed)
-            picks = np.stack([rng.choice(len(xyz), 3, replace=False) for _ in range(tries)])
-            a, b, c = (xyz[picks[:, i]] for i in range(3))
-            normals = np.cross(b - a, c - a)
-            sizes = np.linalg.norm(normals, axis=1)
-            usable = sizes > 1e-12
-            if usable.any():
-                units = normals[usable] / sizes[usable, None]
-                offsets = -(units * a[usable]).sum(axis=1)
-                counts = (np.abs(xyz @ units.T + offsets) < distance).sum(axis=0)
-                best = int(np.argmax(counts))
-                near = xyz[np.abs(xyz @ units[best] + offsets[best]) < distance]
-                # refine on the inliers: direction of least spread
-                refined = np.linalg.svd(near - near.mean(axis=0), full_matrices=False)[2][-1]
-                normal, inliers = refined, int(counts[best])
-                if normal @ np.array(UNIT_NORMAL) < 0:
-                    normal = -normal
-        return pd.DataFrame([(*key, *map(float, normal), inliers)], columns=keys + ["nx", "ny", "nz", "inliers"])
-
-    return capped.groupBy(*keys).applyInPandas(fit, schema)
+    pts = points.select(*keys, *order, *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*order, F.lit(seed)), *order))
+    drawn = pts.withColumn("_i", place).filter(F.col("_i") <= 3 * tries)
+    drawn = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "x", "y", "z"))).alias("_p"))  # at most 3 * tries
+    m = F.size("_p")
+
+    def corner(t: Column, j: int) -> tuple[Column, Column, Column]:
+        # Past the end the triples go on with a wider stride, so that they differ.
+        at = F.get("_p", ((3 * t + j * (1 + F.floor(3 * t / m))) % m).cast("int"))
+        return at["x"], at["y"], at["z"]
+
+    def plane(t: Column) -> Column:
+        first = corner(t, 0)
+        normal = vec.cross(vec.sub(corner(t, 1), first), vec.sub(corner(t, 2), first))
+        size = F.sqrt(vec.dot(normal, normal))
+        unit = tuple(c / size for c in normal)
+        return F.when(size > 1e-12, F.struct(t.alias("t"), *[c.alias(n) for c, n in zip(unit, ("nx", "ny", "nz"))], (-vec.dot(unit, first)).alias("d")))
+
+    trials = drawn.filter(m >= 3).withColumn("_w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), plane))).filter(F.col("_w").isNotNull())
+    listed = trials.groupBy(*keys).agg(F.collect_list("_w").alias("_ws"))
+    off = lambda w: F.abs(vec.dot(tuple(F.col(a) for a in "xyz"), (w["nx"], w["ny"], w["nz"])) + w["d"])
+    met = with_stats(pts, listed, keys).withColumn("_w", F.explode("_ws"))
+    counted = met.groupBy(*keys, "_w").agg(F.count_if(off(F.col("_w")) < distance).alias("inliers"))
+    best = counted.groupBy(*keys).agg(F.max_by(F.struct("_w", "inliers"), F.struct("inliers", -F.col("_w.t"))).alias("_b"))
+    best = best.select(*keys, "_b.*")
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    spread = with_stats(pts, best, keys).filter(off(F.col("_w")) < distance).groupBy(*keys).agg(
+        F.first("inliers").alias("inliers"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("_c")
+    )
+
+    @F.pandas_udf("array<double>")
+    def least_spread(c: pd.Series) -> pd.Series:
+        out = []
+        for xx, xy, xz, yy, yz, zz in c:
+            normal = np.linalg.eigh(np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]))[1][:, 0]
+            out.append(normal if normal @ np.array(UNIT_NORMAL) >= 0 else -normal)
+        return pd.Series(out, dtype=object)
+
+    fitted = spread.select(*keys, "inliers", least_spread("_c").alias("_u"))
+    sizes = pts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    joined = sizes.join(fitted, [sizes[k].eqNullSafe(fitted[k]) for k in keys], "left")
+    enough = (F.col("_n") >= min_points) & F.col("_u").isNotNull()
+    return joined.select(
+        *[sizes[k] for k in keys], *[F.when(enough, F.col("_u")[i]).otherwise(float(UNIT_NORMAL[i])).alias(n) for i, n in enumerate(("nx", "ny", "nz"))],
+        F.when(enough, F.col("inliers")).otherwise(0).alias("inliers"),
+    )
 
 
 # --- display text ----------------------------------------------------------------
