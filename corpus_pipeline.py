@@ -16,8 +16,8 @@ from rigtable.llm.catalog import PII_KEY, tokenizer_path
 from rigtable.llm.common import stage, table
 from rigtable.session import ship
 
-#: A document stays if its language has at least this share of its letters.
-LANGUAGE_SHARE = 0.5
+#: A document stays if some language has at least this share of its letters: text that mixes two or three languages is kept.
+LANGUAGE_SHARE = 0.3
 
 
 def kept_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def kept_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects null texts, texts without letters and texts of which no language has half of the letters.
+    """Rejects null texts, texts without letters and texts of which no language has ``LANGUAGE_SHARE`` of the letters.
 
     Labels are those of the table; the predicted language is only the ground for rejection.
     """
