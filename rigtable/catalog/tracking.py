@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rigtable import schemas
 from rigtable.catalog.bind import DETS, day, detections, detections_of, r, rs, sql, table
 from rigtable.functions import vec
 from rigtable.functions.angles import circ_mean_deg, circ_std_deg
@@ -151,14 +152,42 @@ def pose_table(det):
     )
 
 
+BOUNDS = {"x": (0.0, 1.0), "y": (-1.0, 1.0), "z": (0.0, 2.0)}
+PUBLISH_CFG = tk.TrackerConfig(min_hits=3, max_position_std_m=0.05, min_confidence=0.7, max_yaw_std_deg=60.0)
+
+
 @query("T2_perception_publish")
 def _(spark, d):
     det = detections(spark, d)
-    cfg = tk.TrackerConfig(min_hits=3, max_position_std_m=0.05, min_confidence=0.7, max_yaw_std_deg=60.0)
-    msgs = perception.publish(det.drop("ts_us"), pose_table(det), vec.rigid_lit(EE_CAM), {"x": (0.0, 1.0), "y": (-1.0, 1.0), "z": (0.0, 2.0)}, cfg)
+    msgs = perception.publish(det.drop("ts_us"), pose_table(det), vec.rigid_lit(EE_CAM), BOUNDS, PUBLISH_CFG)
+    return message_rows(msgs)
+
+
+def message_rows(msgs):
     return msgs.select("session_id", "frame_index", "id", r(F.col("position.x"), 4).alias("bx"), r(F.col("position.z"), 4).alias("bz"), F.col("results")[0]["class_id"].alias("class_id"))
 
 
+def frame_rows(det):
+    """Frames with all their detections, at the time of the last one."""
+    names = ["class_name", "confidence", "center", "extent", "yaw_deg", "point_count", "in_workspace", "yaw_reliable"]
+    held = det.groupBy(F.col("session_id").cast("string").alias("session_id"), "frame_index").agg(
+        F.max("ts").alias("ts"), F.array_sort(F.collect_list(F.struct("det_idx", F.struct(*names).alias("d")))).alias("all")
+    )
+    return held.select("session_id", "frame_index", "ts", F.transform("all", lambda x: x["d"]).alias("detections"))
+
+
+@query("T2_perception_stream")
+def _(spark, d):
+    from rigtable.session import scratch_path
+
+    det = detections(spark, d)
+    path = scratch_path(spark, "frames")
+    frame_rows(det).write.parquet(path)
+    poses = pose_table(det).withColumn("session_id", F.col("session_id").cast("string"))
+    frames = spark.readStream.schema(schemas.FRAMES).parquet(path)
+    return message_rows(drain(perception.perception_stream(frames, poses, vec.rigid_lit(EE_CAM), BOUNDS, PUBLISH_CFG)))
+
+
 @query("J12_asof_pose", sql([DETS, POSE_SQL], f"""SELECT a.session_id, a.det_idx, p.ts_us IS NOT NULL AS tf_ok, {rs('p.tx')} AS tx, {rs('p.ty')} AS ty
   FROM asks a ASOF LEFT JOIN poses p ON a.session_id = p.session_id AND a.ts_us >= p.ts_us"""))
 def _(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rigtable.functions import vec
 from rigtable.operators.geometry import Bounds
 from rigtable.operators.tracking import TrackerConfig, asof_pose, retag_workspace, to_base, to_published, track
+from rigtable.scale import running
 from rigtable.streaming.stateful import track_stream
 
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
@@ -26,25 +27,57 @@ def posed(tracked: DataFrame, ee_T_cam: Column, bounds: Bounds | None) -> DataFr
 
 def publish(
     dets: DataFrame, poses: DataFrame, ee_T_cam: Column, bounds: Bounds | None = None, cfg: TrackerConfig = TrackerConfig(),
-    keys: Sequence[str] = ("session_id",),
+    keys: Sequence[str] = ("session_id",), max_age_s: float | None = None,
 ) -> DataFrame:
-    """Batch plan: track, look up the pose, move to the base frame, publish what is stable."""
+    """Batch plan: track, look up the pose, move to the base frame, publish what is stable.
+
+    The latest pose at or before a detection counts, however old it is unless ``max_age_s`` is given.
+    """
     tracked = track(dets, cfg)
-    known = asof_pose(tracked, poses, keys, POSE)
+    known = asof_pose(tracked, poses, keys, POSE, tolerance_s=max_age_s)
     return to_published(posed(known, ee_T_cam, bounds))
 
 
-def perception_stream(frames: DataFrame, poses: DataFrame, ee_T_cam: Column, bounds: Bounds | None = None, cfg: TrackerConfig = TrackerConfig()) -> DataFrame:
-    """Stream plan: tracked stream against a stored pose table, read by session and second.
+def second(ts: str = "ts") -> Column:
+    return F.floor(F.unix_micros(ts) / F.lit(1_000_000))
+
+
+def hour(s: Column) -> Column:
+    return F.floor(s / F.lit(3600))
+
+
+def pose_seconds(poses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A pose table as three small steps of a search: (session_id, _hs) hours with poses; (session_id, _h, _ss) seconds
+    with poses of such an hour; (session_id, _s, _ps) poses of such a second.
+
+    Each list also starts with what was last before it, so the last entry at or before a time is always found.
+    """
+    by_second = poses.groupBy("session_id", second().alias("_s")).agg(F.array_sort(F.collect_list(F.struct("ts", *POSE))).alias("_own"))
+    known = running(by_second, ["session_id"], hour(F.col("_s")), [F.col("_s")], {"_before": ("last", F.element_at("_own", -1))}, exclusive=True)
+    known = known.withColumn("_h", hour(F.col("_s")))
+    seconds = known.select("session_id", "_s", F.concat(F.array_compact(F.array("_before")), "_own").alias("_ps"))
+    earlier = F.min_by(second("_before.ts"), "_s")
+    hours = known.groupBy("session_id", "_h").agg(F.concat(F.array_compact(F.array(earlier)), F.array_sort(F.collect_list("_s"))).alias("_ss"))
+    sessions = hours.groupBy("session_id").agg(F.array_sort(F.collect_list("_h")).alias("_hs"))
+    return sessions, hours, seconds
+
+
+def perception_stream(
+    frames: DataFrame, poses: DataFrame, ee_T_cam: Column, bounds: Bounds | None = None, cfg: TrackerConfig = TrackerConfig(), max_age_s: float | None = None,
+) -> DataFrame:
+    """Stream plan: tracked stream against a stored pose table; the same messages as ``publish``.
 
-    A pose counts when it is from the detection's second or the one before; the poses of
-    two seconds are bounded by the sensor rate (about 100 Hz).
+    The latest pose is searched by hour, second and time.  Lists on the way are bounded by the sensor rate (about 100 Hz),
+    the seconds of an hour, and the hours of a session.
     """
+    sessions, hours, seconds = pose_seconds(poses)
+    last = lambda found, at: F.try_element_at(F.filter(found, lambda x: x <= at), F.lit(-1))
     tracked = track_stream(frames, cfg)
-    second = lambda: F.floor(F.unix_micros("ts") / F.lit(1_000_000))
-    both = poses.select("session_id", F.explode(F.array(second(), second() + 1)).alias("_s"), F.struct("ts", *POSE).alias("_p"))
-    table = both.groupBy("session_id", "_s").agg(F.array_sort(F.collect_set("_p")).alias("_ps"))
-    joined = tracked.withColumn("_s", second()).join(table, ["session_id", "_s"], "left")
-    last = F.filter("_ps", lambda p: p["ts"] <= F.col("ts"))
-    known = joined.withColumn("_hit", F.try_element_at(last, F.lit(-1)))
+    timed = tracked.join(sessions, "session_id", "left").withColumn("_h", last("_hs", hour(second()))).drop("_hs")
+    timed = timed.join(hours, ["session_id", "_h"], "left").withColumn("_s", last("_ss", second())).drop("_ss", "_h")
+    joined = timed.join(seconds, ["session_id", "_s"], "left")
+    known = joined.withColumn("_hit", F.try_element_at(F.filter("_ps", lambda p: p["ts"] <= F.col("ts")), F.lit(-1))).drop("_ps", "_s")
+    if max_age_s is not None:
+        age = (F.unix_micros("ts") - F.unix_micros(F.col("_hit.ts"))) / 1e6
+        known = known.withColumn("_hit", F.when(age <= max_age_s, F.col("_hit")))
     return to_published(posed(known.withColumns({c: F.col(f"_hit.{c}") for c in POSE}), ee_T_cam, bounds))
