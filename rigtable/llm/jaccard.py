@@ -18,9 +18,11 @@ shingle if fewer; a chance collision could move a set's size by one with odds of
    components follow, all of them, on all prefix tokens.  So no link between different components is lost, and
    a group of near copies costs a few pairs a member, not a pair for any two; nothing of a token larger than a
    slot meets in one task in these rounds.
+5. Every link lies inside a component, so links are counted there: all pairs of a component's classes, in pairs of chunks of about
+   ``CHUNK`` classes, by products of their incidence matrices.  Sums by class leave a task, not pairs.
 
 Null or empty text, or no words: an empty set, linked with nothing, a component of its own.  Null ids: sizes
-are returned, component null, no links.  Repeated rows of an id are one class or linked like any others.
+are returned, component null, n_links 0.  Repeated rows of an id are one class or linked like any others.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigtable.llm.common import block_count, stage
+from rigtable.llm.common import block_count, shuffle_parts, stage
 from rigtable.llm.components import components, merged
 from rigtable.llm.words import words_of
 
@@ -45,6 +47,8 @@ BUCKET = 2_000_000
 BITMAP = 16
 #: Last prefix tokens of a class in the first random round, part of all tokens in later ones, classes of a slot, rounds.
 LATE, PART, SLOT, ROUNDS = 4, 8, 8, 4
+#: Classes and bytes of sets of a chunk, about; bytes of a group of whole components, about; shingles of a matrix at once.
+CHUNK, CHUNK_BYTES, PACK_BYTES, SLAB = 512, 16 << 20, 16 << 20, 4096
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -207,16 +211,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held > 1
+    rows, at = rows[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    rows, at, total, out = rows[order], at[order], int(shared.sum()), np.zeros((len(left), len(right)))
+    for start in range(0, total, SLAB):
+        low, high = np.searchsorted(at, [start, start + SLAB])
+        there = np.zeros((len(sets), min(SLAB, total - start)), np.float32)
+        there[rows[low:high], at[low:high] - start] = 1
+        out += there[left] @ there[right].T
+    return out
+
+
+def link_counts(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (class_id, links): documents in other classes that link with a class; known: id, component."""
+    member = known.join(sets.select(F.col("doc_id").alias("id"), "copies", "shingles"), "id")
+    size = F.octet_length("shingles")
+    chunks = F.ceil(F.greatest(F.count("*") / F.lit(CHUNK), F.sum(size) / F.lit(CHUNK_BYTES))).cast("int")
+    facts = stage(member.groupBy("component").agg(chunks.alias("chunks"), F.sum(size).alias("bytes")), "component-sizes")
+    packs = max(shuffle_parts(known.sparkSession), -(-(facts.agg(F.sum("bytes")).first()[0] or 0) // PACK_BYTES))
+    # A chunk goes to every pair of chunks that holds it; components of one chunk share a group with others.
+    placed = member.join(facts.drop("bytes"), "component").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.withColumns({"low": F.least("c", "other"), "high": F.greatest("c", "other")})
+    alone = F.pmod(F.xxhash64("component"), F.lit(packs))
+    pack = F.when(F.col("chunks") == 1, alone).otherwise(-1 - F.abs(F.xxhash64("component", "low", "high") / 2).cast("long"))
+
+    def count(group: pa.Table) -> pa.Table:
+        component, low, high, c, ids, copies = (group.column(x).to_numpy() for x in ("component", "low", "high", "c", "id", "copies"))
+        own = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
+        n, links = np.array([len(x) for x in own]), np.zeros(len(ids), np.int64)
+        order = np.lexsort((high, low, component))
+        fresh = (np.diff(component[order], prepend=-1) != 0) | (np.diff(low[order], prepend=-1) != 0) | (np.diff(high[order], prepend=-1) != 0)
+        fresh[:1] = True
+        for part in np.split(order, np.flatnonzero(fresh)[1:]):
+            same = low[part[0]] == high[part[0]]
+            left, right = (np.flatnonzero(c[part] == side[part]) for side in (low, high))
+            common = overlaps([own[k] for k in part], left, right)
+            left, right = part[left], part[right]
+            hit = 100 * common >= percent * (n[left][:, None] + n[right] - common)
+            if same:
+                np.fill_diagonal(hit, False)
+            links[left] += hit @ copies[right]
+            if not same:
+                links[right] += hit.T @ copies[left]
+        return pa.table({"class_id": pa.array(ids), "links": pa.array(links)})
+
+    work = placed.select("component", "low", "high", "c", "id", "copies", "shingles", pack.alias("pack"))
+    return work.groupBy("pack").applyInArrow(count, "class_id long, links long").groupBy("class_id").agg(F.sum("links").alias("links"))
+
+
 def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, class_id) of all documents.
+    """Rows (doc_id, n_shingles, component_id, class_id, n_links) of all documents.
 
-    class_id: smallest id with the same set; component_id: smallest id reachable by links.
+    class_id: smallest id with the same set; component_id: smallest id reachable by links; n_links: other documents that link with this one,
+    copies among them.
     """
     ready = prepare(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent, width)
     held = ready.where("doc_id IS NOT NULL AND n > 0")
-    classes = stage(held.groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("class_id")), "classes")
-    heads = held.where("size(tokens) > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    heads = stage(heads.select("doc_id", "n", "tokens", "positions", "bits", "shingles"), "class-sets")
+    classes = stage(held.groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    heads = held.where("size(tokens) > 0").join(classes.select(F.col("class_id").alias("doc_id"), "copies"), "doc_id").dropDuplicates(["doc_id"])
+    heads = stage(heads.select("doc_id", "n", "copies", "tokens", "positions", "bits", "shingles"), "class-sets")
     entries = stage(heads.select("doc_id", "n", "bits", "tokens", F.posexplode(F.arrays_zip("tokens", "positions")).alias("k", "t")).select(
         F.col("t.tokens").alias("token"), "doc_id", "n", "k", F.col("t.positions").alias("i"), "bits", (F.col("k") >= F.size("tokens") - LATE).alias("late")
     ), "prefixes")
@@ -250,7 +309,13 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
 
     left, right = still.select("token", "component", *as_a), still.select("token", F.col("component").alias("other"), *as_b)
     _, links = found(left.join(right, "token").where("component < other"), tested)
-    known = merged(known, links).withColumnRenamed("id", "class_id")
-    placed = ready.select("doc_id", "n", "sum", "xor").join(classes, ["n", "sum", "xor"], "left").join(known, "class_id", "left")
+    known = merged(known, links)
+    counts = link_counts(known, heads, percent)
+    known = known.withColumnRenamed("id", "class_id")
+    placed = ready.select("doc_id", "n", "sum", "xor").join(classes, ["n", "sum", "xor"], "left").join(known, "class_id", "left").join(counts, "class_id", "left")
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")), F.col("doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), F.col("doc_id")).alias("class_id"))
+    linked = F.when(F.col("doc_id").isNotNull() & F.col("class_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
+    return placed.select(
+        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), F.col("doc_id")).alias("class_id"),
+        linked.cast("long").alias("n_links"),
+    )

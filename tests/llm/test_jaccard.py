@@ -73,3 +73,19 @@ def test_components_of_chains_and_stars(spark):
     real = [(a, b) for a, b in links if a != b]
     want = groups({x for pair in real for x in pair}, real)
     assert got == want
+
+
+def brute_links(rows, percent=80):
+    sets = [(i, shingles(t)) for i, t in rows]
+    own = [k for k, (i, s) in enumerate(sets) if i is not None and s]
+    near = lambda s, t: 100 * len(s & t) >= percent * len(s | t)
+    return Counter((i, sum(near(s, sets[j][1]) for j in own if j != k) if k in own else 0) for k, (i, s) in enumerate(sets))
+
+
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_every_link_is_counted(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rows = [(r[0], r[1]) for r in odd.rows()] + near_copies(3)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == brute_links(rows)
+    assert max(r.n_links for r in got) > 7
