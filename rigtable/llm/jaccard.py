@@ -22,7 +22,8 @@ shingle if fewer; a chance collision could move a set's size by one with odds of
    ``CHUNK`` classes, by products of their incidence matrices.  Sums by class leave a task, not pairs.
 
 Null or empty text, or no words: an empty set, linked with nothing, a component of its own.  Null ids: sizes
-are returned, component null, n_links 0.  Repeated rows of an id are one class or linked like any others.
+are returned, component null, n_links 0.  Repeated rows of an id are one class or linked like any others;
+an id with several texts joins their components.
 """
 
 from __future__ import annotations
@@ -110,9 +111,9 @@ def prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
     blocks = block_count(docs, "text", BLOCK_BYTES)
     placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     buckets = blocks
-    # One document of each text: copies would make their shingles look shared.
+    # One document of each text: copies would make their shingles look shared.  A null id links with nothing and would come first.
     same = ["octet_length(text)", "xxhash64(text)", "crc32(cast(text AS binary))"]
-    once = placed.where("text IS NOT NULL").groupBy(*map(F.expr, same)).agg(F.min(F.struct("doc_id", "block")).alias("head")).select("head.*")
+    once = placed.where("text IS NOT NULL AND doc_id IS NOT NULL").groupBy(*map(F.expr, same)).agg(F.min(F.struct("doc_id", "block")).alias("head")).select("head.*")
 
     def ask(group: pa.Table, heads: pa.Table) -> pa.Table:
         first = pc.is_in(group.column("doc_id"), heads.column("doc_id").combine_chunks() if heads.num_rows else pa.array([], pa.int64()))
@@ -272,10 +273,13 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
     copies among them.
     """
     ready = prepare(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent, width)
-    held = ready.where("doc_id IS NOT NULL AND n > 0")
-    classes = stage(held.groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
-    heads = held.where("size(tokens) > 0").join(classes.select(F.col("class_id").alias("doc_id"), "copies"), "doc_id").dropDuplicates(["doc_id"])
-    heads = stage(heads.select("doc_id", "n", "copies", "tokens", "positions", "bits", "shingles"), "class-sets")
+    held, same = ready.where("doc_id IS NOT NULL AND n > 0"), ["n", "sum", "xor"]
+    classes = stage(held.groupBy("n", "sum", "xor").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "class-keys")
+    # Classes have numbers of their own: an id that occurs with two texts may be the smallest of two classes.
+    classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    first = [*same, F.col("class_id").alias("doc_id"), "class", "copies"]
+    heads = held.where("size(tokens) > 0").join(classes.select(first), [*same, "doc_id"]).dropDuplicates(["class"])
+    heads = stage(heads.select(F.col("class").alias("doc_id"), "n", "copies", "tokens", "positions", "bits", "shingles"), "class-sets")
     entries = stage(heads.select("doc_id", "n", "bits", "tokens", F.posexplode(F.arrays_zip("tokens", "positions")).alias("k", "t")).select(
         F.col("t.tokens").alias("token"), "doc_id", "n", "k", F.col("t.positions").alias("i"), "bits", (F.col("k") >= F.size("tokens") - LATE).alias("late")
     ), "prefixes")
@@ -310,12 +314,15 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
     left, right = still.select("token", "component", *as_a), still.select("token", F.col("component").alias("other"), *as_b)
     _, links = found(left.join(right, "token").where("component < other"), tested)
     known = merged(known, links)
-    counts = link_counts(known, heads, percent)
-    known = known.withColumnRenamed("id", "class_id")
-    placed = ready.select("doc_id", "n", "sum", "xor").join(classes, ["n", "sum", "xor"], "left").join(known, "class_id", "left").join(counts, "class_id", "left")
-    own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")), F.col("doc_id"))
-    linked = F.when(F.col("doc_id").isNotNull() & F.col("class_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
-    return placed.select(
-        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), F.col("doc_id")).alias("class_id"),
-        linked.cast("long").alias("n_links"),
-    )
+    counts = link_counts(known, heads, percent).withColumnRenamed("class_id", "class")
+    placed = ready.select("doc_id", *same).join(classes, same, "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
+    placed = stage(placed, "members")
+    several = placed.where("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").drop("b")
+    known = merged(known, placed.join(several, "doc_id").select("a", F.col("class").alias("b")).where("a < b").distinct())
+    known = known.withColumnRenamed("id", "class")
+    least = classes.join(known, "class").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    least = stage(known.join(least, "component").select("class", "component_id"), "components")
+    placed = placed.join(least, "class", "left").join(counts, "class", "left")
+    linked = F.when(F.col("class").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
+    class_id = F.coalesce(F.when(F.col("class").isNotNull(), F.col("class_id")), F.col("doc_id"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", class_id).alias("component_id"), class_id.alias("class_id"), linked.cast("long").alias("n_links"))

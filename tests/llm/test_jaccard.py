@@ -89,3 +89,15 @@ def test_every_link_is_counted(spark, monkeypatch, chunk):
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert Counter((r.doc_id, r.n_links) for r in got) == brute_links(rows)
     assert max(r.n_links for r in got) > 7
+
+
+def test_null_copies_and_ids_with_two_texts(spark):
+    """Null-id copies of near-duplicated texts, and ids that have two texts, smallest of their class or not."""
+    word = lambda name, n: [f"{name}{k}" for k in range(n)]
+    text = lambda name, *changed: " ".join(f"z{i}" if i in changed else w for i, w in enumerate(word(name, 60)))
+    rows = [(k, text(f"a{k % 5}", *([59] if k >= 5 else []))) for k in range(10)] + [(None, text(f"a{k}", *extra)) for k in range(5) for extra in ([], [59])]
+    rows += [(20, text("b")), (20, text("c")), (21, text("b", 59)), (22, text("c", 59)), (23, text("d")), (24, text("d", 59)), (30, text("d")), (30, text("e")), (28, text("e", 0)), (31, text("e"))]
+    rows += [(40, text("f")), (40, text("f", 59)), (41, text("f", 0)), (42, text("g")), (43, text("h")), (44, text("g")), (44, text("h"))]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert Counter((r.doc_id, r.n_links) for r in got) == brute_links(rows)
