@@ -3,7 +3,8 @@
 Language ID drops documents without a language of their own, quality rules drop what fails them, the Jaccard
 join keeps one document of each group, PII is replaced, and the rest is packed into windows of tokens.  All
 stages but the last return the columns of documents; each works on all rows of its predecessor, whole texts,
-and takes nulls, empty texts, repeated rows and empty tables as the operators do.
+and takes nulls, empty texts, repeated rows and empty tables; decisions are made by row, so a null id or an id with several
+texts loses nothing that passes.
 """
 
 from __future__ import annotations
@@ -20,9 +21,18 @@ from rigtable.session import ship
 LANGUAGE_SHARE = 0.3
 
 
-def kept_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is among distinct ids."""
-    return docs.join(ids, "doc_id", "left_semi")
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``_row``, a 64-bit hash of id, text and label, on which all decisions rest: rows that agree in these are judged alike.
+
+    Ids may be null or occur with several texts.  Two different rows share a hash with odds of about n * n / 2^65.
+    """
+    parts = [x for c in ("doc_id", "text", "lang") for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumn("_row", F.xxhash64(*parts))
+
+
+def kept_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents of ``keyed`` whose row is among distinct rows (column doc_id)."""
+    return docs.join(rows.select(F.col("doc_id").alias("_row")), "_row", "left_semi").drop("_row")
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,24 +42,35 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    good = langid.label_spans(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).where(F.col("score") >= LANGUAGE_SHARE)
-    return kept_ids(docs, good.select("doc_id").distinct())
+    docs = keyed(docs)
+    good = langid.label_spans(docs, model, id_col="_row").where(F.col("lang_pred") != langid.UNKNOWN).where(F.col("score") >= LANGUAGE_SHARE)
+    return kept_rows(docs, good.select("doc_id").distinct())
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the base rule or a risk-controlled threshold rejects."""
     ship(spark)
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    return kept_ids(docs, judged.where("kept").select("doc_id").distinct())
+    docs = keyed(docs)
+    labels = table(spark, sf_dir, "labels").join(docs.select("doc_id", "_row"), "doc_id").select(F.col("_row").alias("doc_id"), "quality")
+    judged = quality.judge(docs, labels, id_col="_row")
+    return kept_rows(docs, judged.where("kept").select("doc_id").distinct())
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of repeated rows of one id, one."""
+    """Keeps the document with the smallest id of each group, one without id only if none has one; of repeated rows, one.
+
+    Rows without words are in no group; those of one id and text are repeated rows.
+    """
     ship(spark)
-    joined = jaccard.join(docs)
-    kept = kept_ids(docs, joined.where("doc_id = component_id").select("doc_id").distinct())
-    one = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
+    docs = keyed(docs)
+    joined = jaccard.join(docs, id_col="_row").select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group")).distinct()
+    bare = [c for c in docs.columns if c not in ("doc_id", "text", "_row")]
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", *bare, F.xxhash64("text"), "_row")
+    alone = F.when(F.col("_group").isNull(), F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    first = docs.join(joined, "_row").groupBy("_group", alone.alias("_alone")).agg(F.min(place)["_row"].alias("_row"))
+    kept = docs.join(first.select("_row"), "_row", "left_semi")
+    one = Window.partitionBy("_row").orderBy(*bare)
+    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_row")
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

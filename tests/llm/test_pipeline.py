@@ -70,3 +70,16 @@ def test_queries_are_registered():
     names = list(contract.queries())
     assert "pipeline" in names
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+
+
+def test_rows_are_judged_by_themselves(spark):
+    """Null ids, an id with a clean and a rejected text, an id with two unlike texts, repeated rows, a near copy."""
+    clean = lambda seed: " ".join(f"{a}{b}" for k, a in enumerate(["the", "on", "thal", "ere", "som"]) for b in [f"{seed}{chr(97 + j)}{chr(97 + (j + k) % 20)}" for j in range(20)])
+    a, b, c, d, e = map(clean, "vwxyz")
+    rows = [(None, a), (1, b), (1, "123 456"), (2, c), (2, d), (3, e), (3, e), (None, e), (4, e + " more"), (None, "789")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [{(None, a), (1, b), (2, c), (2, d), (3, e), (None, e), (4, e + " more")}] * 2 + [{(None, a), (1, b), (2, c), (2, d), (3, e)}]
+    for (_, step), left in zip(corpus_pipeline.STAGES[:3], want, strict=True):
+        docs = stage(step(spark, docs, SF), "test")
+        assert {(r.doc_id, r.text) for r in docs.collect()} == left
+    assert docs.count() == len(want[-1])
