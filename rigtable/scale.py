@@ -44,20 +44,39 @@ def bracket(grid: Column, n: Column, p: float) -> tuple[Column, Column]:
     )
 
 
-def within(x: Column, low: Column, high: Column) -> Column:
-    """Aggregate STRUCT<below, held>: rows under the bracket and the sorted rows inside it."""
-    spot = ordered(x)
-    return F.struct(
-        F.count_if(spot < low).alias("below"), F.sort_array(F.collect_list(F.when((spot >= low) & (spot <= high), x))).alias("held")
-    )
-
+def picked(rows: DataFrame, keys: Sequence[str], value: Column, wanted: Sequence[tuple[str, str, str, float]], carry: Sequence[str] = ()) -> DataFrame:
+    """One row per key with ``carry`` and the exact, linearly interpolated quantiles (name, low column, high column, p) of ``value``.
 
-def picked(part: Column, n: Column, p: float) -> Column:
-    """The exact, linearly interpolated quantile from what ``within`` gathered."""
-    spot = F.lit(p) * (n - 1)
-    at = lambda rank: F.get(part["held"], (rank - part["below"]).cast("int"))
-    low, high, share = at(F.floor(spot)), at(F.ceil(spot)), spot - F.floor(spot)
-    return F.when((share == 0) | (low == high), low).otherwise(low + (high - low) * share)
+    The columns of brackets, ``carry`` and ``_n`` are constant in a key.  Values in a bracket are counted, so ties are one row, and ranks
+    are running counts over distinct values; no group becomes an array.
+    """
+    keys, edges = list(keys), [c for _, low, high, _ in wanted for c in (low, high)]
+    src = rows.select(*keys, *dict.fromkeys(["_n", *carry, *edges]), value.alias("_y")).withColumn("_spot", ordered(F.col("_y")))
+    inside = [(F.col("_spot") >= F.col(low)) & (F.col("_spot") <= F.col(high)) for _, low, high, _ in wanted]
+    held = inside[0]
+    for more in inside[1:]:
+        held = held | more
+    # The row of null holds what is in no bracket and comes first; values under a bracket come before those inside.
+    counted = src.withColumn("_v", F.when(held, F.col("_y"))).groupBy(*keys, "_v").agg(
+        F.first("_n").alias("_n"), *[F.first(c).alias(c) for c in carry],
+        *[F.count_if(F.col("_spot") < F.col(low)).alias(f"_b{i}") for i, (_, low, _, _) in enumerate(wanted)],
+        *[F.count_if(x).alias(f"_c{i}") for i, x in enumerate(inside)],
+    )
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumns({f"_r{i}": F.sum(F.col(f"_b{i}") + F.col(f"_c{i}")).over(upto) for i in range(len(wanted))})
+    found = []
+    for i, (_, _, _, p) in enumerate(wanted):
+        spot = F.lit(p) * (F.col("_n") - 1)
+        for side, rank in (("l", F.floor(spot)), ("h", F.ceil(spot))):
+            here = (rank < F.col(f"_r{i}")) & (rank >= F.col(f"_r{i}") - F.col(f"_c{i}"))
+            found.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{i}"))
+    ends = ranked.groupBy(*keys).agg(F.first("_n").alias("_n"), *[F.first(c).alias(c) for c in carry if c != "_n"], *found)
+    out = []
+    for i, (name, _, _, p) in enumerate(wanted):
+        spot = F.lit(p) * (F.col("_n") - 1)
+        low, high, share = F.col(f"_l{i}"), F.col(f"_h{i}"), spot - F.floor(spot)
+        out.append(F.when((share == 0) | (low == high), low).otherwise(low + (high - low) * share).alias(name))
+    return ends.select(*keys, *dict.fromkeys(["_n", *carry]), *out)
 
 
 def with_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,7 +92,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     """One row per key with exact, linearly interpolated quantiles named by ``probs``; null values are left out.
 
     One plan for groups of any size, from two map-side combined passes: a rank sketch per group brackets each
-    quantile to about half a per cent of the rows, then the rows below are counted and those inside gathered.
+    quantile to about half a per cent of the rows (more where values are tied), then the rows below and each value inside are counted.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
@@ -81,10 +100,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     for i, p in enumerate(probs.values()):
         low, high = bracket(F.col("_grid"), F.col("_n"), p)
         sketch = sketch.withColumns({f"_lo{i}": low, f"_hi{i}": high})
-    found = with_stats(data, sketch.drop("_grid"), keys).groupBy(*keys).agg(
-        F.first("_n").alias("_n"), *[within(F.col("_x"), F.col(f"_lo{i}"), F.col(f"_hi{i}")).alias(f"_q{i}") for i in range(len(probs))]
-    )
-    return found.select(*keys, *[picked(F.col(f"_q{i}"), F.col("_n"), p).alias(name) for i, (name, p) in enumerate(probs.items())])
+    wanted = [(name, f"_lo{i}", f"_hi{i}", p) for i, (name, p) in enumerate(probs.items())]
+    return picked(with_stats(data, sketch.drop("_grid"), keys), keys, F.col("_x"), wanted).drop("_n")
 
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -98,17 +115,13 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     sketch = data.groupBy(*keys).agg(F.count("*").alias("_n"), rank_grid(F.col("_x")).alias("_grid"))
     low, high = bracket(F.col("_grid"), F.col("_n"), 0.5)
     ready = sketch.withColumns({"_lo": low, "_hi": high})
-    first = with_stats(data, ready, keys).groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.first("_grid").alias("_grid"), within(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_q")
-    )
-    centre = first.select(*keys, "_n", "_grid", picked(F.col("_q"), F.col("_n"), 0.5).alias("_med"))
+    centre = picked(with_stats(data, ready.drop("_grid"), keys), keys, F.col("_x"), [("_med", "_lo", "_hi", 0.5)])
+    centre = with_stats(centre, sketch.select(*keys, "_grid"), keys)
     apart = F.sort_array(F.transform("_grid", lambda g: ordered(F.abs(g - F.col("_med")))))
     low, high = bracket(apart, F.col("_n"), 0.5)
     ready = centre.withColumns({"_lo": low, "_hi": high}).drop("_grid")
-    second = with_stats(data, ready, keys).groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.first("_med").alias("_med"), within(F.abs(F.col("_x") - F.col("_med")), F.col("_lo"), F.col("_hi")).alias("_q")
-    )
-    return second.select(*keys, "_med", picked(F.col("_q"), F.col("_n"), 0.5).alias("_mad"))
+    apart = F.abs(F.col("_x") - F.col("_med"))
+    return picked(with_stats(data, ready, keys), keys, apart, [("_mad", "_lo", "_hi", 0.5)], ["_med"]).drop("_n")
 
 
 # --- running values over (key, bucket) --------------------------------------

@@ -140,3 +140,29 @@ def test_cap_even_is_linspace(spark):
         got = sorted(r["id"] for r in cap_even(df, ["k"], [F.col("id")], m, F.floor(F.col("id") / 8)).collect())
         want = list(range(n)) if n <= m else np.linspace(0, n - 1, m, dtype=int).tolist()
         assert got == want, (n, m)
+
+
+def test_ties_are_counted_not_gathered(spark):
+    """One value on most rows of a hot key, NaN and null keys among the rest; no list of rows in the plan."""
+    import numpy as np
+
+    n = 60_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 10 == 9, F.lit(None)).otherwise(F.lit("hot")).alias("k"),
+        F.when(F.col("id") % 5 == 0, F.rand(3) * 100).when(F.col("id") % 97 == 1, F.lit(float("nan"))).otherwise(50.0).alias("x"),
+    ).localCheckpoint()
+    quantiles = scale.group_quantiles(df, ["k"], "x", {"a": 0.05, "b": 0.5, "c": 0.9})
+    spread = scale.median_and_mad(df, ["k"], "x")
+    for made in (quantiles, spread):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "collect_set" not in plan
+    values = {}
+    for r in df.collect():
+        values.setdefault(r["k"], []).append(r["x"])
+    for r in quantiles.collect():
+        own = np.sort(np.array(values[r["k"]]))
+        for name, p in (("a", 0.05), ("b", 0.5), ("c", 0.9)):
+            at = p * (len(own) - 1)
+            low, high = own[int(np.floor(at))], own[int(np.ceil(at))]
+            assert abs(r[name] - (low + (high - low) * (at - np.floor(at)))) < 1e-9
+    assert {r["k"]: r["_med"] for r in spread.collect()} == {"hot": 50.0, None: 50.0}
