@@ -102,6 +102,8 @@ class ShardWriter:
         self.lengths: list[np.ndarray] = []
 
     def add(self, keys: np.ndarray, null: np.ndarray, tokens: Tokens) -> None:
+        if len(tokens.ids) and int(tokens.ids.max()) >> (8 * self.width):
+            raise ValueError(f"token id {int(tokens.ids.max())} does not fit {self.width} bytes: pass a larger width")
         self.out.write(tokens.ids.astype(f"<u{self.width}").tobytes())
         self.keys.append(keys)
         self.nulls.append(null)

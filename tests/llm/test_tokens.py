@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import odd
@@ -110,3 +111,12 @@ def test_cuts_are_the_cheapest():
         chosen = packing.cuts(at, cost, size).tolist()
         spent = sum(size - (b - a) + cost[at.tolist().index(b)] for a, b in zip(chosen, chosen[1:], strict=False))
         assert spent == best[len(at) - 1] and max(np.diff(chosen)) <= size
+
+
+def test_ids_that_do_not_fit_raise(tmp_path):
+    made = lambda *ids: SimpleNamespace(ids=np.array(ids, np.int64), ends=np.array([len(ids)]))
+    writer = tokenfile.ShardWriter(f"file://{tmp_path}", 0, 2)
+    writer.add(np.array([1]), np.array([False]), made(5, 65_535))
+    with pytest.raises(ValueError, match="does not fit"):
+        writer.add(np.array([2]), np.array([False]), made(5, 65_536))
+    tokenfile.ShardWriter(f"file://{tmp_path}", 1, 4).add(np.array([2]), np.array([False]), made(5, 65_536))
