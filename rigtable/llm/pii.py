@@ -44,6 +44,8 @@ PATTERNS = {
 ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: What every entity without a digit holds one of: an address or assignment sign, a key's prefix or a title (the shorter where one begins another).
 SIGNS = ("@", "=", ":", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "Mr", "Ms", "Miss", "Frau", "Herr", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Sir", "Lord", "Lady", "Dr", "Prof", "осподин", "оспожа")
+#: Country codes of the numbering plan: those of one digit, of two, and else of three.
+DIALLING = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 DIGITS = ("phone", "ssn", "card")
 SYLLABLES = {
     "latin": "ba be bo da de di do fa fe ga go ka ke ko la le li lo ma me mi mo na ne ni no pa po ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
@@ -130,7 +132,7 @@ def entity_parts(found: Column) -> Column:
     """The parts of an entity that are replaced: array of (kind, canonical, original), and the text before each."""
     kind, value = found["kind"], found["value"]
     secret = F.regexp_extract(value, r"([A-Za-z0-9/+_-]{8,})$", 1)
-    country = F.when(value.startswith("+"), F.regexp_extract(value, r"^\+(\d{1,3}?)(?:[^\d]|\d{7,}$)", 1)).otherwise("")
+    country = F.when(value.startswith("+"), F.regexp_extract(digits(value), rf"^({DIALLING})", 1)).otherwise("")
     canonical = (
         F.when(kind == "email", F.lower(value)).when(kind.isin("ssn", "card"), digits(value)).when(kind == "secret", secret)
         .when(kind == "phone", F.concat(country, F.lit("|"), F.substring(digits(value), F.length(country) + 1, F.length(value))))

@@ -79,3 +79,11 @@ def test_other_columns_and_odd_rows(spark):
     assert all(r.n_replaced == int(r.doc_id == 12) and r.row in ("r", None) for r in rows)
     assert sorted(str(r.text) for r in rows if r.doc_id != 12) == sorted(str(r[1]) for r in odd.rows() if r[0] != 12)
     assert pii.pseudonymise(odd.empty(spark), "k").count() == 0
+
+
+def test_country_codes_of_two_and_three_digits(spark):
+    text = "+4915112345678 / +49 151 12345678 / +49-151-12345678 ; +420601123456 / +420 601 123 456"
+    out = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
+    german, czech = ([re.sub(r"\D", "", x) for x in part.split("/")] for part in out.split(";"))
+    assert len(set(german)) == 1 and len(set(czech)) == 1
+    assert german[0].startswith("49") and czech[0].startswith("420") and german[0] != "4915112345678" and czech[0] != "420601123456"
