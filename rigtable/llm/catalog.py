@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over whole tables, with production parameters."""
+"""The operators and the pipeline as queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rigtable.llm import jaccard, langid, lm, packing, pieces, pii, quality, sharding, tokenfile, vectors
+from rigtable.llm import jaccard, langid, lines, lm, packing, pieces, pii, quality, sharding, tokenfile, vectors
 from rigtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def _(spark, d):
 @query("op10_lattice_score")
 def _(spark, d):
     return lm.score(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op11_line_dedup", lines.ORACLE)
+def _(spark, d):
+    return lines.op11(table(spark, d, "documents"))
