@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rigtable.llm import jaccard, langid, lines, lm, packing, pieces, pii, quality, sharding, tokenfile, vectors
+from rigtable.llm import jaccard, langid, lines, lm, negatives, packing, periods, pieces, pii, quality, sharding, tokenfile, vectors
 from rigtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,13 @@ def _(spark, d):
 @query("op11_line_dedup", lines.ORACLE)
 def _(spark, d):
     return lines.op11(table(spark, d, "documents"))
+
+
+@query("op12_periodic_runs")
+def _(spark, d):
+    return periods.op12(table(spark, d, "documents"))
+
+
+@query("op13_hard_negatives", negatives.ORACLE)
+def _(spark, d):
+    return negatives.op13(table(spark, d, "embeddings"))
