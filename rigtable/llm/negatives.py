@@ -150,14 +150,19 @@ def search(a: Side, b: Side, same: bool, low: np.ndarray, high: np.ndarray, k: i
 # --- blocks -----------------------------------------------------------------
 
 
-def blocked(rows: DataFrame, name: str, least: int) -> DataFrame:
-    """Rows with ``block``: ranges of (dimension, label, signs of coarse means, id), written once so that they stay."""
-    facts = rows.agg(F.sum("dim").alias("size")).first()
-    n = max(least, -(-(facts["size"] or 0) // BLOCK))
+def sizes(rows: DataFrame, least: int) -> int:
+    """Blocks of about ``BLOCK`` components."""
+    return max(least, -(-(rows.agg(F.sum("dim")).first()[0] or 0) // BLOCK))
+
+
+def blocked(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with ``block``: ranges of (dimension, label, signs of coarse means, id), written once so that they stay; number of blocks."""
+    n = sizes(rows, shuffle_parts(rows.sparkSession))
     width = F.greatest(F.floor(F.size("v") / COARSE), F.lit(1))
     part = lambda i: F.aggregate(F.slice("v", (i * width + 1).cast("int"), width.cast("int")), F.lit(0).cast("long"), lambda s, x: s + F.signum(x).cast("long"))
     signs = sum(((part(i) > 0).cast("int") * 2**i for i in range(COARSE)), F.lit(0))
-    return stage(rows.withColumn("signs", signs).repartitionByRange(n, "dim", "label", "signs", "id", "mark").withColumn("block", F.spark_partition_id()).drop("signs"), name)
+    ranged = rows.withColumn("signs", signs).repartitionByRange(n, "dim", "label", "signs", "id", "mark")
+    return stage(ranged.withColumn("block", F.spark_partition_id()).drop("signs"), "negative-rows"), n
 
 
 def block_table(rows: DataFrame, windows: bool = False) -> DataFrame:
@@ -230,8 +235,11 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     """
     usable = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "v", is_anchor.alias("anchor")).where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
     usable = usable.distinct().withColumn("mark", F.xxhash64("v")).withColumn("dim", F.size("v"))
-    pool = blocked(usable, "negative-rows", shuffle_parts(rows.sparkSession))
-    anchors = blocked(pool.where("anchor").drop("block"), "negative-anchors", 1)
+    pool, n = blocked(stage(usable, "negative-usable"))
+    anchors = pool.where("anchor").drop("anchor")
+    # Anchors of neighbouring row blocks are one block.
+    few = min(sizes(anchors, 1), n)
+    anchors = stage(anchors.withColumn("block", F.least(F.floor(F.col("block") * few / n), F.lit(few - 1)).cast("int")), "negative-anchors")
     pool = pool.drop("anchor")
     table = stage(block_table(pool), "negative-blocks")
     pairs = stage(block_pairs(block_table(anchors), table, True), "negative-pairs")
