@@ -250,7 +250,10 @@ def _(spark, d):
     return out.groupBy("robot_id").agg(F.count("*").alias("n"), r(F.sum("position"), 8).alias("position"))
 
 
-@query("T8_tracking_error", sql(DETS, f"""SELECT goal_id, {rs('CASE WHEN k / 50e0 >= 1 THEN value ELSE k + (value - k) * (k / 50e0) END - value / 2', 5)} AS error, {rs('0 - k / 10e0', 5)} AS velocity_error FROM (SELECT *, det_idx AS goal_id FROM dets)"""))
+_ERROR_SQL = sql(DETS, f"""SELECT goal_id, {rs('CASE WHEN k / 50e0 >= 1 THEN value ELSE k + (value - k) * (k / 50e0) END - value / 2', 5)} AS error, {rs('0 - k / 10e0', 5)} AS velocity_error FROM (SELECT *, det_idx AS goal_id FROM dets)""")
+
+
+@query("T8_tracking_error", _ERROR_SQL)
 def _(spark, d):
     det = detections(spark, d).withColumns({"goal_id": F.col("det_idx"), "t": F.col("k") / 50.0})
     goals = det.select("goal_id", arm.resample(F.array(F.col("k").cast("double")), F.array("value"), 1.0, 10).alias("points"))
@@ -260,6 +263,20 @@ def _(spark, d):
     return err.select("goal_id", r(F.col("error")[0], 5).alias("error"), r(F.col("velocity_error")[0], 5).alias("velocity_error"))
 
 
+@query("T8_tracking_error_stream", _ERROR_SQL)
+def _(spark, d):
+    from rigtable.catalog.tracking import stream_detections
+    from rigtable.streaming.run import drain
+    from rigtable.streaming.windows import tracking_error_stream
+
+    det = lambda: stream_detections(spark, d).withColumn("goal_id", F.col("det_idx"))
+    goals = det().select("goal_id", "ts", arm.resample(F.array(F.col("k").cast("double")), F.array("value"), 1.0, 10).alias("points"))
+    later = F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 20_000)
+    states = det().select("goal_id", later.alias("ts"), F.array(F.col("value") / 2).alias("position"), F.array(F.col("k") / 10.0).alias("velocity"))
+    err = drain(tracking_error_stream(goals, states, 3.0))
+    return err.select("goal_id", r(F.col("error")[0], 5).alias("error"), r(F.col("velocity_error")[0], 5).alias("velocity_error"))
+
+
 def _arbitrate_sql(policy: str) -> str:
     stop = "TRUE" if policy == "reject" else "(NOT pre OR gripper)"
     return sql(DETS, f"""SELECT det_idx, CASE WHEN enabled = FALSE THEN 'reject: disabled' WHEN state = 'GRAVITY_COMP' THEN 'reject: gravity compensation'
@@ -290,6 +307,22 @@ def _(spark, d):
     return _arbitrate(spark, d, "preempt")
 
 
+@query("T9_arbitrate_stream", _arbitrate_sql("preempt"))
+def _(spark, d):
+    from rigtable.catalog.tracking import DAY_S, stream_detections
+    from rigtable.streaming.run import closed, drain
+    from rigtable.streaming.windows import arbitrate_stream
+
+    k = F.col("k")
+    det = lambda: closed(stream_detections(spark, d).select("session_id", "det_idx", "ts", "event_type", "k"))
+    cmds = det().filter("event_type <> 'error'").select(
+        "session_id", "det_idx", "ts", (k % 2 == 0).alias("allow_preempt"), F.when(k % 5 == 0, "gripper").otherwise("arm").alias("target")
+    )
+    state = F.when(k % 3 == 0, "IDLE").when(k % 3 == 1, "TRAJ_RUNNING").otherwise("GRAVITY_COMP")
+    told = det().filter("event_type = 'error' OR event_type IS NULL").select("session_id", "ts", state.alias("state_machine"), (k % 7 != 0).alias("enabled"))
+    return drain(arbitrate_stream(cmds, told, ["session_id"], "preempt", delay="1 day", slot_s=DAY_S)).select("det_idx", "decision")
+
+
 @query("T10_validate_goals", sql(DETS, "SELECT det_idx, CASE WHEN k % 4 = 0 THEN 'empty' WHEN k % 3 = 0 THEN 'joint names differ' WHEN k % 5 = 0 THEN 'positions length differs' END AS problem FROM dets"))
 def _(spark, d):
     k = F.col("k")

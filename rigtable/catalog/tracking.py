@@ -20,6 +20,7 @@ QUERIES: dict = {}
 SQL: dict = {}
 ORDER = ["frame_index", "det_idx"]
 CFG = tk.TrackerConfig()
+DAY_S = 86_400.0
 
 
 def query(name: str, oracle: str | None = None):
@@ -32,6 +33,10 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def recursive(body: str) -> str:
+    return sql(DETS, body).replace("WITH ", "WITH RECURSIVE ", 1).replace("FROM evk)\nr AS", "FROM evk),\nr AS")
+
+
 def stream_events(spark, d):
     return stream_table(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
 
@@ -98,7 +103,11 @@ def _(spark, d):
     return tk.stability(w, ["session_id", "class_name"], ORDER, bucket, cfg).select("session_id", "det_idx", "stable")
 
 
-@query("W5_significant_moves")
+@query("W5_significant_moves", recursive("""r AS (SELECT session_id, class_name, min({'f': frame_index, 'i': det_idx, 'x': cx, 'y': cy, 'z': cz}) AS at FROM dets GROUP BY 1, 2
+  UNION ALL SELECT d.session_id, d.class_name, min({'f': d.frame_index, 'i': d.det_idx, 'x': d.cx, 'y': d.cy, 'z': d.cz}) FROM r JOIN dets d
+  ON d.session_id = r.session_id AND d.class_name = r.class_name AND (d.frame_index, d.det_idx) > (r.at.f, r.at.i)
+  AND sqrt((d.cx - r.at.x) ** 2 + (d.cy - r.at.y) ** 2 + (d.cz - r.at.z) ** 2) > 2e-2 GROUP BY 1, 2)
+  SELECT session_id, class_name, r.at.i AS det_idx FROM r"""))
 def _(spark, d):
     det = detections(spark, d).select("session_id", "class_name", "frame_index", "det_idx", *[F.col("center")[a].alias(a) for a in "xyz"])
     return tk.significant_moves(det, ["session_id", "class_name"], ORDER, min_move=0.02).select("session_id", "class_name", "det_idx")
@@ -140,6 +149,20 @@ def _(spark, d):
     return out.groupBy("session_id", "class_name").agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("n_tracks"))
 
 
+@query("T1_track_stream_frames")
+def _(spark, d):
+    """The frames of T1_track as a stream, two detections or more in most; the same rows as the batch plan."""
+    from rigtable.session import scratch_path
+
+    path = scratch_path(spark, "frames")
+    frame_rows(detections(spark, d)).write.parquet(path)
+    t = drain(st.track_stream(spark.readStream.schema(schemas.FRAMES).parquet(path)))
+    return t.select(
+        "session_id", "frame_index", "class_name", "track_id", "hits", r("confidence_mean", 4).alias("confidence_mean"),
+        r(F.col("center_filtered.x"), 5).alias("fx"), r("yaw_filtered_deg", 3).alias("yaw"), r("position_std_m", 5).alias("pos_std"), "stable",
+    )
+
+
 EE_CAM = [[1, 0, 0, 0.0], [0, 1, 0, 0.05], [0, 0, 1, 0.1], [0, 0, 0, 1]]
 POSE_SQL = """poses AS (SELECT session_id, ts_us, value / 1000 AS tx, k / 100e0 AS ty FROM evk WHERE event_type = 'signup'),
 asks AS (SELECT session_id, det_idx, ts_us FROM evk WHERE event_type <> 'signup')"""
@@ -214,7 +237,7 @@ def _(spark, d):
     both = det.select(
         F.col("session_id").cast("string").alias("session_id"), "ts", "det_idx", is_pose.alias("is_pose"), F.when(is_pose, F.col("value") / 1000).alias("tx")
     )
-    out = drain(st.asof_pose_stream(both, ["session_id"], ["tx"], ["det_idx"]))
+    out = drain(st.asof_pose_stream(closed(both), ["session_id"], ["tx"], ["det_idx"], delay="1 day", slot_s=DAY_S))
     return out.select("session_id", "det_idx", "tf_ok", r("tx").alias("tx"))
 
 
@@ -300,6 +323,15 @@ def _(spark, d):
     return out.groupBy("topic").agg(F.count_if("in_view").alias("n_on"))
 
 
+@query("T3_fresh_changes", sql(DETS, """SELECT topic, at_us, in_view FROM (SELECT CAST(session_id AS VARCHAR) AS topic, ts_us, n > 0 AS now, coalesce(lag(n > 0) OVER w AND ts_us - lag(ts_us) OVER w <= 36000000000, FALSE) AS before,
+  coalesce(lead(ts_us) OVER w - ts_us > 36000000000, TRUE) AS lapses FROM (SELECT *, k % 4 AS n FROM dets) WINDOW w AS (PARTITION BY session_id ORDER BY ts_us, det_idx)),
+  LATERAL (SELECT ts_us AS at_us, now AS in_view WHERE now <> before UNION ALL SELECT ts_us + 36000000000, FALSE WHERE now AND lapses)"""))
+def _(spark, d):
+    msgs = stream_detections(spark, d).select(F.col("session_id").cast("string").alias("topic"), "ts", "det_idx", (F.col("k") % 4).alias("n_detections"))
+    out = drain(st.fresh_stream(closed(msgs), 36_000.0, delay="1 day", slot_s=DAY_S, tie=["det_idx"]))
+    return out.select("topic", F.unix_micros("ts").alias("at_us"), "in_view")
+
+
 @query("T4_idle_sessions", sql(DETS, """SELECT session_id, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts_us - prev >= 21600000000 THEN 1 ELSE 0 END)
   OVER (PARTITION BY session_id ORDER BY ts_us) AS run FROM (SELECT *, lag(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us) AS prev FROM dets WHERE in_workspace)) GROUP BY session_id, run"""))
 def _(spark, d):
@@ -336,13 +368,19 @@ def _(spark, d):
     return out.groupBy("session_id", "class_name", "frame_index").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("T14_throttle")
+def _throttle_sql(session: str) -> str:
+    return recursive(f"""r AS (SELECT session_id, min({{'t': ts_us, 'i': det_idx}}) AS at FROM dets GROUP BY 1
+  UNION ALL SELECT d.session_id, min({{'t': d.ts_us, 'i': d.det_idx}}) FROM r JOIN dets d ON d.session_id = r.session_id AND d.ts_us - r.at.t >= 43200000000 GROUP BY 1)
+  SELECT {session} AS session_id, r.at.i AS det_idx FROM r""")
+
+
+@query("T14_throttle", _throttle_sql("session_id"))
 def _(spark, d):
     det = detections(spark, d).select("session_id", "ts", "det_idx")
     return tk.throttle(det, ["session_id"], ["ts", "det_idx"], gap_s=43_200.0).select("session_id", "det_idx")
 
 
-@query("T14_throttle_stream")
+@query("T14_throttle_stream", _throttle_sql("CAST(session_id AS VARCHAR)"))
 def _(spark, d):
     det = stream_detections(spark, d).select(F.col("session_id").cast("string").alias("session_id"), "ts", "det_idx")
-    return drain(st.throttle_stream(det, ["session_id"], 43_200.0)).select("session_id", "det_idx")
+    return drain(st.throttle_stream(closed(det), ["session_id"], 43_200.0, tie=["det_idx"], delay="1 day", slot_s=DAY_S)).select("session_id", "det_idx")

@@ -206,9 +206,13 @@ def sample_trajectory(goals: DataFrame, times: DataFrame, key: str = "goal_id")
 
 def tracking_error(desired: DataFrame, actual: DataFrame, keys: Sequence[str] = ("goal_id", "t")) -> DataFrame:
     """Desired minus actual, positions and velocities (desired velocity zero where absent)."""
-    both = desired.join(actual, list(keys))
+    return errors_of(desired.join(actual, list(keys)))
+
+
+def errors_of(both: DataFrame) -> DataFrame:
+    """Errors of rows that hold ``desired``, ``position`` and ``velocity``."""
     gap = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
-    want = F.coalesce(F.col("desired_velocity"), F.transform("velocity", lambda v: v * 0.0)) if "desired_velocity" in desired.columns else F.transform("velocity", lambda v: v * 0.0)
+    want = F.coalesce(F.col("desired_velocity"), F.transform("velocity", lambda v: v * 0.0)) if "desired_velocity" in both.columns else F.transform("velocity", lambda v: v * 0.0)
     return both.withColumns({"error": gap(F.col("desired"), F.col("position")), "velocity_error": gap(want, F.col("velocity"))})
 
 
@@ -232,7 +236,11 @@ def arbitrate(
     """
     from rigtable.operators.tracking import asof_pose
 
-    known = asof_pose(commands, states, keys, [state, "enabled"], bucket_s=bucket_s).drop("tf_ok", "pose_ts")
+    return decide(asof_pose(commands, states, keys, [state, "enabled"], bucket_s=bucket_s).drop("tf_ok", "pose_ts"), policy, state)
+
+
+def decide(known: DataFrame, policy: str = "reject", state: str = "state_machine") -> DataFrame:
+    """Decision of commands beside the arm state in force."""
     running_ = F.col(state) == "TRAJ_RUNNING"
     gripper = F.col("target") == "gripper"
     stop = (F.lit(policy) == "reject") | ~F.coalesce("allow_preempt", F.lit(False)) | gripper

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from rigtable.session import scratch_path
 
 
-def drain(stream: DataFrame, path: str | None = None, fmt: str = "parquet", mode: str = "append") -> DataFrame:
-    """Process everything available, then read the sink back."""
+def drain(stream: DataFrame, path: str | None = None, fmt: str = "parquet", mode: str = "append", seen: list[StreamingQuery] | None = None) -> DataFrame:
+    """Process everything available, then read the sink back; ``seen`` gets the query, for its progress."""
     spark = SparkSession.active()
     target = path or scratch_path(spark, "stream")
     query = (
@@ -20,9 +21,21 @@ def drain(stream: DataFrame, path: str | None = None, fmt: str = "parquet", mode
         .start(target)
     )
     query.awaitTermination()
+    if seen is not None:
+        seen.append(query)
     return spark.read.schema(stream.schema).format(fmt).load(target)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were dropped, over the progress reports that the query keeps."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows of state held after the last micro-batch."""
+    return sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"])
+
+
 def closed(stream: DataFrame, ts: str = "ts", at: str = "2100-01-01") -> DataFrame:
     """The stream with one last row far in the future, null but for its time.
 

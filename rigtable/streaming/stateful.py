@@ -1,57 +1,185 @@
-"""Keyed state over detection and telemetry streams.
+"""Keyed state over detection and telemetry streams, on Spark's arbitrary stateful operator with typed state and timers.
 
-Each handler sees one key's rows of one micro-batch, in event order, and a small JSON
-state: its size depends on what is in view, not on how long the stream runs.
+Rows of a key are played in event order.  With ``delay`` a row waits until the watermark has passed its time slot, so the
+result does not depend on how the input was cut into micro-batches; without it the rows of a micro-batch are played when they
+arrive.  Waiting rows lie in map state, one chunk an Arrow batch and time slot, so a key never holds more than one slot in
+memory.  Rows without a key are left out.  What an operator remembers is typed value and map state; with ``idle_s`` a timer lets idle keys go.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rigtable.operators.tracking import REPORT, REPORT_NAMES, TrackBook, TrackerConfig, nest_report
 
-Handler = Callable[[tuple, pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Names with a leading underscore do not reach a processor.
+US = "event_us"
 
 
-def keyed(
-    stream: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    schema: str,
-    handle: Handler,
-    idle_s: float | None = None,
-    expire: Callable[[tuple, dict], pd.DataFrame] | None = None,
-    ts: str = "ts",
-) -> DataFrame:
-    """Stateful operator; with ``idle_s`` (needs a watermark) idle keys are let go."""
-    columns = [c.strip().split()[0] for c in _split_fields(schema)]
+class InOrder(StatefulProcessor):
+    """Plays the rows of a key by time slot; subclasses keep their own state.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else None
-        if state.hasTimedOut:
-            if expire is not None and memory is not None:
-                yield expire(key, memory)[columns]
-            state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
-        out, memory = handle(key, rows, memory)
-        newest = int(rows[ts].max().timestamp() * 1000)
-        memory["_newest"] = max(newest, memory.get("_newest", newest))
-        state.update((json.dumps(memory),))
-        if idle_s is not None:
-            state.setTimeoutTimestamp(max(memory["_newest"] + int(idle_s * 1000), state.getCurrentWatermarkMs() + 1))
+    Hooks: ``open`` declares state, ``play`` takes sorted rows, ``due`` tells when (ms) silence means something, ``lapse`` what,
+    ``forget`` clears.
+    """
+
+    def __init__(self, columns: Sequence[str], order: Sequence[str], slot_us: int, waits: bool, idle_s: float | None, timed: bool):
+        self.columns, self.order, self.slot_us = list(columns), list(order), slot_us
+        self.waits, self.idle_ms, self.timed = waits, None if idle_s is None else int(idle_s * 1000), timed
+
+    # --- hooks
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def play(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def due(self) -> int | None:
+        return None
+
+    def lapse(self, key: tuple) -> pd.DataFrame | None:
+        return None
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    # --- machinery
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot BIGINT", "chunks INT")
+        self.chunks = handle.getMapState("chunks", "slot BIGINT, no INT", "rows BINARY")
+        self.newest = handle.getValueState("newest", "ms BIGINT")
+        self.open(handle)
+
+    def close(self) -> None:
+        pass
+
+    def _pending(self) -> dict[int, int]:
+        """Chunks that wait, by slot, in order."""
+        return dict(sorted((k[0], v[0]) for k, v in self.slots.iterator()))
+
+    def _keep(self, rows: pd.DataFrame, pending: dict[int, int]) -> None:
+        slot = rows[US].to_numpy() // self.slot_us
+        for at in np.unique(slot).tolist():
+            part = pa.RecordBatch.from_pandas(rows[slot == at], preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(part)
+            no = pending.get(at, 0)
+            self.chunks.updateValue((at, no), (sink.getvalue().to_pybytes(),))
+            self.slots.updateValue((at,), (no + 1,))
+            pending[at] = no + 1
+
+    def _take(self, at: int, chunks: int) -> pd.DataFrame:
+        held = []
+        for no in range(chunks):
+            held.append(pa.ipc.open_stream(bytes(self.chunks.getValue((at, no))[0])).read_all())
+            self.chunks.removeKey((at, no))
+        self.slots.removeKey((at,))
+        return pa.concat_tables(held, promote_options="permissive").to_pandas()
+
+    def _played(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows.sort_values(self.order, kind="stable", ignore_index=True)
+        ms = int(rows[US].max()) // 1000
+        if self.newest.exists():
+            newest = self.newest.get()[0]
+            if self.idle_ms is not None and int(rows[US].min()) // 1000 > newest + self.idle_ms:
+                yield from self._lapsed(key, newest + self.idle_ms)
+                self.forget()
+            ms = max(ms, newest)
+        self.newest.update((ms,))
+        out = self.play(key, rows)
         if len(out):
-            yield out[columns]
+            yield out[self.columns]
+
+    def _lapsed(self, key: tuple, known_ms: int) -> Iterator[pd.DataFrame]:
+        due = self.due()
+        if due is not None and due <= known_ms:
+            out = self.lapse(key)
+            if out is not None and len(out):
+                yield out[self.columns]
+
+    def _ready(self, key: tuple, pending: dict[int, int], limit_ms: float) -> Iterator[pd.DataFrame]:
+        """Plays the slots that end by ``limit_ms``; a timer waits for the next."""
+        for at in sorted(pending):
+            end = (at + 1) * self.slot_us
+            if end > limit_ms * 1000:
+                self.handle.registerTimer(end // 1000 + 1)
+                break
+            yield from self._played(key, self._take(at, pending.pop(at)))
+
+    def _silence(self, key: tuple, pending: dict[int, int], now_ms: int) -> Iterator[pd.DataFrame]:
+        """What the lack of rows up to the watermark means; sets timers for what is still open."""
+        if not self.timed or not self.newest.exists():
+            return
+        # Silence is known up to the watermark or to the first slot that waits.
+        known = min([now_ms, *(at * self.slot_us // 1000 - 1 for at in pending)])
+        yield from self._lapsed(key, known)
+        due = self.due()
+        if due is not None:
+            self.handle.registerTimer(max(due, now_ms + 1))
+        if self.idle_ms is not None:
+            end = self.newest.get()[0] + self.idle_ms
+            if end <= known:
+                self.newest.clear()
+                self.forget()
+            else:
+                self.handle.registerTimer(max(end, now_ms + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() if self.timed else 0
+        pending = self._pending() if self.waits else {}
+        alone = None
+        for batch in rows:
+            if alone is None and not self.waits:
+                alone = batch
+                continue
+            if alone is not None and len(alone):
+                self._keep(alone, pending)
+                alone = batch.iloc[:0]
+            self._keep(batch, pending)
+        if alone is not None and len(alone):
+            yield from self._played(key, alone)
+        yield from self._ready(key, pending, now if self.waits else float("inf"))
+        yield from self._silence(key, pending, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        pending = self._pending() if self.waits else {}
+        yield from self._ready(key, pending, now)
+        yield from self._silence(key, pending, now)
+
 
-    timeout = GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.EventTimeTimeout
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "payload STRING", "append", timeout)
+def keyed(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, processor: type[InOrder], ts: str = "ts",
+    delay: str | None = None, idle_s: float | None = None, slot_s: float = 60.0, timed: bool = False, **options,
+) -> DataFrame:
+    """``processor`` over the stream; ``delay`` sets the watermark and makes rows wait for it (see above).
+
+    ``timed`` processors and ``idle_s`` need a watermark: that of ``delay``, or one the stream already has.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = timed or delay is not None or idle_s is not None
+    if delay is not None:
+        stream = stream.withWatermark(ts, delay)
+    # Null keys belong to no one, but move the watermark: the condition reads the time, so it stays above it.
+    named = F.col(ts).isNotNull()
+    for k in keys:
+        named = F.when(named, F.col(k).isNotNull()).otherwise(False)
+    rows = stream.where(named).withColumn(US, F.unix_micros(ts))
+    columns = [c.strip().split()[0] for c in _split_fields(schema)]
+    work = processor(columns, order, int(slot_s * 1e6), delay is not None, idle_s, timed, **options)
+    return rows.groupBy(*keys).transformWithStateInPandas(work, schema, "Append", "EventTime" if timed else "None")
 
 
 def _split_fields(schema: str) -> list[str]:
@@ -72,44 +200,71 @@ TRACKED_STREAM = (
     "point_count INT, in_workspace BOOLEAN, yaw_reliable BOOLEAN, track_id BIGINT, "
 ) + REPORT.split(", ", 1)[1]
 
+TRACKS = "next_no BIGINT, tracks ARRAY<STRUCT<no: BIGINT, id: BIGINT, streak: INT, on: BOOLEAN, last: BIGINT, mid: ARRAY<DOUBLE>, win: ARRAY<ARRAY<DOUBLE>>>>"
+TRACK_FIELDS = ("no", "id", "streak", "on", "last", "mid", "win")
 
-def track_stream(frames: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_s: float | None = None) -> DataFrame:
-    """Tracker over frame rows (``detections`` nested, so a frame is never torn apart).
 
-    Frames at or before the last one seen are late or repeated and are dropped.
-    """
+class Tracker(InOrder):
+    """One book of live tracks a class, in map state; ids count over the session."""
+
+    def __init__(self, *args, cfg: TrackerConfig):
+        super().__init__(*args)
+        self.cfg = cfg
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.session = handle.getValueState("session", "next_id BIGINT, last BIGINT")
+        self.books = handle.getMapState("books", "class_name STRING", TRACKS)
+
+    def forget(self) -> None:
+        self.session.clear()
+        self.books.clear()
+
+    def _book(self, name: str) -> TrackBook:
+        if not self.books.containsKey((name,)):
+            return TrackBook(self.cfg)
+        next_no, tracks = self.books.getValue((name,))
+        tracks = [dict(zip(TRACK_FIELDS, t)) for t in tracks]
+        return TrackBook(self.cfg, next_no, [{**t, "mid": list(t["mid"]), "win": [tuple(w) for w in t["win"]]} for t in tracks])
 
-    def handle(key: tuple, rows: pd.DataFrame, memory: dict | None) -> tuple[pd.DataFrame, dict]:
-        memory = memory or {"next_id": 0, "last": None, "books": {}}
-        books = {c: TrackBook(cfg, b["next_no"], b["tracks"]) for c, b in memory["books"].items()}
+    def play(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        next_id, last = self.session.get() if self.session.exists() else (0, None)
+        books: dict[str, TrackBook] = {}
         out = []
         for row in rows.itertuples(index=False):
             index = int(row.frame_index)
-            if memory["last"] is not None and index <= memory["last"]:
+            if last is not None and index <= last:
                 continue
-            memory["last"] = index
+            last = index
             dets = [(i, d) for i, d in enumerate(row.detections if row.detections is not None else []) if d["center"] is not None]
             told: dict[int, tuple] = {}
             for name in dict.fromkeys(d["class_name"] for _, d in dets):
-                book = books.setdefault(name, TrackBook(cfg))
+                if name not in books:
+                    books[name] = self._book(name)
                 mine = [(i, d) for i, d in dets if d["class_name"] == name]
                 inside = [d["in_workspace"] is None or bool(d["in_workspace"]) for _, d in mine]
-                told.update(zip([i for i, _ in mine], book.frame(index, [_sample(d) for _, d in mine], inside)))
+                told.update(zip([i for i, _ in mine], books[name].frame(index, [_sample(d) for _, d in mine], inside)))
             for i, d in dets:
                 report = told[i]
                 track = next(t for t in books[d["class_name"]].tracks if t["no"] == report[0])
                 if "id" not in track:
-                    track["id"] = memory["next_id"]
-                    memory["next_id"] += 1
+                    track["id"], next_id = next_id, next_id + 1
                 out.append((*key, row.frame_index, row.ts, i, *[d[c] for c in _RAW], track["id"], *report[1:]))
-        memory["books"] = {
-            c: {"next_no": b.next_no, "tracks": b.tracks}
-            for c, b in books.items()
-            if any(memory["last"] - t["last"] <= cfg.max_misses for t in b.tracks)
-        }
-        return pd.DataFrame(out, columns=_STREAM_COLUMNS), memory
+        self.session.update((next_id, last))
+        for name, book in books.items():
+            live = [tuple(t[f] for f in TRACK_FIELDS) for t in book.tracks if last - t["last"] <= self.cfg.max_misses]
+            if live:
+                self.books.updateValue((name,), (book.next_no, live))
+            elif self.books.containsKey((name,)):
+                self.books.removeKey((name,))
+        return pd.DataFrame(out, columns=_STREAM_COLUMNS)
 
-    return nest_report(keyed(frames, ["session_id"], ["frame_index", "ts"], TRACKED_STREAM, handle, idle_s))
+
+def track_stream(frames: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle_s: float | None = None, delay: str | None = None) -> DataFrame:
+    """Tracker over frame rows (``detections`` nested, so a frame is never torn apart).
+
+    Frames at or before the last one seen are late or repeated and are dropped.
+    """
+    return nest_report(keyed(frames, ["session_id"], ["frame_index", US], TRACKED_STREAM, Tracker, delay=delay, idle_s=idle_s, cfg=cfg))
 
 
 _RAW = ["class_name", "confidence", "center", "extent", "yaw_deg", "point_count", "in_workspace", "yaw_reliable"]
@@ -118,14 +273,45 @@ _STREAM_COLUMNS = ["session_id", "frame_index", "ts", "det_idx", *_RAW, "track_i
 
 def _sample(d: dict) -> tuple:
     c, e = d["center"], d["extent"]
-    numbers = (c["x"], c["y"], c["z"], e["x"], e["y"], e["z"], d["yaw_deg"], d["confidence"])
-    return (*map(float, numbers), bool(d["yaw_reliable"]))
+    numbers = (c["x"], c["y"], c["z"], e["x"], e["y"], e["z"], d["yaw_deg"], d["confidence"], bool(d["yaw_reliable"]))
+    return tuple(map(float, numbers))
 
 
 # --- last known values --------------------------------------------------------------
 
 
-def asof_pose_stream(events: DataFrame, keys: Sequence[str], pose: Sequence[str], out: Sequence[str], ts: str = "ts", idle_s: float | None = None) -> DataFrame:
+class LastKnown(InOrder):
+    """The last row of values, such as a pose, as typed state."""
+
+    def __init__(self, *args, pose: dict[str, str]):
+        super().__init__(*args)
+        self.pose, self.types = list(pose), pose
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("pose", ", ".join(f"{c} {t}" for c, t in self.types.items()))
+
+    def forget(self) -> None:
+        self.known.clear()
+
+    def play(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        table = [tuple(self.known.get())] if self.known.exists() else []
+        is_pose = rows["is_pose"].to_numpy(bool)
+        at = (np.cumsum(is_pose) + len(table) - 1)[~is_pose].tolist()
+        new = rows.loc[is_pose, self.pose].astype(object)
+        table += new.where(new.notna(), None).itertuples(index=False, name=None)
+        if table:
+            self.known.update(table[-1])
+        asks = rows[~is_pose].copy()
+        for i, c in enumerate(self.pose):
+            asks[c] = pd.Series([table[k][i] if k >= 0 else None for k in at], index=asks.index, dtype=object)
+        asks["tf_ok"] = np.array(at, dtype=int) >= 0
+        return asks
+
+
+def asof_pose_stream(
+    events: DataFrame, keys: Sequence[str], pose: Sequence[str], out: Sequence[str], ts: str = "ts", idle_s: float | None = None, delay: str | None = None,
+    slot_s: float = 60.0,
+) -> DataFrame:
     """Detections with the last pose seen at or before them.
 
     ``events`` stacks both kinds: rows with ``is_pose`` carry the pose columns, the
@@ -135,72 +321,95 @@ def asof_pose_stream(events: DataFrame, keys: Sequence[str], pose: Sequence[str]
     pose_cols = list(pose)
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, ts, *out, *pose_cols]) + ", tf_ok BOOLEAN"
     # poses come first at equal times
-    ordered = events.withColumn("_side", F.when(F.col("is_pose"), 0).otherwise(1))
+    sided = events.withColumn("is_ask", F.when(F.col("is_pose"), 0).otherwise(1))
+    return keyed(sided, keys, [US, "is_ask"], schema, LastKnown, ts, delay, idle_s, slot_s, pose={c: types[c] for c in pose_cols})
 
-    def handle(key: tuple, rows: pd.DataFrame, memory: dict | None) -> tuple[pd.DataFrame, dict]:
-        memory = memory or {"pose": None}
-        known = [memory["pose"]] if memory["pose"] is not None else []
-        is_pose = rows["is_pose"].to_numpy(bool)
-        seen = np.cumsum(is_pose) + len(known) - 1
-        table = known + rows.loc[is_pose, pose_cols].astype(float).to_numpy().tolist()
-        if table:
-            memory["pose"] = table[-1]
-        asks = rows[~is_pose].copy()
-        at = seen[~is_pose]
-        ok = at >= 0
-        values = np.array([table[i] if i >= 0 else [None] * len(pose_cols) for i in at], dtype=object).reshape(-1, len(pose_cols))
-        for i, c in enumerate(pose_cols):
-            asks[c] = pd.Series(values[:, i], index=asks.index).astype(float)
-        asks["tf_ok"] = ok
-        return asks, memory
 
-    return keyed(ordered, keys, [ts, "_side"], schema, handle, idle_s, ts=ts)
+class Throttle(InOrder):
+    """When the last row went through."""
 
+    def __init__(self, *args, gap_us: int):
+        super().__init__(*args)
+        self.gap_us = gap_us
 
-def throttle_stream(stream: DataFrame, keys: Sequence[str], gap_s: float = 0.5, ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
-    """At most one row per key and gap, measured from the last row let through."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "us BIGINT")
 
-    def handle(key: tuple, rows: pd.DataFrame, memory: dict | None) -> tuple[pd.DataFrame, dict]:
-        last = (memory or {}).get("last")
-        at = rows[ts].astype("datetime64[us]").astype("int64").to_numpy()
+    def forget(self) -> None:
+        self.last.clear()
+
+    def play(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        last = self.last.get()[0] if self.last.exists() else None
         keep = np.zeros(len(rows), dtype=bool)
-        for i, t in enumerate(at):
-            if last is None or t - last >= gap_s * 1e6:
-                last, keep[i] = int(t), True
-        return rows[keep], {"last": last}
+        for i, t in enumerate(rows[US].tolist()):
+            if last is None or t - last >= self.gap_us:
+                last, keep[i] = t, True
+        self.last.update((last,))
+        return rows[keep]
 
-    return keyed(stream, keys, [ts, *tie], schema, handle, ts=ts)
 
+def throttle_stream(
+    stream: DataFrame, keys: Sequence[str], gap_s: float = 0.5, ts: str = "ts", tie: Sequence[str] = (), delay: str | None = None, idle_s: float | None = None,
+    slot_s: float = 60.0,
+) -> DataFrame:
+    """At most one row per key and gap, measured from the last row let through; idle keys may go after a gap."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    if idle_s is not None:
+        idle_s = max(idle_s, gap_s)
+    return keyed(stream, keys, [US, *tie], schema, Throttle, ts, delay, idle_s, slot_s, gap_us=round(gap_s * 1e6))
 
-def fresh_stream(messages: DataFrame, ttl_s: float = 1.0, key: str = "topic", ts: str = "ts") -> DataFrame:
-    """A row when a topic comes into view and one when it goes stale or empty.
 
-    ``messages`` has ``n_detections`` per array and a watermark on the time.
-    """
-    schema = f"{key} STRING, {ts} TIMESTAMP, in_view BOOLEAN"
+class Freshness(InOrder):
+    """Whether a topic is in view and since when nothing came; a timer at the end of its time to live tells that it went stale."""
+
+    def __init__(self, *args, ttl_us: int, topic: str, at: str):
+        super().__init__(*args)
+        self.ttl_us, self.key, self.ts = ttl_us, topic, at
 
-    ttl = int(ttl_s * 1e6)
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.view = handle.getValueState("view", "seen BOOLEAN, us BIGINT")
 
-    def table(rows: list) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[key, ts, "in_view"])
-        out[ts] = out[ts].astype("int64").to_numpy().astype("datetime64[us]")
+    def forget(self) -> None:
+        self.view.clear()
+
+    def _table(self, rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[self.key, self.ts, "in_view"])
+        out[self.ts] = out[self.ts].astype("int64").to_numpy().astype("datetime64[us]")
         return out
 
-    def handle(k: tuple, rows: pd.DataFrame, memory: dict | None) -> tuple[pd.DataFrame, dict]:
-        memory = memory or {"on": False, "at": None}
+    def play(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        seen, at = self.view.get() if self.view.exists() else (False, None)
         out = []
-        for t, n in zip(rows[ts].astype("datetime64[us]").astype("int64"), rows["n_detections"]):
-            if memory["on"] and t - memory["at"] > ttl:
-                out.append((*k, memory["at"] + ttl, False))
-                memory["on"] = False
-            if (n > 0) != memory["on"]:
-                memory["on"] = bool(n > 0)
-                out.append((*k, int(t), memory["on"]))
-            memory["at"] = int(t)
-        return table(out), memory
-
-    def expire(k: tuple, memory: dict) -> pd.DataFrame:
-        return table([(*k, memory["at"] + ttl, False)] if memory["on"] else [])
-
-    return keyed(messages, [key], [ts], schema, handle, ttl_s, expire, ts)
+        for t, n in zip(rows[US].tolist(), rows["n_detections"].tolist()):
+            if seen and t - at > self.ttl_us:
+                out.append((*key, at + self.ttl_us, False))
+                seen = False
+            if (n > 0) != seen:
+                seen = bool(n > 0)
+                out.append((*key, t, seen))
+            at = t
+        self.view.update((seen, at))
+        return self._table(out)
+
+    def due(self) -> int | None:
+        seen, at = self.view.get() if self.view.exists() else (False, None)
+        return (at + self.ttl_us) // 1000 + 1 if seen else None
+
+    def lapse(self, key: tuple) -> pd.DataFrame:
+        at = self.view.get()[1]
+        self.view.update((False, at))
+        return self._table([(*key, at + self.ttl_us, False)])
+
+
+def fresh_stream(
+    messages: DataFrame, ttl_s: float = 1.0, key: str = "topic", ts: str = "ts", delay: str | None = None, tie: Sequence[str] = (), idle_s: float | None = None,
+    slot_s: float = 60.0,
+) -> DataFrame:
+    """A row when a topic comes into view and one when it goes stale or empty.
+
+    ``messages`` has ``n_detections`` per array, and a watermark on the time unless ``delay`` sets it.  The state of a topic goes
+    ``idle_s`` after its last message, by default with its time to live.
+    """
+    schema = f"{key} STRING, {ts} TIMESTAMP, in_view BOOLEAN"
+    idle_s = max(ttl_s if idle_s is None else idle_s, ttl_s) + 0.002
+    return keyed(messages, [key], [US, *tie], schema, Freshness, ts, delay, idle_s, slot_s, timed=True, ttl_us=int(ttl_s * 1e6), topic=key, at=ts)

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigtable.operators.robot import gripper_joints, unnest_joints
+from rigtable.functions import arm
+from rigtable.operators.robot import decide, errors_of, gripper_joints, unnest_joints
 from rigtable.scale import running
+from rigtable.streaming.stateful import asof_pose_stream
 
 
 def publish_stats(stream: DataFrame, keys: Sequence[str], every: str = "1 second", delay: str = "10 seconds", ts: str = "ts") -> DataFrame:
@@ -58,3 +60,35 @@ def fresh_at(ticks: DataFrame, messages: DataFrame, keys: Sequence[str], ttl_s:
     age = (F.unix_micros(ts) - F.unix_micros("_last.at")) / 1e6
     view = (F.col("_last.n") > 0) & (age <= ttl_s)
     return known.withColumns({"age_s": age, "in_view": F.coalesce(view, F.lit(False))}).drop("_side", "_msg", "_last")
+
+
+def tracking_error_stream(
+    goals: DataFrame, states: DataFrame, longest_s: float, key: str = "goal_id", ts: str = "ts", goal_delay: str = "10 seconds", state_delay: str = "10 seconds"
+) -> DataFrame:
+    """Desired minus actual joint values of every state that falls into a goal's time; the stream twin of ``tracking_error``.
+
+    ``goals``: key, start time and ``points`` (see ``resample``); ``states``: key, time, ``position``, ``velocity``.  A state meets
+    the goal of its key from its start on for ``longest_s`` at most.  Both sides have a watermark, so with this bound a goal is let
+    go once no state can meet it, a state once no goal can; what comes later than a watermark is dropped and counted
+    (``run.late_rows``).
+    """
+    start = goals.select(key, F.col(ts).alias("goal_ts"), "points").withWatermark("goal_ts", goal_delay)
+    actual = states.withColumnRenamed(key, "state_key").withWatermark(ts, state_delay)
+    reach = F.make_interval(secs=F.lit(longest_s))
+    meets = (F.col("state_key") == F.col(key)) & (F.col(ts) >= F.col("goal_ts")) & (F.col(ts) <= F.col("goal_ts") + reach)
+    both = start.join(actual, meets).drop("state_key")
+    t = (F.unix_micros(ts) - F.unix_micros("goal_ts")) / 1e6
+    return errors_of(both.withColumn("t", t).withColumn("desired", arm.interp_at(F.col("points"), F.col("t"))).drop("points", "goal_ts"))
+
+
+def arbitrate_stream(
+    commands: DataFrame, states: DataFrame, keys: Sequence[str] = ("robot_id",), policy: str = "reject", ts: str = "ts", delay: str | None = None,
+    state: str = "state_machine", idle_s: float | None = None, slot_s: float = 60.0,
+) -> DataFrame:
+    """Decision per command from the arm state last reported at or before it, as a stream; see ``arbitrate``."""
+    known = [state, "enabled"]
+    asks = commands.withColumn("is_pose", F.lit(False))
+    told = states.select(*keys, ts, *known, F.lit(True).alias("is_pose"))
+    both = asks.unionByName(told, allowMissingColumns=True)
+    out = [c for c in commands.columns if c not in (*keys, ts)]
+    return decide(asof_pose_stream(both, keys, known, out, ts, idle_s, delay, slot_s).drop("tf_ok"), policy, state)
