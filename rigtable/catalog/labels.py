@@ -373,7 +373,20 @@ def _(spark, d):
     return pairs.select("stem", "i", "j", "inter", r("iou").alias("iou"), r("cont").alias("cont"))
 
 
-@query("O9_dedup_masks")
+# One step a detection, from the strongest of its image and label on: it stays unless one that stayed overlaps it.
+_DEDUP_SQL = sql([SHAPES, GOOD, RUNS, OVERLAP], """near AS (SELECT p.stem, p.i, p.j FROM pairs p JOIN good x ON x.stem = p.stem AND x.line_no = p.i JOIN good y ON y.stem = p.stem AND y.line_no = p.j
+  WHERE x.label = y.label AND iou >= 3e-1),
+both_ways AS (SELECT stem, i AS line_no, j AS other FROM near UNION ALL SELECT stem, j, i FROM near),
+ranked AS (SELECT g.stem, g.line_no, g.label, row_number() OVER (PARTITION BY g.stem, g.label ORDER BY (g.line_no % 97) / 97e0 DESC, g.line_no) AS n,
+  coalesce(others, []) AS others FROM good g LEFT JOIN (SELECT stem, line_no, list(other) AS others FROM both_ways GROUP BY ALL) b ON b.stem = g.stem AND b.line_no = g.line_no),
+walk AS (SELECT stem, label, 0::BIGINT AS n, []::BIGINT[] AS kept FROM ranked GROUP BY ALL
+  UNION ALL SELECT w.stem, w.label, r.n, CASE WHEN list_has_any(r.others, w.kept) THEN w.kept ELSE list_append(w.kept, r.line_no) END
+  FROM walk w JOIN ranked r ON r.stem = w.stem AND r.label = w.label AND r.n = w.n + 1)
+SELECT stem, label, unnest(kept) AS line_no FROM (SELECT stem, label, arg_max(kept, n) AS kept FROM walk GROUP BY ALL)""")
+_DEDUP_SQL = _DEDUP_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace("y.stem = s.stem AND y.line_no = s.j)\nnear AS", "y.stem = s.stem AND y.line_no = s.j),\nnear AS")
+
+
+@query("O9_dedup_masks", _DEDUP_SQL)
 def _(spark, d):
     dets = good_shapes(spark, d).withColumn("score", (F.col("line_no") % 97) / 97.0)
     kept = mk.dedup_masks(dets, shape_runs(spark, d).drop("label"), 0.3, ["stem"], "line_no", "label")

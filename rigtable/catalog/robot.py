@@ -398,7 +398,7 @@ def calib_rows(spark, d):
     return samples, cands
 
 
-@query("A13_calibration_spread", sql(DETS, f"""SELECT session_id, method, n_samples, {rs('trans', 3)} AS trans_mm, {rs('rot', 3)} AS rot_std_deg, {rs('trans + rot', 2)} AS score,
+@query("A13_calibration_spread", sql(DETS, f"""SELECT session_id, method, n_samples, {rs('trans', 6)} AS trans_mm, {rs('rot', 7)} AS rot_std_deg, {rs('trans + rot', 6)} AS score,
   method = arg_min(method, (round(trans + rot, 9), method)) OVER (PARTITION BY session_id) AS best FROM (SELECT session_id, method, count(*) AS n_samples,
     1000 * sqrt(var_pop(k / 100e0 + cos(a) * q - sin(a) * 1e-1) + var_pop(sin(a) * q + cos(a) * 1e-1)) AS trans, avg(abs(degrees(a) - mid)) AS rot
   FROM (SELECT *, degrees(atan2(avg(sin(a)) OVER w, avg(cos(a)) OVER w)) AS mid FROM (SELECT *, 5e-1 - k / 100e0 + value / 1e5 AS q, radians(k / 1e1 + turn) AS a FROM dets, (VALUES ('exact', 0e0), ('turned', 1e0)) t(method, turn))
@@ -407,7 +407,7 @@ def _(spark, d):
     samples, cands = calib_rows(spark, d)
     out = calib.calibration_spread(samples, cands)
     mm = F.col("trans_std_m") * 1000
-    return out.select("session_id", "method", "n_samples", r(mm, 3).alias("trans_mm"), r("rot_std_deg", 3).alias("rot_std_deg"), r("score", 2).alias("score"), "best")
+    return out.select("session_id", "method", "n_samples", r(mm, 6).alias("trans_mm"), r("rot_std_deg", 7).alias("rot_std_deg"), r("score", 6).alias("score"), "best")
 
 
 @query("J19_candidates_per_sample", sql(DETS, "SELECT session_id, count(*) * 2 AS n FROM dets GROUP BY 1"))

@@ -245,9 +245,9 @@ def rotate(r: Mat, p: Vec) -> Vec:
 
 
 def rot_angle_deg(r: Mat) -> Column:
-    """Geodesic angle of a rotation."""
-    cosine = (r[0][0] + r[1][1] + r[2][2] - 1.0) / 2.0
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    """Geodesic angle of a rotation, from its skew part and its trace: exact to all digits near 0 and 180 degrees too."""
+    skew = (r[2][1] - r[1][2], r[0][2] - r[2][0], r[1][0] - r[0][1])
+    return F.degrees(F.atan2(length(skew), r[0][0] + r[1][1] + r[2][2] - 1.0))
 
 
 def yaw_pitch_rot(yaw_deg: Column, pitch_deg: Column) -> list[list[Column]]:

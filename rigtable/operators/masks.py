@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rigtable.scale import components, ordered_fold
 from rigtable.session import settle
 
 # Width of the column bands that run joins are keyed by.
@@ -195,9 +196,7 @@ def dedup_masks(
 ) -> DataFrame:
     """Greedy suppression by descending score inside (image, class); input columns returned.
 
-    A detection is kept once every stronger neighbour is out, and goes out with its
-    first kept neighbour.  Only overlapping pairs take part, in rounds that end when
-    nothing is open, so no image is ever gathered in one place.
+    Only overlapping pairs take part: see ``suppress``.
     """
     image = list(image)
     key = image + [inst]
@@ -205,30 +204,40 @@ def dedup_masks(
     pairs = mask_overlap(named, image, inst, [cls]).filter(F.col("iou") >= iou)
     rank = lambda side: dets.select(*image, F.col(inst).alias(side), F.col(score).alias(f"s_{side}"))
     i_first = (F.col("s_i") > F.col("s_j")) | ((F.col("s_i") == F.col("s_j")) & (F.col("i") < F.col("j")))
-    edges = settle(
-        pairs.join(rank("i"), image + ["i"]).join(rank("j"), image + ["j"]).select(
-            *image,
-            F.when(i_first, F.col("i")).otherwise(F.col("j")).alias("strong"),
-            F.when(i_first, F.col("j")).otherwise(F.col("i")).alias("weak"),
-        )
+    edges = pairs.join(rank("i"), image + ["i"]).join(rank("j"), image + ["j"]).select(
+        *image,
+        F.when(i_first, F.col("i")).otherwise(F.col("j")).alias("strong"),
+        F.when(i_first, F.col("j")).otherwise(F.col("i")).alias("weak"),
+        F.when(i_first, F.col("s_i")).otherwise(F.col("s_j")).alias("score"),
     )
-    dropped = None
-    while edges.take(1):  # every round decides a node at least
-        weak = edges.select(*image, F.col("weak").alias("n")).distinct()
-        top = edges.select(*image, F.col("strong").alias("n")).distinct().join(weak, image + ["n"], "left_anti")
-        out = settle(
-            edges.join(top.withColumnRenamed("n", "strong"), image + ["strong"], "left_semi")
-            .select(*image, F.col("weak").alias("n")).distinct()
-        )
-        dropped = out if dropped is None else dropped.unionByName(out)
-        gone = lambda side: out.withColumnRenamed("n", side)
-        # Edges from a decided node are spent; what is left has both ends open.
-        edges = settle(
-            edges.join(gone("weak"), image + ["weak"], "left_anti").join(gone("strong"), image + ["strong"], "left_anti")
-        )
-    if dropped is None:
-        return dets
-    return dets.join(dropped.withColumnRenamed("n", inst), key, "left_anti")
+    return dets.join(suppress(edges, image).withColumnRenamed("weak", inst), key, "left_anti")
+
+
+def suppress(edges: DataFrame, image: Sequence[str]) -> DataFrame:
+    """Rows (image, weak) that a greedy pass from the strongest on puts out; edges: image, strong, weak, score of the strong.
+
+    Whether one is out depends on stronger ones of its connected component alone.  So components run in parallel, and inside one
+    the edges stream in order of their strong end: when it comes up all that could put it out has been seen.  A task holds
+    one Arrow batch and the ones out in one component.
+    """
+    image = list(image)
+    edges = settle(edges)
+    node = lambda c: F.struct(*image, F.col(c).alias("n"))
+    found = components(edges.select(node("strong").alias("a"), node("weak").alias("b")))
+    roots = found.select(*[F.col(f"node.{c}").alias(c) for c in image], F.col("node.n").alias("strong"), F.col("root.n").alias("root"))
+    types = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in [*image, "weak"])
+
+    def step(out: set, part: pd.DataFrame):
+        fresh = []
+        for at, (strong, weak) in enumerate(zip(part["strong"].tolist(), part["weak"].tolist())):
+            if strong not in out and weak not in out:
+                out.add(weak)
+                fresh.append(at)
+        return out, part.iloc[fresh][[*image, "weak"]]
+
+    order = [F.col("score").desc(), "strong", "weak"]
+    return ordered_fold(edges.join(roots, image + ["strong"]), [*image, "root"], order, schema, lambda key: set(), step)
 
 
 # --- morphology and contours ----------------------------------------------------

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rigtable.session import settle
+
 # Points of a group's rank grid, and the grid steps its sketch may be off by (rank error, both ends, rounding).
 GRID, SLACK = 2000, 6
 LARGEST = 1.7976931348623157e308
@@ -276,3 +278,29 @@ def ordered_fold(
     return (
         df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
     )
+
+
+# --- connected components ------------------------------------------------------
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Rows (node, root) for all nodes of undirected links (a, b); root is the smallest node that can be reached.
+
+    Stars alternate: every node hangs its greater neighbours, then its smaller ones, under the smallest neighbour it knows,
+    until nothing changes.  The rounds, each one written table, grow with the logarithm of the longest chain.
+    """
+    cur = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
+    before = None
+    while True:
+        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        cur = settle(down.where(F.col("a") != F.col("b")).distinct())
+    roots = cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

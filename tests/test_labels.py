@@ -102,6 +102,21 @@ def test_overlap_dedup_and_union(spark):
     assert (grids(union)[0] == np.any(list(g.values()), axis=0)).all()
 
 
+def test_suppression_along_a_chain_of_100_000(spark):
+    """Each detection overlaps the next; scores rise along stretches, so decisions run through whole stretches."""
+    n = 100_000
+    score = lambda x: x % 1000
+    links = spark.range(n - 1).select(F.lit("img").alias("image_id"), F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    first = score(F.col("i")) > score(F.col("j"))
+    edges = links.select("image_id", F.when(first, F.col("i")).otherwise(F.col("j")).alias("strong"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("weak"))
+    out = {r.weak for r in mk.suppress(edges.withColumn("score", score(F.col("strong"))), ["image_id"]).collect()}
+    kept = set()
+    for x in sorted(range(n), key=lambda x: (-score(x), x)):
+        if x - 1 not in kept and x + 1 not in kept:
+            kept.add(x)
+    assert set(range(n)) - out == kept
+
+
 def test_closing_and_contours(spark):
     rng = np.random.default_rng(1)
     mask = rng.random((12, 15)) < 0.35
