@@ -24,9 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rigtable.llm.common import crc_mod
-from rigtable.llm.words import Words, words_of
+from rigtable.llm.words import Words, slices, words_of
 
 #: First code points of script ranges, with the script that begins there.
 SCRIPTS = (
@@ -178,37 +179,72 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+class Labels(NamedTuple):
+    """Of some texts: index of each text's language (that after the last: unknown), its share of the letters, and the spans."""
+
+    pred: np.ndarray
+    score: np.ndarray
+    text: np.ndarray  # of each span: its text, first word, number of words and language
+    start: np.ndarray
+    size: np.ndarray
+    lang: np.ndarray
+
+
+def labels_of(texts: pa.Array, model: Model) -> Labels:
+    words = words_of(texts)
+    n, k = len(words.offsets) - 1, len(model.langs)
+    none = np.zeros(0, np.int64)
+    if not k or not len(words.codes):
+        return Labels(np.full(n, k), np.zeros(n), none, none, none, none)
+    scores, size = word_scores(words.values, model)
+    lang = viterbi(words, scores, model.prior)
+    text_of = np.repeat(np.arange(n), words.lengths())
+    by_lang = np.bincount(text_of * k + lang, size[words.codes], n * k).reshape(n, -1)
+    total = by_lang.sum(axis=1)
+    cut = np.flatnonzero((np.diff(lang, prepend=-1) != 0) | (np.diff(text_of, prepend=-1) != 0))
+    length = np.diff(np.append(cut, len(lang)))
+    told = total[text_of[cut]] > 0
+    cut, length = cut[told], length[told]
+    pred = np.where(total > 0, by_lang.argmax(axis=1), k)
+    return Labels(pred, by_lang.max(axis=1) / np.maximum(total, 1), text_of[cut], cut - words.offsets[text_of[cut]], length, lang[cut])
+
+
 def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, lang_pred, score, spans): spans of words with one language, in order."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
+        langs = np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
-            words = words_of(batch.column("text"))
-            n, langs = batch.num_rows, [*model.langs, UNKNOWN]
-            pred, score, spans = np.full(n, len(model.langs)), np.zeros(n), [[] for _ in range(n)]
-            if model.langs and len(words.codes):
-                scores, size = word_scores(words.values, model)
-                lang = viterbi(words, scores, model.prior)
-                text_of = np.repeat(np.arange(n), words.lengths())
-                by_lang = np.bincount(text_of * len(model.langs) + lang, size[words.codes], n * len(model.langs)).reshape(n, -1)
-                total = by_lang.sum(axis=1)
-                pred = np.where(total > 0, by_lang.argmax(axis=1), len(model.langs))
-                score = by_lang.max(axis=1) / np.maximum(total, 1)
-                cut = np.flatnonzero((np.diff(lang, prepend=-1) != 0) | (np.diff(text_of, prepend=-1) != 0))
-                for a, b in zip(cut.tolist(), np.append(cut[1:], len(lang)).tolist(), strict=True):
-                    text = int(text_of[a])
-                    if total[text]:
-                        spans[text].append({"start": a - int(words.offsets[text]), "n_words": b - a, "lang": langs[lang[a]]})
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())]))
-            names = pa.array(np.array(langs, object)[pred], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, pa.array(score), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
+            for part in slices(batch, batch.column("text")):
+                found = labels_of(part.column("text"), model)
+                ends = np.searchsorted(found.text, np.arange(part.num_rows + 1))
+                told = pa.StructArray.from_arrays([pa.array(found.start), pa.array(found.size), pa.array(langs[found.lang], pa.string())], ["start", "n_words", "lang"])
+                spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(langs[found.pred], pa.string()), pa.array(found.score), spans], ["doc_id", "lang_pred", "score", "spans"]
+                )
 
     schema = "doc_id long, lang_pred string, score double, spans array<struct<start:long,n_words:long,lang:string>>"
     return _source(docs, id_col, text_col).mapInArrow(label, schema)
 
 
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows (row, lang_pred, score): every row of the table whole, beside its verdict; nothing is shuffled or joined."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        langs = np.array([*model.langs, UNKNOWN], object)
+        for batch in batches:
+            for part in slices(batch, pc.struct_field(batch.column("row"), text_col)):
+                found = labels_of(pc.struct_field(part.column("row"), text_col), model)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(langs[found.pred], pa.string()), pa.array(found.score)], ["row", "lang_pred", "score"])
+
+    return docs.select(F.struct("*").alias("row")).mapInArrow(label, T.StructType().add("row", docs.schema).add("lang_pred", "string").add("score", "double"))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return crc_mod(id_col, 4) == 2
 

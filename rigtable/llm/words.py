@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -51,3 +52,18 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes start, start + 1, ... of every (start, length) range, one range after the other."""
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+#: Bytes of text that are taken together.
+SLICE = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, text: pa.Array, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about ``size`` bytes of ``text``; one row at least, so memory follows bytes and not rows."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(held[start - 1]) if start else 0
+        stop = max(int(np.searchsorted(held, before + size, side="right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
