@@ -22,17 +22,18 @@ LANGUAGE_SHARE = 0.3
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``_row``, a 64-bit hash of id, text and label, on which all decisions rest: rows that agree in these are judged alike.
+    """Rows (key, row, doc_id, text, lang): the whole row as one column, so names of its columns never clash, beside ``key``.
 
-    Ids may be null or occur with several texts.  Two different rows share a hash with odds of about n * n / 2^65.
+    The key is a 64-bit hash of id, text and label, on which decisions rest: rows that agree in these are judged alike.
+    Ids may be null or occur with several texts.  Two different rows share a key with odds of about n * n / 2^65.
     """
     parts = [x for c in ("doc_id", "text", "lang") for x in (F.col(c).isNull(), F.col(c))]
-    return docs.withColumn("_row", F.xxhash64(*parts))
+    return docs.select(F.xxhash64(*parts).alias("key"), F.struct("*").alias("row"), "doc_id", "text", "lang")
 
 
-def kept_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Documents of ``keyed`` whose row is among distinct rows (column doc_id)."""
-    return docs.join(rows.select(F.col("doc_id").alias("_row")), "_row", "left_semi").drop("_row")
+def kept_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is among distinct keys (column key); only keys and rows meet."""
+    return rows.select("key", "row").join(keys, "key", "left_semi")
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,41 +43,41 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    docs = keyed(docs)
-    good = langid.label_spans(docs, model, id_col="_row").where(F.col("lang_pred") != langid.UNKNOWN).where(F.col("score") >= LANGUAGE_SHARE)
-    return kept_rows(docs, good.select("doc_id").distinct())
+    judged = langid.with_language(docs, model)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select("row.*")
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the base rule or a risk-controlled threshold rejects."""
     ship(spark)
-    docs = keyed(docs)
-    labels = table(spark, sf_dir, "labels").join(docs.select("doc_id", "_row"), "doc_id").select(F.col("_row").alias("doc_id"), "quality")
-    judged = quality.judge(docs, labels, id_col="_row")
-    return kept_rows(docs, judged.where("kept").select("doc_id").distinct())
+    rows = keyed(docs)
+    labels = table(spark, sf_dir, "labels").join(rows.select("doc_id", "key"), "doc_id").select(F.col("key").alias("doc_id"), "quality")
+    judged = quality.judge(rows, labels, id_col="key")
+    return kept_rows(rows, judged.where("kept").select(F.col("doc_id").alias("key")).distinct()).select("row.*")
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group, one without id only if none has one; of repeated rows, one.
 
-    Rows without words are in no group; those of one id and text are repeated rows.
+    Rows without words are in no group; those of one id and text are repeated rows.  Texts are shuffled once, at the end.
     """
     ship(spark)
-    docs = keyed(docs)
-    joined = jaccard.join(docs, id_col="_row").select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group")).distinct()
-    bare = [c for c in docs.columns if c not in ("doc_id", "text", "_row")]
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", *bare, F.xxhash64("text"), "_row")
-    alone = F.when(F.col("_group").isNull(), F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-    first = docs.join(joined, "_row").groupBy("_group", alone.alias("_alone")).agg(F.min(place)["_row"].alias("_row"))
-    kept = docs.join(first.select("_row"), "_row", "left_semi")
-    one = Window.partitionBy("_row").orderBy(*bare)
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_row")
+    rows = keyed(docs)
+    joined = jaccard.join(rows.select("key", "text"), id_col="key").select(F.col("doc_id").alias("key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group")).distinct()
+    rest = [F.col(f"row.{c}").alias(f"c{i}") for i, c in enumerate(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text"))]
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest, F.xxhash64("text").alias("mark"), "key")
+    alone = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    bare = rows.select("key", place.alias("place"), alone.alias("alone")).join(joined, "key")
+    first = bare.groupBy("group", F.when(F.col("group").isNull(), F.col("alone")).alias("alone")).agg(F.min("place")["key"].alias("key"))
+    kept = kept_rows(rows, first.select("key"))
+    one = Window.partitionBy("key").orderBy(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows the new text."""
     ship(spark)
-    return pii.pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
