@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from rigtable.llm.words import Words, spread, words_of
 
@@ -20,7 +21,8 @@ END_ID = 1
 #: Words kept by a worker; at the bound the older half of the memory goes.
 KEPT_WORDS = 200_000
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,]?)")
-SENTENCE_END = re.compile(r"[.!?。！？][\"'”’)\]]*$")
+#: For Arrow's matcher, which tests all distinct words of a batch at once.
+SENTENCE_END = "[.!?。！？][\"'”’)\\]]*$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,14 +46,14 @@ class WordIds:
         self.old: dict[str, bytes] = {}
 
     def _plain(self, word: str) -> bytes | None:
-        """Ids of a word that normalisation leaves alone but for lower case; None: it is not such a word."""
+        """Ids of a word that normalisation leaves alone but for lower case (Latin-1 letters have no other form); None: it is not such a word."""
         found = PLAIN.fullmatch(word.lower()) if word.isascii() else PLAIN.fullmatch(word)
-        if not found or not unicodedata.is_normalized("NFC", word):
+        if not found:
             return None
         ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, found[1])))]
         if found[2]:
             ids += [t.id for t in self.model.tokenize(found[2])]
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, words: list[str]) -> list[bytes]:
         young, old, out, late = self.young, self.old, [], []
@@ -73,7 +75,7 @@ class WordIds:
         for at in range(0, len(late), 10_000):
             part = late[at : at + 10_000]
             for k, got in zip(part, self.library.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
-                out[k] = np.array(got.ids, "<u4").tobytes()
+                out[k] = struct.pack(f"<{len(got.ids)}I", *got.ids)
                 if len(self.young) < KEPT_WORDS // 2:
                     self.young[words[k]] = out[k]
         return out
@@ -113,7 +115,7 @@ class Tokens:
         self.ids[~closing] = flat[spread(starts[words.codes], n)]
         self.breaks = np.zeros(0, np.int64)
         if sentences:
-            last = np.fromiter((SENTENCE_END.search(w) is not None for w in values), bool, len(values))[words.codes]
+            last = pc.match_substring_regex(words.values, SENTENCE_END).to_numpy(zero_copy_only=False).astype(bool)[words.codes]
             text_of = np.repeat(np.arange(texts), words.lengths())
             self.breaks = (upto[1:] + text_of)[last]
 
