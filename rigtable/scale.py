@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from rigtable.session import settle
 
-# Points of a group's rank grid, and the grid steps its sketch may be off by (rank error, both ends, rounding).
-GRID, SLACK = 2000, 6
+# Points of a group's rank grid; the grid steps that a rank may be off by (sketch: a tenth; deviations: both ends, each by a step and a tenth).
+GRID, SLACK, SLACK_APART = 500, 2, 4
+# Rows by which a rank may be off besides.
+NEAR = 4
 LARGEST = 1.7976931348623157e308
 
 
@@ -35,14 +37,17 @@ def rank_grid(x: Column) -> Column:
     return F.percentile_approx(ordered(x), [i / GRID for i in range(GRID + 1)], 10 * GRID)
 
 
-def bracket(grid: Column, n: Column, p: float) -> tuple[Column, Column]:
-    """Values that the two rows around quantile ``p`` lie between; a group below the grid's resolution is taken whole."""
-    spot = p * GRID
-    low, high = math.floor(spot) - SLACK, math.ceil(spot) + SLACK
-    small = n < 20 * GRID
+def bracket(grid: Column, n: Column, p: float, slack: int = SLACK) -> tuple[Column, Column]:
+    """Values that the two rows around quantile ``p`` lie between, for groups of every size.
+
+    The sketch is right to one row in 10 * ``GRID``, a tenth of a grid step; ``NEAR`` rows more, counted in grid steps of the
+    group, cover rounding of ranks where a step is less than a row.  A bracket so holds about 2 * ``NEAR`` rows of a small group.
+    """
+    spot, near = p * GRID, F.lit(slack) + F.ceil(F.lit(float(NEAR * GRID)) / n)
+    low, high = F.lit(math.floor(spot)) - near, F.lit(math.ceil(spot)) + near
     return (
-        F.when(small | F.lit(low < 0), -LARGEST).otherwise(F.get(grid, F.lit(max(low, 0)))),
-        F.when(small | F.lit(high > GRID), LARGEST).otherwise(F.get(grid, F.lit(min(high, GRID)))),
+        F.when(low < 0, -LARGEST).otherwise(F.get(grid, F.greatest(low, F.lit(0)).cast("int"))),
+        F.when(high > GRID, LARGEST).otherwise(F.get(grid, F.least(high, F.lit(GRID)).cast("int"))),
     )
 
 
@@ -94,7 +99,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     """One row per key with exact, linearly interpolated quantiles named by ``probs``; null values are left out.
 
     One plan for groups of any size, from two map-side combined passes: a rank sketch per group brackets each
-    quantile to about half a per cent of the rows (more where values are tied), then the rows below and each value inside are counted.
+    quantile to about one per cent of the rows and a few (more where values are tied), then the rows below and each value inside are counted.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
@@ -119,8 +124,8 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     ready = sketch.withColumns({"_lo": low, "_hi": high})
     centre = picked(with_stats(data, ready.drop("_grid"), keys), keys, F.col("_x"), [("_med", "_lo", "_hi", 0.5)])
     centre = with_stats(centre, sketch.select(*keys, "_grid"), keys)
-    apart = F.sort_array(F.transform("_grid", lambda g: ordered(F.abs(g - F.col("_med")))))
-    low, high = bracket(apart, F.col("_n"), 0.5)
+    centre = centre.withColumn("_grid", F.sort_array(F.transform("_grid", lambda g: ordered(F.abs(g - F.col("_med"))))))
+    low, high = bracket(F.col("_grid"), F.col("_n"), 0.5, SLACK_APART)
     ready = centre.withColumns({"_lo": low, "_hi": high}).drop("_grid")
     apart = F.abs(F.col("_x") - F.col("_med"))
     return picked(with_stats(data, ready, keys), keys, apart, [("_mad", "_lo", "_hi", 0.5)], ["_med"]).drop("_n")

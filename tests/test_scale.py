@@ -34,6 +34,25 @@ def test_quantiles_of_large_groups(skewed, monkeypatch, grid):
         assert np.allclose(spread.loc[key].astype(float), [mid, np.median(np.abs(part["v"] - mid))]), key
 
 
+def test_small_groups_are_bracketed_too(spark):
+    """Groups of every small size, ties included, give what sorting gives, and a group of 5,000 counts few of its values."""
+    rng = np.random.default_rng(8)
+    pdf = pd.concat([pd.DataFrame({"k": n, "v": np.round(rng.normal(0, 1, n), 1 + n % 3)}) for n in [*range(1, 40), 499, 500, 501, 1999, 5000]])
+    df = spark.createDataFrame(pdf).repartition(7)
+    probs = {"a": 0.0, "b": 0.02, "c": 0.37, "m": 0.5, "z": 1.0}
+    got = scale.group_quantiles(df, ["k"], "v", probs).toPandas().set_index("k")
+    spread = scale.median_and_mad(df, ["k"], "v").toPandas().set_index("k")
+    for k, part in pdf.groupby("k"):
+        want = np.percentile(part["v"], [100 * p for p in probs.values()])
+        assert np.allclose(got.loc[k, list(probs)].astype(float), want), k
+        mid = np.median(part["v"])
+        assert np.allclose(spread.loc[k].astype(float), [mid, np.median(np.abs(part["v"] - mid))]), k
+    even = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    low, high = scale.bracket(F.col("g"), F.col("n"), 0.5)
+    ends = even.groupBy("k").agg(F.count("*").alias("n"), scale.rank_grid(F.col("v")).alias("g")).select(low.alias("lo"), high.alias("hi")).first()
+    assert ends.lo <= 2499 and ends.hi >= 2500 and ends.hi - ends.lo < 100
+
+
 def test_quantiles_with_infinite_missing_and_null_values(spark, monkeypatch):
     monkeypatch.setattr(scale, "GRID", 30)
     inf, nan = float("inf"), float("nan")
