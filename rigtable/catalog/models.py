@@ -316,7 +316,7 @@ def capture_files(spark, d):
 @query("S7_gather_captures", "SELECT CAST(vec_id AS VARCHAR) AS capture_id, CASE WHEN vec_id % 7 = 0 THEN 'missing depth' ELSE 'ok' END AS reason FROM embeddings")
 def _(spark, d):
     ok, bad = rd.gather_captures(capture_files(spark, d))
-    return ok.select("capture_id", F.lit("ok").alias("reason")).unionByName(bad)
+    return ok.select("capture_id", F.lit("ok").alias("reason")).unionByName(bad.drop("folder"))
 
 
 @query("S8_explode_depth", f"""SELECT CAST(vec_id AS VARCHAR) AS capture_id, vec_id % 9 <> 0 AS shape_ok, CASE WHEN vec_id % 9 = 0 THEN 1 ELSE 64 END AS n,

@@ -383,7 +383,7 @@ def split_dataset(
 ) -> DataFrame:
     """``split`` per real image: the first max(1, round(n * ratio)) in hash order validate.
 
-    Classes absent from validation each pull their first training image.  The cut is
+    Classes absent from validation each pull their first training image, in one plan.  The cut is
     found from block counts of the hash, so no task ranks the whole pool.
     """
     rank_key = shuffle_key(F.col(key), seed) if order is None else order
@@ -404,21 +404,26 @@ def split_dataset(
     placed = settle(placed.select(key, "_i", "split"))
     labels = shapes.select(key, clean_label(F.col("label")).alias("label")).filter(F.col("label") != "")
     seen = labels.join(placed, key)
-    # Fold-like state per class is only min() of a position, so this is map-side combined.
-    per_class = seen.groupBy("label").agg(
-        F.max((F.col("split") == "val").cast("int")).alias("in_val"),
-        F.min(F.when(F.col("split") == "train", F.struct("_i", key))).alias("first"),
-    )
-    # Classes are few (registry size): their pulls are resolved one after another, since
-    # an image already pulled is no longer in training.
-    missing = [r["label"] for r in per_class.filter("in_val = 0").select("label").orderBy("label").collect()]
-    pulled: list = []
-    for name in missing:
-        pool = seen.filter((F.col("label") == name) & (F.col("split") == "train"))
-        if pulled:
-            pool = pool.filter(~F.col(key).isin(pulled))
-        first = pool.agg(F.min(F.struct("_i", key)).alias("m")).first()["m"]
-        if first is not None:
-            pulled.append(first[key])
-    final = F.when(F.col(key).isin(pulled), "val").otherwise(F.col("split")) if pulled else F.col("split")
-    return placed.select(key, final.alias("split"))
+    in_val = F.max((F.col("split") == "val").cast("int"))
+    missing = seen.groupBy("label").agg(in_val.alias("_in")).filter("_in = 0").select("label", F.count("*").over(Window.partitionBy()).alias("_k"))
+    pulled = class_pulls(seen.filter(F.col("split") == "train").select("label", "_i", key), missing, key)
+    moved = placed.join(pulled.withColumn("_pulled", F.lit(True)), key, "left")
+    return moved.select(key, F.when(F.col("_pulled"), "val").otherwise(F.col("split")).alias("split"))
+
+
+def class_pulls(seen: DataFrame, missing: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """Images (``key``) that classes pull: in order of ``label``, each takes its first image by ``_i`` that none has taken.
+
+    ``missing`` has a row (label, _k) a class, _k their number.  The classes before take fewer than _k images, so the first
+    _k of each class decide; they are found inside buckets of positions first, so no task ranks a class.  What remains is a
+    square of the number of classes, folded in one expression.
+    """
+    kind = seen.schema[key].dataType.simpleString()
+    near = seen.join(missing, "label").distinct().withColumn("_b", F.pmod("_i", F.lit(buckets)))
+    for by in (("label", "_b"), ("label",)):
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_i", key))).filter("_r <= _k")
+    per_class = near.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", key))), lambda c: c[key]).alias("c"))
+    turns = F.sort_array(F.collect_list(F.struct("label", "c")))
+    free = lambda taken, turn: F.slice(F.filter(turn["c"], lambda c: ~F.array_contains(taken, c)), 1, 1)
+    taken = F.aggregate(turns, F.array().cast(f"array<{kind}>"), lambda taken, turn: F.concat(taken, free(taken, turn)))
+    return per_class.agg(taken.alias("_t")).select(F.explode("_t").alias(key))

@@ -271,19 +271,22 @@ CAPTURE_PARTS = {"rgb": ("rgb.png",), "depth": ("depth.npy",), "intrinsics": ("i
 
 
 def gather_captures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(complete captures, incomplete ones with a reason) from file rows ``path, content``."""
+    """(complete captures, incomplete ones with a reason) from file rows ``path, content``.
+
+    A capture is a folder: ``folder`` is its whole path and tells captures of one name apart, ``capture_id`` its last part.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    capture = F.element_at(F.split("path", "/"), -2)
+    folder = F.regexp_replace("path", "/[^/]*$", "")
     names = [n for options in CAPTURE_PARTS.values() for n in options]
     # Four files per capture, so a group is bounded by one capture's parts.
     parts = (
         files.filter(name.isin(names))
-        .groupBy(capture.alias("capture_id"))
+        .groupBy(folder.alias("folder"))
         .agg(*[F.coalesce(*[F.max(F.when(name == n, F.col("content"))) for n in options]).alias(part) for part, options in CAPTURE_PARTS.items()])
     )
     lacking = F.concat_ws(",", *[F.when(F.col(p).isNull(), F.lit(p)) for p in CAPTURE_PARTS])
-    parts = parts.withColumn("reason", lacking)
-    rejected = parts.filter("reason <> ''").select("capture_id", F.concat(F.lit("missing "), F.col("reason")).alias("reason"))
+    parts = parts.select(F.element_at(F.split("folder", "/"), -1).alias("capture_id"), "*", lacking.alias("reason"))
+    rejected = parts.filter("reason <> ''").select("capture_id", "folder", F.concat(F.lit("missing "), F.col("reason")).alias("reason"))
     return parts.filter("reason = ''").drop("reason"), rejected
 
 

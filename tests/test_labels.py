@@ -26,6 +26,57 @@ def test_promote_is_idempotent(spark):
     assert {r["stem"]: r["content"] for r in over.collect()} == {"b": "2", "c": "3", "d": "9"}
 
 
+def test_raster_runs_from_sql(spark):
+    """The table function gives the rows of ``rasterize``; shapes without an area or a size give none."""
+    rows = [(1, [[1.0, 1.0], [9.5, 2.0], [6.0, 8.0]], 12), (2, [[0.0, 0.0], [30.0, 0.0], [30.0, 30.0], [0.0, 30.0]], 12), (3, [[1.0, 1.0], [2.0, 2.0]], 12), (4, None, 12), (5, [[1.0, 1.0], [5.0, 1.0], [3.0, 4.0]], None)]
+    shapes = spark.createDataFrame(rows, "k int, points array<array<double>>, w int")
+    mk.register_raster_runs(spark)
+    got = spark.sql("SELECT s.k, r.* FROM {s} s, LATERAL raster_runs(s.points, s.w, 10) r", s=shapes).collect()
+    want = mk.rasterize(shapes.filter("k < 4").drop("w"), "points", 12, 10).select("k", "v", "u0", "u1").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["k"] for r in got} == {1, 2}
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 256])
+def test_class_pulls_follow_the_turns(spark, buckets):
+    """Rare classes share their few images, one class is on every image, and repeated labels of an image count once."""
+    rng = np.random.default_rng(12)
+    rows = [(label, int(i), f"im{i}") for k, label in enumerate("fcadbeg") for i in rng.integers(0, 6 + 2 * k, 5)]
+    rows += [("z", i, f"im{i}") for i in range(60)] + [("y", 0, "im0")]
+    seen = spark.createDataFrame(rows, "label string, _i int, stem string")
+    labels = sorted({r[0] for r in rows} - {"g"})
+    missing = spark.createDataFrame([(x, len(labels)) for x in labels], "label string, _k long")
+    taken = []
+    for label in labels:
+        free = sorted({(i, s) for x, i, s in rows if x == label and s not in taken})
+        taken += [free[0][1]] if free else []
+    got = [r["stem"] for r in lb.class_pulls(seen, missing, "stem", buckets).collect()]
+    assert sorted(got) == sorted(taken) and len(set(got)) == len(got)
+    assert lb.class_pulls(seen, missing.limit(0), "stem", buckets).count() == 0
+
+
+def test_split_runs_no_job_a_class(spark):
+    images = spark.createDataFrame([(f"s{i}",) for i in range(60)], "stem string")
+    jobs = []
+    for classes in (2, 40):
+        shapes = spark.createDataFrame([(f"s{i}", f"c{i}") for i in range(classes)] + [("s1", "all")], "stem string, label string")
+        spark.sparkContext.setJobGroup(f"split{classes}", "counted")
+        plan = lb.split_dataset(images, shapes, 0.2, 42)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"split{classes}")))
+        spark.sparkContext.setJobGroup("", "")
+        held = {r["stem"] for r in plan.filter("split = 'val'").collect()}
+        assert {f"s{i}" for i in range(classes)} <= held
+    assert jobs[0] == jobs[1]
+
+
+def test_captures_of_one_folder_name_stay_apart(spark):
+    parts = {"rgb.png": b"r", "depth.npy": b"d", "intrinsics.yaml": b"i", "rgb.json": b"l"}
+    rows = [(f"/pool/{pool}/cap1/{n}", c + pool.encode()) for pool in "ab" for n, c in parts.items() if (pool, n) != ("b", "depth.npy")]
+    rows += [(f"/pool/c/cap1/{n}", c + b"c") for n, c in parts.items()]
+    ok, bad = rd.gather_captures(spark.createDataFrame(rows, "path string, content binary"))
+    assert {(r["capture_id"], r["folder"], bytes(r["depth"])) for r in ok.collect()} == {("cap1", "/pool/a/cap1", b"da"), ("cap1", "/pool/c/cap1", b"dc")}
+    assert [(r["folder"], r["reason"]) for r in bad.collect()] == [("/pool/b/cap1", "missing depth")]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 400])
 def test_split_is_complete_and_covers_classes(spark, n):
     images = spark.range(n).select(F.col("id").cast("string").alias("stem"))
