@@ -338,6 +338,19 @@ def _(spark, d):
     return shape_runs(spark, d).drop("label")
 
 
+@query("X4_raster_table_function", sql([SHAPES, GOOD, RUNS], """SELECT stem, line_no, count(*) AS n_runs, CAST(sum(u1 - u0 + 1) AS BIGINT) AS area, CAST(sum(v * (u0 + u1)) AS BIGINT) AS moment
+  FROM runs GROUP BY 1, 2"""))
+def _(spark, d):
+    mk.register_raster_runs(spark)
+    # The calls are the work, not the bytes: a small file would be one task.
+    spread = good_shapes(spark, d).repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(
+        "SELECT s.stem, s.line_no, count(*) AS n_runs, sum(r.u1 - r.u0 + 1) AS area, sum(r.v * (r.u0 + r.u1)) AS moment"
+        " FROM {shapes} s, LATERAL raster_runs(s.points, {width}, {height}) r GROUP BY s.stem, s.line_no",
+        shapes=spread, width=WIDTH, height=HEIGHT,
+    )
+
+
 @query("X4_raster_runs_per_image", sql([SHAPES, GOOD, RUNS], "SELECT stem, count(*) AS n_runs, CAST(sum(u1 - u0 + 1) AS BIGINT) AS area FROM runs GROUP BY 1"))
 def _(spark, d):
     return shape_runs(spark, d).groupBy("stem").agg(F.count("*").alias("n_runs"), F.sum(F.col("u1") - F.col("u0") + 1).alias("area"))

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rigtable.scale import components, ordered_fold
@@ -54,6 +54,25 @@ def rasterize(
     return flat.mapInArrow(run, schema)
 
 
+class RasterRuns:
+    """Table function behind ``raster_runs``: the runs of one polygon; no rows for null or fewer than three points, or no size."""
+
+    def eval(self, points, width, height):
+        if points is None or len(points) < 3 or width is None or height is None:
+            return
+        xs, ys = ([[float(p[axis]) for p in points]] for axis in (0, 1))
+        _, v, u0, u1 = scan_lines(pa.array(xs), pa.array(ys), pa.array([width], pa.int32()), pa.array([height], pa.int32()))
+        yield from zip(v.tolist(), u0.tolist(), u1.tolist(), strict=True)
+
+
+def register_raster_runs(spark: SparkSession, name: str = "raster_runs") -> None:
+    """Makes ``rasterize`` callable from SQL: ``FROM shapes s, LATERAL raster_runs(s.points, s.width, s.height) r``.
+
+    Each polygon is one call with a scan line's memory; ``rasterize`` is the faster form for whole tables.
+    """
+    spark.udtf.register(name, F.udtf(RasterRuns, returnType="v INT, u0 INT, u1 INT"))
+
+
 def scan_lines(xs: pa.Array, ys: pa.Array, width: pa.Array, height: pa.Array) -> tuple[np.ndarray, ...]:
     """Runs of a batch of polygons as (polygon number, v, u0, u1)."""
     size = pc.list_value_length(xs).to_numpy(zero_copy_only=False).astype(int)
