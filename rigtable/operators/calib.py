@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigtable.functions import vec
+from rigtable.scale import with_stats
+from rigtable.session import settle
 
 # Fixed value: accepted spread of a fixed object in the base frame.
 GOOD_SPREAD_MM = 7.0
@@ -56,67 +58,80 @@ def calibration_spread(samples: DataFrame, candidates: DataFrame, session: str =
     return scored.join(best, session).withColumn("best", F.col(candidate) == F.col(f"_b.{candidate}")).drop("_b")
 
 
-def cube_directions(m: int) -> np.ndarray:
-    """Unit vectors through an m x m grid on three faces of a cube (opposites left out)."""
-    grid = (np.arange(m) + 0.5) * 2 / m - 1
-    a, b = (g.ravel() for g in np.meshgrid(grid, grid))
-    one = np.ones_like(a)
-    dirs = np.concatenate([np.stack(f, axis=1) for f in ((one, a, b), (a, one, b), (a, b, one))])
-    return dirs / np.linalg.norm(dirs, axis=1, keepdims=True)
+# Pairs of cap points that are measured rather than refined any further, beside those per point.
+CAP_PAIRS = 4_000_000
 
 
-def max_pairwise(df: DataFrame, keys: Sequence[str], xyz: Sequence[str], m: int = 3) -> DataFrame:
+def cube_cell(k: Column, i: Column, j: Column, m: int) -> tuple[vec.Vec, Column]:
+    """Unit vector through the middle of cell (i, j) of an m x m grid on cube face k, and the cosine to its farthest corner."""
+    half = 1.0 / m
+    a, b = ((2 * c + 1) * half - 1.0 for c in (i, j))
+    size = F.sqrt(1.0 + a * a + b * b)
+    corners = [(a + s * half, b + t * half) for s in (-1, 1) for t in (-1, 1)]
+    near = F.least(*[(1.0 + a * c + b * d) / (size * F.sqrt(1.0 + c * c + d * d)) for c, d in corners])
+    one = F.lit(1.0)
+    turned = [F.when(k == 0, p).when(k == 1, q).otherwise(r) for p, q, r in ((one, a, a), (a, one, b), (b, b, one))]
+    return tuple(c / size for c in turned), near
+
+
+def max_pairwise(df: DataFrame, keys: Sequence[str], xyz: Sequence[str], m: int = 3, max_levels: int = 8, cap_pairs: int = CAP_PAIRS) -> DataFrame:
     """Largest distance between two points of a group, exact, without forming all pairs.
 
-    Every direction is within sqrt(2)/m of a grid direction, so the two ends of a widest
-    pair lie in the outermost caps along one of them: with L the largest extent found and
-    w the extent along that direction, both are within w - L cos(sqrt(2)/m) of its ends.
-    Only the distinct points of opposite caps meet.
+    The directions of space (opposites are one) are cells of a grid on three cube faces.
+    A widest pair points into one of them; with c the cosine of the cell's half-angle, L the
+    largest extent found so far and w the extent along the cell's middle, both its ends lie
+    within w - L c of the ends of that extent: its caps.  Caps are kept as rows (point,
+    cell), reduced by map-side extremes per cell, and cells are halved with only their caps
+    going on, until opposite caps form no more than ``cap_pairs`` pairs and a few per point.
+    Then opposite caps meet.  A round costs one job and sends its counts to the driver; caps
+    lie in the shared folder.  On a sphere, the worst case, a point stays in a few cells.
     """
-    keys, (cx, cy, cz) = list(keys), list(xyz)
-    dirs = cube_directions(m)
-    pts = df.groupBy(*keys, cx, cy, cz).agg(F.count("*").alias("_w"))
-    # SQL text keeps the many directions cheap to build.
-    along = [f"({cx} * {float(a)!r}D + {cy} * {float(b)!r}D + {cz} * {float(c)!r}D)" for a, b, c in dirs]
-    spans = F.expr(
-        "array(" + ", ".join(f"named_struct('k', {k}, 'lo', min({p}), 'hi', max({p}))" for k, p in enumerate(along)) + ")"
-    )
-    ends = pts.groupBy(*keys).agg(F.sum("_w").alias("n"), spans.alias("_s"))
-    widest = F.array_max(F.transform("_s", lambda s: s["hi"] - s["lo"]))
-    near = float(np.cos(np.sqrt(2) / m))
-    bound = ends.withColumn("_L", widest * near * (1 - 1e-12))
-    proj = F.expr("array(" + ", ".join(along) + ")")
-    caps = (
-        pts.join(bound, keys)
-        .withColumn("_p", proj)
-        .withColumn(
-            "_c",
-            F.explode(
-                F.filter(
-                    F.transform(
-                        "_s",
-                        lambda s: F.struct(
-                            s["k"].alias("k"),
-                            (F.get("_p", s["k"]) >= s["lo"] + F.col("_L")).alias("top"),
-                            (F.get("_p", s["k"]) <= s["hi"] - F.col("_L")).alias("low"),
-                        ),
-                    ),
-                    lambda c: c["top"] | c["low"],
-                )
-            ),
+    keys, axes = list(keys), ["_x0", "_x1", "_x2"]
+    key_names = [f"_k{i}" for i in range(len(keys))]
+    pts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, key_names)], *[F.col(c).cast("double").alias(a) for c, a in zip(xyz, axes)]).agg(F.count("*").alias("_w"))
+    sizes = pts.groupBy(*key_names).agg(F.sum("_w").alias("n"))
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k in range(3) for i in range(m) for j in range(m)])
+    cell = ["_c.k", "_c.i", "_c.j"]
+
+    def caps(rows: DataFrame, m: int, floor: DataFrame | None) -> DataFrame:
+        """Rows in the caps of their cells, with their group's largest extent so far (``_L``)."""
+        middle, near = cube_cell(*[F.col(c) for c in cell], m)
+        rows = rows.withColumns({"_p": vec.dot(tuple(F.col(a) for a in axes), middle), "_near": near})
+        spans = rows.groupBy(*key_names, "_c").agg(
+            F.min(F.when(F.col("_low"), F.col("_p"))).alias("_lo"), F.max(F.when(F.col("_top"), F.col("_p"))).alias("_hi")
         )
-        .select(*keys, F.col("_c.k").alias("_k"), F.col("_c.top").alias("_top"), F.col("_c.low").alias("_low"), *xyz)
-    )
-    side = lambda flag, tag: caps.filter(flag).select(*keys, "_k", *[F.col(c).alias(f"_{tag}{i}") for i, c in enumerate(xyz)])
-    wide = (
-        side("_top", "a")
-        .join(side("_low", "b"), keys + ["_k"])
-        .groupBy(*keys)
-        .agg(F.max(vec.distance(tuple(F.col(f"_a{i}") for i in range(3)), tuple(F.col(f"_b{i}") for i in range(3)))).alias("_d"))
-    )
-    return bound.select(*keys, "n").join(wide, keys, "left").select(
-        *keys, "n", F.coalesce("_d", F.lit(0.0)).alias("max_pair")
-    )
+        extent = spans.groupBy(*key_names).agg(F.max(F.col("_hi") - F.col("_lo")).alias("_L"))
+        if floor is not None:
+            extent = extent.unionByName(floor).groupBy(*key_names).agg(F.max("_L").alias("_L"))
+        ends = with_stats(spans, extent, key_names)
+        reach = F.col("_L") * F.col("_near") * (1 - 1e-12)
+        kept = with_stats(rows, ends, key_names + ["_c"]).withColumns(
+            {"_top": F.col("_top") & (F.col("_p") >= F.col("_lo") + reach), "_low": F.col("_low") & (F.col("_p") <= F.col("_hi") - reach)}
+        )
+        return settle(kept.filter(F.col("_top") | F.col("_low")).select(*key_names, *axes, "_c", "_top", "_low", "_L"))
+
+    rows = pts.select(*key_names, *axes, F.lit(True).alias("_top"), F.lit(True).alias("_low"), F.explode(grid).alias("_c"))
+    rows = caps(rows, m, None)
+    for _ in range(max_levels):
+        met = rows.groupBy(*key_names, "_c").agg(F.count_if("_top").alias("_a"), F.count_if("_low").alias("_b"), F.count("*").alias("_r"))
+        count = met.agg(F.sum(F.col("_a").cast("double") * F.col("_b")), F.sum("_r")).first()
+        if not count[1] or count[0] <= cap_pairs + 16.0 * count[1]:
+            break
+        m *= 2
+        halves = F.array(*[
+            F.struct(F.col("_c.k").alias("k"), (2 * F.col("_c.i") + a).alias("i"), (2 * F.col("_c.j") + b).alias("j")) for a in (0, 1) for b in (0, 1)
+        ])
+        floor = rows.groupBy(*key_names).agg(F.max("_L").alias("_L"))
+        rows = caps(rows.drop("_L").withColumn("_c", F.explode(halves)), m, floor)
+    side = lambda flag, tag: rows.filter(flag).select(*[F.col(n).alias(f"{tag}{n}") for n in key_names], F.col("_c").alias(f"{tag}_c"), *[F.col(a).alias(f"{tag}{a}") for a in axes])
+    top, low = side("_top", "a"), side("_low", "b")
+    same = top["a_c"] == low["b_c"]
+    for n in key_names:
+        same = same & top[f"a{n}"].eqNullSafe(low[f"b{n}"])
+    gap = vec.distance(tuple(F.col(f"a{a}") for a in axes), tuple(F.col(f"b{a}") for a in axes))
+    wide = top.join(low, same).groupBy(*[F.col(f"a{n}").alias(n) for n in key_names]).agg(F.max(gap).alias("_d"))
+    met = sizes.join(wide.withColumnsRenamed({n: f"r{n}" for n in key_names}), [F.col(n).eqNullSafe(F.col(f"r{n}")) for n in key_names], "left")
+    return met.select(*[F.col(n).alias(k) for n, k in zip(key_names, keys)], "n", F.coalesce("_d", F.lit(0.0)).alias("max_pair"))
 
 
 def base_consistency(samples: DataFrame, keys: Sequence[str], xyz: Sequence[str] = ("x", "y", "z")) -> DataFrame:

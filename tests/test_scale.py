@@ -151,6 +151,31 @@ def test_max_pairwise(spark, shape):
     assert got["n"] == len(pts) and abs(got["max_pair"] - want) < 1e-9
 
 
+def test_max_pairwise_refines_to_the_same_pairs(spark):
+    """Cells halved as far as they go lose no widest pair; null keys are a group."""
+    rng = np.random.default_rng(4)
+    ball = rng.normal(0, 1, (500, 3))
+    ball /= np.linalg.norm(ball, axis=1, keepdims=True)
+    groups = {"ball": ball, "flat": rng.random((300, 3)) * [1, 1, 0], None: rng.random((50, 3))}
+    rows = [(k, *map(float, p)) for k, ps in groups.items() for p in ps]
+    got = calib.max_pairwise(spark.createDataFrame(rows, "k string, x double, y double, z double"), ["k"], ["x", "y", "z"], max_levels=3, cap_pairs=-10**9)
+    got = {r["k"]: r["max_pair"] for r in got.collect()}
+    for k, ps in groups.items():
+        assert abs(got[k] - np.sqrt(((ps[:, None] - ps[None]) ** 2).sum(-1)).max()) < 1e-12, k
+
+
+def test_max_pairwise_of_a_sphere_forms_few_pairs(spark):
+    """200,000 points on a sphere, the worst case, with one pair exactly opposite."""
+    n = 200_000
+    pts = spark.range(n).select(F.lit(1).alias("k"), *[F.randn(seed).alias(a) for seed, a in enumerate("xyz")])
+    size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    pts = pts.select("k", *[(F.col(a) / size * 0.999).alias(a) for a in "xyz"])
+    pair = spark.createDataFrame([(1, 0.48, 0.6, 0.64), (1, -0.48, -0.6, -0.64)], "k int, x double, y double, z double")
+    got = calib.max_pairwise(pts.unionByName(pair), ["k"], ["x", "y", "z"])
+    row = got.first()
+    assert row["n"] == n + 2 and abs(row["max_pair"] - 2.0) < 1e-12
+
+
 def test_cap_even_is_linspace(spark):
     for n, m in ((10, 4), (100, 7), (5, 9), (33, 1), (50, 49)):
         df = spark.range(n).withColumn("k", F.lit(0))
