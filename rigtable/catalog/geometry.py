@@ -238,11 +238,39 @@ def _(spark, d):
     return s.select("cloud_id", *[r(c).alias(c) for c in ("cx", "cy", "cz", "extent", "eye_z")])
 
 
-@query("A24_table_normal")
+# Trial planes, their inliers and the least eigenvector in closed form.
+PLANE = """pts AS (SELECT class_id AS f, capture_id, v, u, x, y, z FROM lifted),
+drawn AS (SELECT f, x, y, z, row_number() OVER (PARTITION BY f ORDER BY md5(concat_ws(',', 7, capture_id, v, u)), capture_id, v, u) - 1 AS i FROM pts QUALIFY i < 360),
+sized AS (SELECT f, count(*) AS m FROM drawn GROUP BY f),
+turns AS (SELECT f, m, unnest(range(120)) AS t FROM sized),
+picks AS (SELECT f, t, 3 * t % m AS a, (3 * t + 1 + 3 * t // m) % m AS b, (3 * t + 2 * (1 + 3 * t // m)) % m AS c FROM turns),
+corners AS (SELECT f, t, p.x AS px, p.y AS py, p.z AS pz, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, s.x - p.x AS bx, s.y - p.y AS by_, s.z - p.z AS bz
+  FROM picks JOIN drawn p USING (f) JOIN drawn q USING (f) JOIN drawn s USING (f) WHERE p.i = a AND q.i = b AND s.i = c),
+crossed AS (SELECT f, t, px, py, pz, ay * bz - az * by_ AS cx, az * bx - ax * bz AS cy, ax * by_ - ay * bx AS cz FROM corners),
+scaled AS (SELECT f, t, px, py, pz, cx / s AS nx, cy / s AS ny, cz / s AS nz FROM (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS s FROM crossed) WHERE s > 1e-12),
+planes AS (SELECT f, t, nx, ny, nz, -(nx * px + ny * py + nz * pz) AS d FROM scaled),
+counts AS (SELECT f, t, count(*) FILTER (abs(x * nx + y * ny + z * nz + d) < 5e-2) AS inliers FROM pts JOIN planes USING (f) GROUP BY f, t),
+best AS (SELECT * FROM counts JOIN planes USING (f, t) QUALIFY row_number() OVER (PARTITION BY f ORDER BY inliers DESC, t) = 1),
+cov AS (SELECT f, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, covar_pop(y, y) AS d2, covar_pop(y, z) AS e, covar_pop(z, z) AS g
+  FROM pts JOIN best USING (f) WHERE abs(x * nx + y * ny + z * nz + d) < 5e-2 GROUP BY f),
+mid AS (SELECT *, (a + d2 + g) / 3 AS q FROM cov),
+wide AS (SELECT *, sqrt((pow(a - q, 2) + pow(d2 - q, 2) + pow(g - q, 2) + 2 * (b * b + c * c + e * e)) / 6) AS p FROM mid),
+least AS (SELECT *, q + 2 * p * cos(acos(greatest(-1e0, least(1e0, ((a - q) * ((d2 - q) * (g - q) - e * e) - b * (b * (g - q) - e * c) + c * (b * e - (d2 - q) * c))
+  / (2 * p * p * p)))) / 3 + 2 * pi() / 3) AS w FROM wide),
+ways AS (SELECT f, unnest([{'x': b * e - c * (d2 - w), 'y': c * b - (a - w) * e, 'z': (a - w) * (d2 - w) - b * b},
+  {'x': b * (g - w) - c * e, 'y': c * c - (a - w) * (g - w), 'z': (a - w) * e - b * c},
+  {'x': (d2 - w) * (g - w) - e * e, 'y': e * c - b * (g - w), 'z': b * e - (d2 - w) * c}]) AS r FROM least),
+way AS (SELECT f, r.x AS x, r.y AS y, r.z AS z, sqrt(r.x * r.x + r.y * r.y + r.z * r.z) * (CASE WHEN r.y > 0 THEN -1 ELSE 1 END) AS s FROM ways
+  QUALIFY row_number() OVER (PARTITION BY f ORDER BY r.x * r.x + r.y * r.y + r.z * r.z DESC) = 1),
+frames AS (SELECT f, count(*) AS n FROM pts GROUP BY f)"""
+
+
+@query("A24_table_normal", sql([PIXELS, LIFTED, PLANE], f"""SELECT f AS frame_id, CASE WHEN n < 128 THEN 0e0 ELSE {rs('x / s', 4)} END AS nx, CASE WHEN n < 128 THEN -1e0 ELSE {rs('y / s', 4)} END AS ny,
+  CASE WHEN n < 128 THEN 0e0 ELSE {rs('z / s', 4)} END AS nz, CASE WHEN n < 128 THEN 0 ELSE inliers END AS inliers FROM frames JOIN best USING (f) JOIN way USING (f)"""))
 def _(spark, d):
-    pts = lifted(spark, d)
-    frames = pts.withColumn("frame_id", F.col("class_id"))
-    fit = g.table_normal(frames, ["frame_id"], seed=7, distance=0.05, order=("capture_id", "v", "u"))
+    frames = lifted(spark, d).withColumn("frame_id", F.col("class_id"))
+    drawn = F.md5(F.concat_ws(",", F.lit("7"), "capture_id", "v", "u"))
+    fit = g.table_normal(frames, ["frame_id"], distance=0.05, order=("capture_id", "v", "u"), draw=drawn)
     return fit.select("frame_id", r("nx", 4).alias("nx"), r("ny", 4).alias("ny"), r("nz", 4).alias("nz"), "inliers")
 
 

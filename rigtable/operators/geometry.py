@@ -418,17 +418,20 @@ def table_normal(
     tries: int = 120,
     min_points: int = 128,
     order: Sequence[str] = ("v", "u"),
+    draw: Column | None = None,
 ) -> DataFrame:
     """Normal of the plane with most inliers per frame, facing the default normal.
 
-    A trial plane goes through three of the points that a seeded hash puts first.  All
-    points of a frame are counted for each trial, map-side combined; the best trial (of
-    equals the first) is refined to the direction of least spread of its inliers, from
-    their covariances.  Frames of fewer than ``min_points`` keep the default normal.
+    A trial plane goes through three of the points that a seeded hash puts first (or the
+    expression ``draw`` over ``order``).  One aggregate counts each point for all trials in
+    place, map-side combined; the best trial (of equals the first) is refined to the direction
+    of least spread of its inliers, from their covariances, in a second pass.  Frames of
+    fewer than ``min_points`` keep the default normal.
     """
     keys = list(keys)
     pts = points.select(*keys, *order, *[F.col(a).cast("double").alias(a) for a in "xyz"])
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*order, F.lit(seed)), *order))
+    first = F.xxhash64(*order, F.lit(seed)) if draw is None else draw
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(first, *order))
     drawn = pts.withColumn("_i", place).filter(F.col("_i") <= 3 * tries)
     drawn = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "x", "y", "z"))).alias("_p"))  # at most 3 * tries
     m = F.size("_p")
@@ -443,36 +446,43 @@ def table_normal(
         normal = vec.cross(vec.sub(corner(t, 1), first), vec.sub(corner(t, 2), first))
         size = F.sqrt(vec.dot(normal, normal))
         unit = tuple(c / size for c in normal)
-        return F.when(size > 1e-12, F.struct(t.alias("t"), *[c.alias(n) for c, n in zip(unit, ("nx", "ny", "nz"))], (-vec.dot(unit, first)).alias("d")))
-
-    trials = drawn.filter(m >= 3).withColumn("_w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), plane))).filter(F.col("_w").isNotNull())
-    listed = trials.groupBy(*keys).agg(F.collect_list("_w").alias("_ws"))
-    off = lambda w: F.abs(vec.dot(tuple(F.col(a) for a in "xyz"), (w["nx"], w["ny"], w["nz"])) + w["d"])
-    met = with_stats(pts, listed, keys).withColumn("_w", F.explode("_ws"))
-    counted = met.groupBy(*keys, "_w").agg(F.count_if(off(F.col("_w")) < distance).alias("inliers"))
-    best = counted.groupBy(*keys).agg(F.max_by(F.struct("_w", "inliers"), F.struct("inliers", -F.col("_w.t"))).alias("_b"))
-    best = best.select(*keys, "_b.*")
+        return F.array(*[F.when(size > 1e-12, c) for c in (*unit, -vec.dot(unit, first))])
+
+    trials = drawn.select(*keys, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), plane)).alias("_ws"))
+
+    def near(ws: str, t: int) -> str:
+        # SQL text keeps the many counters cheap to build; a trial without a plane is null and counts nothing.
+        nx, ny, nz, d = (f"get({ws}, {4 * t + i})" for i in range(4))
+        return f"abs(x * {nx} + y * {ny} + z * {nz} + {d}) < {float(distance)!r}D"
+
+    tally = F.expr(f"array({', '.join(f'count_if({near("_ws", t)})' for t in range(tries))})")
+    counted = with_stats(pts, trials, keys).groupBy(*keys).agg(F.count("*").alias("_n"), tally.alias("_c"))
+    won = counted.select(*keys, "_n", F.array_max("_c").alias("inliers"), (4 * F.array_position("_c", F.array_max("_c")) - 3).cast("int").alias("_t"))
+    best = with_stats(won, trials, keys).select(*keys, "_n", "inliers", F.slice("_ws", F.col("_t"), 4).alias("_w"))
+    inlier = lambda c: F.when(F.expr(near("_w", 0)), F.col(c))
     pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    spread = with_stats(pts, best, keys).filter(off(F.col("_w")) < distance).groupBy(*keys).agg(
-        F.first("inliers").alias("inliers"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("_c")
+    spread = with_stats(pts, best, keys).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("inliers").alias("inliers"), F.array(*[F.covar_pop(inlier(a), inlier(b)) for a, b in pairs]).alias("_c")
     )
 
     @F.pandas_udf("array<double>")
     def least_spread(c: pd.Series) -> pd.Series:
         out = []
-        for xx, xy, xz, yy, yz, zz in c:
+        for cov in c:
+            if cov is None:
+                out.append(None)
+                continue
+            xx, xy, xz, yy, yz, zz = cov
             normal = np.linalg.eigh(np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]))[1][:, 0]
             out.append(normal if normal @ np.array(UNIT_NORMAL) >= 0 else -normal)
         return pd.Series(out, dtype=object)
 
-    fitted = spread.select(*keys, "inliers", least_spread("_c").alias("_u"))
-    sizes = pts.groupBy(*keys).agg(F.count("*").alias("_n"))
-    joined = sizes.join(fitted, [sizes[k].eqNullSafe(fitted[k]) for k in keys], "left")
-    enough = (F.col("_n") >= min_points) & F.col("_u").isNotNull()
-    return joined.select(
-        *[sizes[k] for k in keys], *[F.when(enough, F.col("_u")[i]).otherwise(float(UNIT_NORMAL[i])).alias(n) for i, n in enumerate(("nx", "ny", "nz"))],
+    enough = (F.col("_n") >= min_points) & (F.col("inliers") > 0)
+    fitted = spread.withColumn("_u", least_spread(F.when(enough, F.col("_c"))))
+    return fitted.select(
+        *keys, *[F.coalesce(F.col("_u")[i], F.lit(float(UNIT_NORMAL[i]))).alias(n) for i, n in enumerate(("nx", "ny", "nz"))],
         F.when(enough, F.col("inliers")).otherwise(0).alias("inliers"),
-    )
+    )
 
 
 # --- display text ----------------------------------------------------------------
