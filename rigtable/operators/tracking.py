@@ -382,17 +382,53 @@ SAMPLE = {
 }
 
 
+def apart(df: DataFrame, keys: Sequence[str], xyz: Sequence[Column], gate: float, out: str = "_region", rounds: int = 2) -> DataFrame:
+    """Rows with the number of their region: along some axis, regions of a key lie more than ``gate`` apart.
+
+    A track's centre is a median per axis, so it stays between its detections on every
+    axis and never comes within the gate of another region: regions can be tracked alone.
+    Rows are reduced map-side to occupied cells of gate size; x, y and z are cut in turn at
+    empty slabs, by windows over one key's occupied cells, whose number follows from
+    the space in view and not from the length of a session.  Places that are not finite
+    are within the gate of nothing; they share region 0.
+    """
+    keys = list(keys)
+    # A margin for rounding: a distance just over the gate may be computed as the gate itself.
+    wide = gate * (1 + 1e-9)
+    finite = F.lit(True)
+    for c in xyz:
+        finite = finite & (F.abs(c) < 1e12)
+    cells = [f"_q{i}" for i in range(3)]
+    placed = df.withColumns({q: F.when(finite, F.floor(c / gate)) for q, c in zip(cells, xyz)})
+    ends = [f(c).alias(f"_{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))]
+    found = placed.filter(finite).groupBy(*keys, *cells).agg(*ends).repartition(*keys).withColumn(out, F.lit(1).cast("long"))  # one exchange serves all windows
+    for i in [*range(3)] * rounds:
+        along = Window.partitionBy(*keys, out).orderBy(f"_q{i}")
+        slab = Window.partitionBy(*keys, out, f"_q{i}")
+        empty = F.min(f"_lo{i}").over(slab) - F.max(f"_hi{i}").over(along.rangeBetween(Window.unboundedPreceding, -1))
+        found = found.withColumn("_cut", F.when(empty > wide, F.col(f"_q{i}")))
+        found = found.withColumn("_cut", F.max("_cut").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        found = found.withColumn(out, F.dense_rank().over(Window.partitionBy(*keys).orderBy(out, "_cut")).cast("long")).drop("_cut")
+    found = found.select(*[F.col(k).alias(f"_r{j}") for j, k in enumerate(keys + cells)], out)
+    same = F.lit(True)
+    for j, k in enumerate(keys + cells):
+        same = same & (placed[k].eqNullSafe(found[f"_r{j}"]) if k in keys else placed[k] == found[f"_r{j}"])
+    return placed.join(found, same, "left").drop(*cells, *[f"_r{j}" for j in range(len(keys) + 3)]).withColumn(out, F.coalesce(out, F.lit(0)))
+
+
 def track(dets: DataFrame, cfg: TrackerConfig = TrackerConfig(), session: str = "session_id", frame_block: int = 10_000) -> DataFrame:
     """Greedy tracking over a stored detection table (``det_idx`` is the input order of a frame).
 
-    Classes never compete, and no track survives ``max_misses`` empty frames, so each
-    (session, class) is cut at such gaps and the pieces run in parallel.  Inside a piece
-    the recurrence needs only the live tracks.  Track ids count creations per session.
+    Classes never compete, nor do regions of space farther apart than the gate (``apart``),
+    and no track survives ``max_misses`` empty frames, so each (session, class, region) is
+    cut at such gaps and the pieces run in parallel.  Inside a piece the recurrence needs
+    only the live tracks.  Track ids count creations per session.
     """
     located = dets.filter(F.col("center").isNotNull())
     order = [F.col("frame_index"), F.col("det_idx")]
     block = F.floor(F.col("frame_index") / frame_block)
-    key = [session, "class_name"]
+    located = apart(located, [session, "class_name"], [F.col("center")[a].cast("double") for a in "xyz"], cfg.assoc_max_dist_m)
+    key = [session, "class_name", "_region"]
     gap = running(located, key, block, order, {"_prev": ("last", F.col("frame_index"))}, exclusive=True)
     fresh = F.col("_prev").isNull() | (F.col("frame_index") - F.col("_prev") - 1 > cfg.max_misses)
     pieces = running(gap.withColumn("_new", fresh.cast("int")), key, block, order, {"_piece": ("sum", F.col("_new"))}).drop("_prev", "_new")
@@ -408,7 +444,7 @@ def track(dets: DataFrame, cfg: TrackerConfig = TrackerConfig(), session: str =
     ).select(*key, "_piece", "track_no", (F.col("_no") - 1).alias("track_id"))
     return (
         nest_report(tracked).join(ids, key + ["_piece", "track_no"])
-        .drop("_piece", "track_no")
+        .drop("_piece", "_region", "track_no")
         .withColumn("yaw_filtered_rad", F.radians("yaw_filtered_deg"))
     )
 

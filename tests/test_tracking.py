@@ -86,7 +86,7 @@ def simulate(rows: list[tuple], cfg: tk.TrackerConfig) -> dict:
 
 def result(df) -> dict:
     return {
-        (r["session_id"], r["frame_index"], r["det_idx"]): (r["track_id"], r["hits"], round(r["position_std_m"], 9), round(r["confidence_mean"], 9), r["stable"])
+        (r["session_id"], r["frame_index"], r["det_idx"]): (r["track_id"], r["hits"], round(r["position_std_m"] or 0.0, 9), round(r["confidence_mean"], 9), r["stable"])
         for r in df.collect()
     }
 
@@ -105,6 +105,41 @@ def test_batch_tracker_follows_the_rules(spark):
         assert got == want
 
 
+def test_regions_apart_are_tracked_alone(spark):
+    """One unbroken session of one class: many objects drift, most farther apart than the gate; ids as in the plain rules."""
+    cfg = tk.TrackerConfig()
+    rng = np.random.default_rng(5)
+    homes = np.array([[0.0, 0.0, 0.3], [0.03, 0.0, 0.3], [0.0, 0.3, 0.3], [0.3, 0.0, 0.3], [0.3, 0.3, 0.9], [0.31, 0.33, 0.9], [0.3, 0.3, 0.3]])
+    rows = []
+    for frame in range(50):
+        seen = [h for h in homes + 0.0004 * frame if rng.random() < 0.85]
+        for i, h in enumerate(seen):
+            center = tuple(map(float, h + rng.normal(0, 0.008, 3)))
+            rows.append(("s", frame, i, "cork", float(0.75 + 0.2 * rng.random()), center, (0.02, 0.02, 0.01), float(rng.normal(10, 3)), 100, True, True))
+    odd = [(float("nan"), 0.0, 0.3), (float("inf"), 0.0, 0.3), (float("inf"), 0.0, 0.3)]
+    rows += [("s", 20 + n, 50, "cork", 0.9, c, (0.02, 0.02, 0.01), 10.0, 100, True, True) for n, c in enumerate(odd)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    regions = tk.apart(df, ["session_id", "class_name"], [F.col("center")[a] for a in "xyz"], cfg.assoc_max_dist_m)
+    of = {(r["frame_index"], r["det_idx"]): r["_region"] for r in regions.collect()}
+    places = {(r[1], r[2]): np.array(r[5]) for r in rows}
+    assert len(of) == len(rows) and len(set(of.values())) == 6
+    finite = [k for k in of if np.isfinite(places[k]).all()]
+    for n in set(of[k] for k in finite):
+        ours = np.array([places[k] for k in finite if of[k] == n])
+        rest = np.array([places[k] for k in finite if of[k] != n])
+        assert np.linalg.norm(ours[:, None] - rest[None], axis=2).min() > cfg.assoc_max_dist_m
+    got = result(tk.track(df, cfg, frame_block=7))
+    book, want = tk.TrackBook(cfg), {}
+    for frame in range(50):
+        mine = sorted((r for r in rows if r[1] == frame), key=lambda r: r[2])
+        if mine:
+            out = book.frame(frame, [(*r[5], *r[6], r[7], r[4], r[10]) for r in mine], [r[9] for r in mine])
+            want |= {(r[0], frame, r[2]): o[:2] for r, o in zip(mine, out)}
+    assert {k: v[:2] for k, v in got.items()} == want
+    plain = simulate([r for r in rows if np.isfinite(r[5]).all()], cfg)
+    assert {k: got[k][1:] for k in plain} == {k: v[1:] for k, v in plain.items()}
+
+
 def test_stream_equals_batch_for_any_cut(spark, tmp_path):
     rows = scene(4)
     df = spark.createDataFrame(rows, SCHEMA)
