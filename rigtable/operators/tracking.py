@@ -382,7 +382,7 @@ SAMPLE = {
 }
 
 
-def apart(df: DataFrame, keys: Sequence[str], xyz: Sequence[Column], gate: float, out: str = "_region", rounds: int = 2) -> DataFrame:
+def apart(df: DataFrame, keys: Sequence[str], xyz: Sequence[Column], gate: float, out: str = "_region") -> DataFrame:
     """Rows with the number of their region: along some axis, regions of a key lie more than ``gate`` apart.
 
     A track's centre is a median per axis, so it stays between its detections on every
@@ -401,14 +401,17 @@ def apart(df: DataFrame, keys: Sequence[str], xyz: Sequence[Column], gate: float
     cells = [f"_q{i}" for i in range(3)]
     placed = df.withColumns({q: F.when(finite, F.floor(c / gate)) for q, c in zip(cells, xyz)})
     ends = [f(c).alias(f"_{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))]
-    found = placed.filter(finite).groupBy(*keys, *cells).agg(*ends).repartition(*keys).withColumn(out, F.lit(1).cast("long"))  # one exchange serves all windows
-    for i in [*range(3)] * rounds:
-        along = Window.partitionBy(*keys, out).orderBy(f"_q{i}")
-        slab = Window.partitionBy(*keys, out, f"_q{i}")
+    # One exchange by key serves all windows.
+    found = placed.filter(finite).groupBy(*keys, *cells).agg(*ends).repartition(*keys)
+    cuts = []
+    for i in range(3):
+        slab = Window.partitionBy(*keys, *cuts, f"_q{i}")
+        along = Window.partitionBy(*keys, *cuts).orderBy(f"_q{i}")
         empty = F.min(f"_lo{i}").over(slab) - F.max(f"_hi{i}").over(along.rangeBetween(Window.unboundedPreceding, -1))
         found = found.withColumn("_cut", F.when(empty > wide, F.col(f"_q{i}")))
-        found = found.withColumn("_cut", F.max("_cut").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-        found = found.withColumn(out, F.dense_rank().over(Window.partitionBy(*keys).orderBy(out, "_cut")).cast("long")).drop("_cut")
+        found = found.withColumn(f"_cut{i}", F.max("_cut").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_cut")
+        cuts.append(f"_cut{i}")
+    found = found.withColumn(out, F.dense_rank().over(Window.partitionBy(*keys).orderBy(*cuts)).cast("long"))
     found = found.select(*[F.col(k).alias(f"_r{j}") for j, k in enumerate(keys + cells)], out)
     same = F.lit(True)
     for j, k in enumerate(keys + cells):
