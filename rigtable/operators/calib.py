@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rigtable.functions import vec
 from rigtable.scale import with_stats
-from rigtable.session import settle
+from rigtable.session import staged
 
 # Fixed value: accepted spread of a fixed object in the base frame.
 GOOD_SPREAD_MM = 7.0
@@ -80,20 +80,19 @@ def max_pairwise(df: DataFrame, keys: Sequence[str], xyz: Sequence[str], m: int
     The directions of space (opposites are one) are cells of a grid on three cube faces.
     A widest pair points into one of them; with c the cosine of the cell's half-angle, L the
     largest extent found so far and w the extent along the cell's middle, both its ends lie
-    within w - L c of the ends of that extent: its caps.  Caps are kept as rows (point,
-    cell), reduced by map-side extremes per cell, and cells are halved with only their caps
+    within w - L c of the ends of that extent: its caps.  The extents along the first cells are
+    one row a group, and only points in a cap become rows (point, cell); cells are halved with only their caps
     going on, until opposite caps form no more than ``cap_pairs`` pairs and a few per point.
     Then opposite caps meet.  A round costs one job and sends its counts to the driver; caps
     lie in the shared folder.  On a sphere, the worst case, a point stays in a few cells.
     """
     keys, axes = list(keys), ["_x0", "_x1", "_x2"]
     key_names = [f"_k{i}" for i in range(len(keys))]
-    pts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, key_names)], *[F.col(c).cast("double").alias(a) for c, a in zip(xyz, axes)]).agg(F.count("*").alias("_w"))
-    sizes = pts.groupBy(*key_names).agg(F.sum("_w").alias("n"))
-    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k in range(3) for i in range(m) for j in range(m)])
+    pts = df.select(*[F.col(k).alias(n) for k, n in zip(keys, key_names)], *[F.col(c).cast("double").alias(a) for c, a in zip(xyz, axes)])
+    grid = [(k, i, j) for k in range(3) for i in range(m) for j in range(m)]
     cell = ["_c.k", "_c.i", "_c.j"]
 
-    def caps(rows: DataFrame, m: int, floor: DataFrame | None) -> DataFrame:
+    def caps(rows: DataFrame, m: int, floor: DataFrame) -> DataFrame:
         """Rows in the caps of their cells, with their group's largest extent so far (``_L``)."""
         middle, near = cube_cell(*[F.col(c) for c in cell], m)
         rows = rows.withColumns({"_p": vec.dot(tuple(F.col(a) for a in axes), middle), "_near": near})
@@ -101,17 +100,40 @@ def max_pairwise(df: DataFrame, keys: Sequence[str], xyz: Sequence[str], m: int
             F.min(F.when(F.col("_low"), F.col("_p"))).alias("_lo"), F.max(F.when(F.col("_top"), F.col("_p"))).alias("_hi")
         )
         extent = spans.groupBy(*key_names).agg(F.max(F.col("_hi") - F.col("_lo")).alias("_L"))
-        if floor is not None:
-            extent = extent.unionByName(floor).groupBy(*key_names).agg(F.max("_L").alias("_L"))
+        extent = extent.unionByName(floor).groupBy(*key_names).agg(F.max("_L").alias("_L"))
         ends = with_stats(spans, extent, key_names)
         reach = F.col("_L") * F.col("_near") * (1 - 1e-12)
         kept = with_stats(rows, ends, key_names + ["_c"]).withColumns(
             {"_top": F.col("_top") & (F.col("_p") >= F.col("_lo") + reach), "_low": F.col("_low") & (F.col("_p") <= F.col("_hi") - reach)}
         )
-        return settle(kept.filter(F.col("_top") | F.col("_low")).select(*key_names, *axes, "_c", "_top", "_low", "_L"))
+        return staged(kept.filter(F.col("_top") | F.col("_low")).select(*key_names, *axes, "_c", "_top", "_low", "_L"))
 
-    rows = pts.select(*key_names, *axes, F.lit(True).alias("_top"), F.lit(True).alias("_low"), F.explode(grid).alias("_c"))
-    rows = caps(rows, m, None)
+    # The first cells are literals: one row of extents a group, and a point is listed only under the cells whose caps it is in.
+    along, width = zip(*[cube_cell(*map(F.lit, c), m) for c in grid])
+    spot = [vec.dot(tuple(F.col(a) for a in axes), middle) for middle in along]
+    spans = pts.groupBy(*key_names).agg(
+        F.count("*").alias("n"), *[f(p).alias(f"{tag}{t}") for t, p in enumerate(spot) for f, tag in ((F.min, "_lo"), (F.max, "_hi"))]
+    )
+    spans = spans.withColumn("_L", F.greatest(*[F.col(f"_hi{t}") - F.col(f"_lo{t}") for t in range(len(grid))]))
+    sizes = spans.select(*key_names, "n")
+    reach = [F.col("_L") * near * (1 - 1e-12) for near in width]
+    bounds = spans.select(
+        *key_names, "_L", *[c for t, r in enumerate(reach) for c in ((F.col(f"_lo{t}") + r).alias(f"_a{t}"), (F.col(f"_hi{t}") - r).alias(f"_b{t}"))]
+    )
+    top, low = ([p >= F.col(f"_a{t}") for t, p in enumerate(spot)], [p <= F.col(f"_b{t}") for t, p in enumerate(spot)])
+    held = top[0] | low[0]
+    for flag in [*top[1:], *low[1:]]:
+        held = held | flag
+    listed = F.filter(
+        F.array(*[
+            F.struct(F.struct(*[F.lit(v).alias(n) for v, n in zip(c, "kij")]).alias("c"), up.alias("top"), down.alias("low")) for c, up, down in zip(grid, top, low)
+        ]),
+        lambda s: s["top"] | s["low"],
+    )
+    ends = with_stats(pts, bounds, key_names).filter(held).select(*key_names, *axes, "_L", listed.alias("_s")).distinct()
+    rows = staged(
+        ends.withColumn("_s", F.explode("_s")).select(*key_names, *axes, F.col("_s.c").alias("_c"), F.col("_s.top").alias("_top"), F.col("_s.low").alias("_low"), "_L")
+    )
     for _ in range(max_levels):
         met = rows.groupBy(*key_names, "_c").agg(F.count_if("_top").alias("_a"), F.count_if("_low").alias("_b"), F.count("*").alias("_r"))
         count = met.agg(F.sum(F.col("_a").cast("double") * F.col("_b")), F.sum("_r")).first()

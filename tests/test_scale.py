@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rigtable import scale
 from rigtable.operators import calib
 from rigtable.operators import tracking as tk
+from rigtable.session import settle
 
 
 @pytest.fixture(scope="module")
@@ -210,3 +211,16 @@ def test_ties_are_counted_not_gathered(spark):
             low, high = own[int(np.floor(at))], own[int(np.ceil(at))]
             assert abs(r[name] - (low + (high - low) * (at - np.floor(at)))) < 1e-9
     assert {r["k"]: r["_med"] for r in spread.collect()} == {"hot": 50.0, None: 50.0}
+
+
+def test_widest_pair_lists_only_points_in_caps(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(calib, "staged", lambda df: seen.append(settle(df)) or seen[-1])
+    pts = spark.range(4000).select((F.col("id") % 2).alias("k"), *[F.rand(s).alias(a) for s, a in enumerate("xyz")])
+    pts = settle(pts.unionByName(pts))
+    got = {r.k: (r.n, r.max_pair) for r in calib.max_pairwise(pts, ["k"], ["x", "y", "z"]).collect()}
+    # 27 cells a point were written before; copies are listed once.
+    assert seen[0].count() < 4000 and seen[0].count() == seen[0].distinct().count()
+    for k, part in pts.toPandas().groupby("k"):
+        p = part[["x", "y", "z"]].to_numpy()
+        assert got[k] == (len(p), pytest.approx(max(((p - q) ** 2).sum(axis=1).max() for q in p) ** 0.5))
