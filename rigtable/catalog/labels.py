@@ -367,9 +367,8 @@ PIX = "pix AS (SELECT stem, label, v, unnest(range(u0, u1 + 1)) AS u FROM runs)"
 @query("U3_subtract_mask", sql([SHAPES, GOOD, RUNS, PIX], """SELECT stem, count(*) AS area FROM (SELECT DISTINCT stem, u, v FROM pix WHERE label <> '_gripper' EXCEPT
   SELECT DISTINCT stem, u, v FROM pix WHERE label = '_gripper') GROUP BY 1"""))
 def _(spark, d):
-    px = mk.run_pixels(shape_runs(spark, d))
-    objects = px.filter("label <> '_gripper'").select("stem", "u", "v").distinct()
-    return mk.subtract_mask(objects, px.filter("label = '_gripper'"), ["stem", "u", "v"]).groupBy("stem").agg(F.count("*").alias("area"))
+    runs = shape_runs(spark, d)
+    return mk.mask_area(mk.subtract_runs(runs.filter("label <> '_gripper'"), runs.filter("label = '_gripper'"), ["stem"]), ["stem"])
 
 
 @query("M2_resize_mask", sql([SHAPES, GOOD, RUNS, "pixel AS (SELECT stem, line_no, v, unnest(range(u0, u1 + 1)) AS u FROM runs)"], f"""SELECT stem, line_no, count(*) AS area, CAST(sum(du) AS BIGINT) AS su FROM
@@ -457,7 +456,7 @@ def _(spark, d):
   FROM (SELECT *, CASE WHEN chk = 'cross' THEN greatest(iou, cont) ELSE iou END AS w FROM issues)) WHERE rank <= 25"""))
 def _(spark, d):
     lab = yolo_labels(spark, d)
-    top = qc.top_offenders(qc.overlap_issues(qc.label_runs(lab, CANVAS), lab), 25)
+    top = qc.top_offenders(qc.overlap_issues(qc.label_runs(lab, CANVAS)), 25)
     return top.select("split", "check", "stem", "i", "j", r("weight").alias("weight"), "rank")
 
 

@@ -51,21 +51,15 @@ def near_empty(labels: DataFrame, runs: DataFrame, limit: int = EMPTY_AREA) -> D
     )
 
 
-def overlap_issues(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Same-class duplicates and cross-class overlaps with their ``check`` name."""
+def overlap_issues(runs: DataFrame) -> DataFrame:
+    """Same-class duplicates and cross-class overlaps with their ``check`` name; runs carry ``class_id``."""
     image = ["split", "stem"]
-    pairs = mask_overlap(runs, image, "line_no")
-    cls = lambda side: labels.select(*image, F.col("line_no").alias(side), F.col("class_id").alias(f"class_{side}"))
+    pairs = mask_overlap(runs, image, "line_no", carry=["class_id"]).withColumnsRenamed({f"class_id_{i}": f"class_{i}" for i in "ij"})
     same = F.col("class_i") == F.col("class_j")
     check = F.when(same & ((F.col("iou") >= DUPLICATE_IOU) | (F.col("cont") >= DUPLICATE_CONT)), "duplicate").when(
         ~same & ((F.col("iou") >= CROSS_IOU) | (F.col("cont") >= CROSS_CONT)), "cross"
     )
-    return (
-        pairs.join(cls("i"), image + ["i"])
-        .join(cls("j"), image + ["j"])
-        .withColumn("check", check)
-        .filter(F.col("check").isNotNull())
-    )
+    return pairs.withColumn("check", check).filter(F.col("check").isNotNull())
 
 
 def split_leakage(labels: DataFrame, key: str = "stem", split: str = "split") -> DataFrame:
@@ -79,7 +73,7 @@ def qc_report(labels: DataFrame, canvas: int = CANVAS) -> DataFrame:
     """Issues per split and check plus the overall verdict row (split null)."""
     runs = label_runs(labels, canvas)
     found = (
-        overlap_issues(runs, labels).select("split", "check")
+        overlap_issues(runs).select("split", "check")
         .unionByName(degenerate(labels).select("split", F.lit("degenerate").alias("check")))
         .unionByName(near_empty(labels, runs).select("split", F.lit("near_empty").alias("check")))
         .unionByName(split_leakage(labels).select(F.lit("all").alias("split"), F.lit("leakage").alias("check")))
