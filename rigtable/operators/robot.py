@@ -118,12 +118,12 @@ def flatten_published(messages: DataFrame) -> DataFrame:
 
 
 def nearest(dets: DataFrame, by: Sequence[str], reference: vec.Vec, done: DataFrame | None = None, id_col: str = "id", center: str = "center") -> DataFrame:
-    """Closest detection per group whose id is not done yet."""
+    """Closest detection per group whose id is not done yet; of distances equal to twelve digits the smaller id."""
     by = list(by)
     open_ = dets if done is None else dets.join(done.select(*by, id_col).distinct(), by + [id_col], "left_anti")
     rest = [c for c in open_.columns if c not in by]
     dist = vec.distance(vec.parts(center), reference)
-    best = F.min_by(F.struct(*rest, dist.alias("dist")), F.struct(dist, F.col(id_col)))
+    best = F.min_by(F.struct(*rest, dist.alias("dist")), F.struct(F.round(dist, 12), F.col(id_col)))
     return open_.groupBy(*by).agg(best.alias("_d")).select(*by, "_d.*")
 
 
