@@ -100,3 +100,48 @@ def test_tracker_lets_idle_sessions_go(spark, tmp_path):
     got = {r.frame_index: (r.track_id, r.hits) for r in out.collect() if r.session_id == "s"}
     # Frames come in order of time although they arrived out of order; the session starts anew after its state went.
     assert got == {**{i: (0, i + 1) for i in range(8)}, 500: (0, 1)}
+
+
+def test_slots_of_few_rows_share_a_chunk():
+    import pandas as pd
+
+    class Map(dict):
+        updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Timers:
+        def registerTimer(self, ms):
+            self.ms = ms
+
+    class Echo(st.InOrder):
+        def _played(self, key, rows):
+            yield rows.sort_values(self.order, ignore_index=True)
+
+    work = Echo([st.US, "n"], [st.US, "n"], 1000, True, None, True)
+    work.slots, work.chunks, work.handle = Map(), Map(), Timers()
+    rows = pd.DataFrame({st.US: [(i * 7919) % 5000 * 1000 + 5 for i in range(5000)], "n": range(5000)})
+    for part in (rows[::2], rows[1::2]):
+        work._keep(part, work._pending())
+    # One chunk a slot and batch before: 5000.
+    assert len(work.chunks) <= 8 and sum(n for n, _ in work.slots.values()) == len(work.chunks)
+    first = list(work._ready(("k",), work._pending(), 1234.0))
+    assert pd.concat(first)[st.US].tolist() == [i * 1000 + 5 for i in range(1234)] and work.handle.ms == 1236
+    second = list(work._ready(("k",), work._pending(), 9999.0))
+    assert pd.concat(second)[st.US].tolist() == [i * 1000 + 5 for i in range(1234, 5000)] and not work.chunks and not work.slots
+
+
+def test_every_half_second_of_a_class_opens_a_track(spark, tmp_path):
+    import datetime
+
+    from rigtable.catalog import tracking as queries
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    # Two classes in one half second, then the same place again within the frames that a track survives.
+    rows = [(1, at(0.1), 7, "click"), (2, at(0.2), 7, "view"), (3, at(1.1), 7, "click"), (4, at(1.2), 7, "click")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").selectExpr(
+        "event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "1.5D AS value", "'{\"k\": 3}' AS props"
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["T1_track_stream"](spark, str(tmp_path)).collect()
+    assert sorted((r.session_id, r.class_name, r.n, r.n_tracks) for r in got) == [("7", "cork", 2, 2), ("7", "pompom", 1, 1)]
