@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rigtable.operators.masks import dedup_masks, mask_overlap
 from rigtable.scale import running
-from rigtable.session import settle
+from rigtable.session import staged
 
 DETECTION_LIST = "ARRAY<STRUCT<class: STRING, score: DOUBLE, bbox: ARRAY<DOUBLE>, polygon: ARRAY<ARRAY<DOUBLE>>>>"
 
@@ -110,37 +110,36 @@ def evaluate(
         pairs.groupBy("pred_id").agg(F.max(F.struct("iou", F.col("truth_id").alias("tid"))).alias("_c"))
         .select("pred_id", F.col("_c.tid").alias("truth_id"), F.col("_c.iou").alias("iou"))
     )
-    scored = preds.join(claim, "pred_id", "left").select(
-        model, "class_name", "pred_id", "score", "truth_id", "iou",
-        F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"),
+    scored = preds.join(claim, "pred_id", "left").select(model, "class_name", "pred_id", "score", "truth_id", "iou")
+    # One row a prediction with a flag a step, not a row a step.
+    flags = [f"_tp{k}" for k in range(len(steps))]
+    strongest = [F.max(F.when(F.col("iou") >= s, F.struct("score", "pred_id")))["pred_id"] for s in steps]
+    won = scored.filter(F.col("iou") >= min(steps)).groupBy(model, "truth_id").agg(F.array(*strongest).alias("_w"))
+    first = won.select(model, "_w", F.explode(F.array_distinct("_w")).alias("pred_id")).filter("pred_id IS NOT NULL").select(
+        model, "pred_id", *[F.coalesce(F.get("_w", F.lit(k)) == F.col("pred_id"), F.lit(False)).cast("int").alias(f) for k, f in enumerate(flags)]
     )
-    above = F.coalesce(F.col("iou") >= F.col("step"), F.lit(False))
-    scored = scored.withColumn("_ok", above)
-    first = (
-        scored.filter("_ok").groupBy(model, "step", "truth_id")
-        .agg(F.max_by("pred_id", F.struct("score", "pred_id")).alias("pred_id")).select(model, "step", "pred_id")
-        .withColumn("tp", F.lit(1))
+    hits = staged(
+        scored.drop("truth_id", "iou").join(first, [model, "pred_id"], "left").withColumns({f: F.coalesce(f, F.lit(0)) for f in flags})
     )
-    hits = settle(scored.join(first, [model, "step", "pred_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0))))
-    keys = [model, "class_name", "step"]
+    keys = [model, "class_name"]
     # Running counts in descending score, spread over score bands.
     band = F.floor((F.lit(1.0) - F.col("score")) * 200)
     order = [-F.col("score"), F.col("pred_id")]
-    curve = running(hits, keys, band, order, {"ctp": ("sum", F.col("tp")), "cn": ("count", F.lit(1))})
-    curve = curve.withColumn("prec", F.col("ctp") / F.col("cn"))
-    # Interpolation looks ahead: the best precision from here to the lowest score.
-    back = running(curve, keys, -band, [-F.col("cn")], {"best": ("max", F.col("prec"))})
+    curve = running(hits, keys, band, order, {f"_c{k}": ("sum", F.col(f)) for k, f in enumerate(flags)} | {"cn": ("count", F.lit(1))})
+    # Interpolation looks ahead: the best precision from here to the lowest score, which is that of a true row.
+    true = curve.filter(sum((F.col(f) for f in flags), F.lit(0)) > 0).drop("pred_id")
+    back = running(true, keys, -band, [-F.col("cn")], {f"_b{k}": ("max", F.col(f"_c{k}") / F.col("cn")) for k in range(len(steps))})
     positives = truth.groupBy("class_name").agg(F.count("*").alias("n_pos"))
     area = (
-        back.groupBy(*keys).agg(F.sum(F.col("tp") * F.col("best")).alias("_a"))
-        .join(positives, "class_name").select(*keys, (F.col("_a") / F.col("n_pos")).alias("ap"))
+        back.groupBy(*keys).agg(*[F.sum(F.col(f) * F.col(f"_b{k}")).alias(f"_a{k}") for k, f in enumerate(flags)])
+        .join(positives, "class_name").select(*keys, *[(F.col(f"_a{k}") / F.col("n_pos")).alias(f"_a{k}") for k in range(len(steps))])
     )
     # A class without hits adds zero, so the mean over classes is a sum over the registry size.
     totals = positives.agg(F.sum("n_pos").alias("n_truth"), F.count("*").alias("n_cls")).withColumn("_one", F.lit(1))
     sums = area.groupBy(model).agg(
-        F.sum(F.when(F.col("step") == steps[0], F.col("ap"))).alias("_s50"), F.sum("ap").alias("_sall")
+        F.sum("_a0").alias("_s50"), F.sum(sum((F.col(f"_a{k}") for k in range(len(steps))), F.lit(0.0))).alias("_sall")
     )
-    base = hits.filter(F.col("step") == steps[0]).groupBy(model).agg(F.sum("tp").alias("_tp"), F.count("*").alias("_n"))
+    base = hits.groupBy(model).agg(F.sum("_tp0").alias("_tp"), F.count("*").alias("_n"))
     return (
         base.join(sums, model, "left").withColumn("_one", F.lit(1)).join(totals, "_one")
         .select(
