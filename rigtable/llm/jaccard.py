@@ -183,11 +183,15 @@ def prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return stage(placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(order, schema), "shingles")
 
 
-def filtered(met: DataFrame, percent: int) -> DataFrame:
+def filtered(met: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of classes that met on a prefix token (row: a, b, n_a, n_b, k_a, k_b, i, j, bits_a, bits_b)
-    and pass all filters.  i, j: positions of the token; k_a, k_b: how many prefix tokens before it other texts hold."""
+    and pass all filters.  i, j: positions of the token; k_a, k_b: how many prefix tokens before it other texts hold.
+
+    every: classes meet on all tokens they share, so a pair need only pass on the first of them, before which they have nothing in common.
+    """
     needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    positional = F.least("k_a", "k_b") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= needed
+    before = F.lit(0) if every else F.least("k_a", "k_b")
+    positional = before + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= needed
     apart = sum((F.bit_count(F.get("bits_a", F.lit(w)).bitwiseXOR(F.get("bits_b", F.lit(w)))) for w in range(BITMAP)), F.lit(0))
     suffix = apart <= F.col("n_a") + F.col("n_b") - 2 * needed
     length = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -287,8 +291,8 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
     as_b = [F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("i").alias("j"), F.col("bits").alias("bits_b")]
     as_a = [F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("i"), F.col("bits").alias("bits_a")]
 
-    def found(met: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        pairs = stage(filtered(met, percent), "pairs")
+    def found(met: DataFrame, tested: DataFrame | None, every: bool = False) -> tuple[DataFrame, DataFrame]:
+        pairs = stage(filtered(met, percent, every), "pairs")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         return pairs, stage(verified(pairs, heads, percent), "links")
@@ -312,7 +316,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_
         still = with_component(known)
 
     left, right = still.select("token", "component", *as_a), still.select("token", F.col("component").alias("other"), *as_b)
-    _, links = found(left.join(right, "token").where("component < other"), tested)
+    _, links = found(left.join(right, "token").where("component < other"), tested, every=True)
     known = merged(known, links)
     counts = link_counts(known, heads, percent).withColumnRenamed("class_id", "class")
     placed = ready.select("doc_id", *same).join(classes, same, "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))

@@ -101,3 +101,13 @@ def test_null_copies_and_ids_with_two_texts(spark):
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
     assert Counter((r.doc_id, r.n_links) for r in got) == brute_links(rows)
+
+
+def test_last_join_takes_a_pair_only_where_it_may_first_meet(spark):
+    """Sets of 100 need 89 in common: a pair that first meets on token 20 cannot link, one that meets on token 11 can."""
+    bits = ", ".join(["0L"] * jaccard.BITMAP)
+    met = spark.sql(f"""SELECT a, b, 100L AS n_a, 100L AS n_b, i AS k_a, i AS k_b, i, i AS j, array({bits}) AS bits_a, array({bits}) AS bits_b
+        FROM VALUES (1L, 2L, 11), (1L, 2L, 12), (3L, 4L, 20), (5L, 6L, 11) t(a, b, i)""")
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    assert pairs(jaccard.filtered(met, 80)) == [(1, 2), (3, 4), (5, 6)]
+    assert pairs(jaccard.filtered(met, 80, every=True)) == [(1, 2), (5, 6)]
