@@ -43,6 +43,8 @@ SCRIPT_OF_RANGE = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
 BUCKETS = 1 << 16
 FIT_ROWS = 20_000
+#: Bytes of text that are counted together.
+FIT_SLICE = 2 << 20
 SMOOTHING = 0.5
 #: Log-score a switch of language costs, and the share of a language's letters that makes a script its own.
 SWITCH, SCRIPT_SHARE = 12.0, 0.001
@@ -89,17 +91,12 @@ def features(values: pa.Array) -> Features:
     return Features(word[at], bucket, SCRIPT_OF_RANGE[np.searchsorted(STARTS, codes[at], side="right") - 1])
 
 
-def fit(rows: DataFrame, bound: int = FIT_ROWS) -> Model:
-    """rows: doc_id, text, lang of training documents."""
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, bound / max(rows.count(), 1))
-    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 11).cast("double") / float(1 << 53) < share
-    sample = rows.where(part).select("text", "lang")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tags = batch.column("lang").dictionary_encode()
-            tag, words = tags.indices.to_numpy(), words_of(batch.column("text"))
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, feature, n) of texts with labels; features: buckets, the scripts as -1, -2, ..., and ``BUCKETS`` for documents."""
+    for batch in batches:
+        for part in slices(batch, batch.column("text"), FIT_SLICE):
+            tags = part.column("lang").dictionary_encode()
+            tag, words = tags.indices.to_numpy(), words_of(part.column("text"))
             if not len(words.values):
                 continue
             own = features(words.values)
@@ -112,7 +109,15 @@ def fit(rows: DataFrame, bound: int = FIT_ROWS) -> Model:
                 documents = pa.array(np.append(feature, BUCKETS)), pa.array(np.append(amount, int((tag == k).sum())))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(documents[0])), *documents], ["lang", "feature", "n"])
 
-    totals = sample.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+
+def fit(rows: DataFrame, bound: int = FIT_ROWS) -> Model:
+    """rows: doc_id, text, lang of training documents."""
+    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
+    share = min(1.0, bound / max(rows.count(), 1))
+    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 11).cast("double") / float(1 << 53) < share
+    sample = rows.where(part).select("text", "lang")
+
+    totals = sample.mapInArrow(counted, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     found = totals.toArrow()  # languages x (buckets + scripts) rows at most
     langs = sorted(set(found.column("lang").to_pylist()))
     at = {lang: k for k, lang in enumerate(langs)}

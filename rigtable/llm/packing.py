@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from rigtable.llm.common import shuffle_parts, stage
 from rigtable.llm.tokens import Tokens
+from rigtable.llm.words import slices
 
 RUN = 4_000_000
+#: Bytes of text that are encoded together, so a run exceeds ``RUN`` by that or one document at most.
+BYTES = 4 << 20
 STEP = 256
 #: Padding tokens that a cut is worth: at a document's end, a sentence's end, inside a sentence.
 PENALTY = (0, 8, 64)
@@ -107,6 +110,21 @@ class Run:
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")]), len(chosen) - 1
 
 
+def planned(batches: Iterator[pa.RecordBatch], block: int, tokenizer: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the texts of one task, ``BYTES`` of text encoded at a time."""
+    run, windows = Run(), 0
+    for batch in batches:
+        for part in slices(batch, batch.column("text"), BYTES):
+            key = part.column("key")
+            run.add(key.fill_null(0).to_numpy(zero_copy_only=False), key.is_null().to_numpy(zero_copy_only=False), Tokens(part.column("text"), tokenizer, True))
+            if run.size >= RUN:
+                out, n = run.pieces(block, windows, size)
+                run, windows = Run(), windows + n
+                yield out
+    if run.size:
+        yield run.pieces(block, windows, size)[0]
+
+
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset); sequence ids are gapless from 0 in document order."""
     ordered = (
@@ -116,18 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_i
     )
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, run, windows = TaskContext.get().partitionId(), Run(), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key")
-            run.add(key.fill_null(0).to_numpy(zero_copy_only=False), key.is_null().to_numpy(zero_copy_only=False), Tokens(batch.column("text"), tokenizer, True))
-            if run.size >= RUN:
-                out, n = run.pieces(block, windows, size)
-                run, windows = Run(), windows + n
-                yield out
-        if run.size:
-            yield run.pieces(block, windows, size)[0]
+        return planned(batches, TaskContext.get().partitionId(), tokenizer, size)
 
     pieces = stage(ordered.mapInArrow(plan, PIECES), "pieces")
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import tracemalloc
 
 import numpy as np
 import odd
@@ -57,3 +58,23 @@ def test_odd_rows(spark):
     assert langid.op6(odd.empty(spark)).count() == 0
     blank = odd.frame(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.op6(blank).collect()} == {"und"}
+
+
+def test_counting_holds_slices_of_a_batch():
+    """Memory follows ``FIT_SLICE``, not the batch, and the counts are the same."""
+    texts = [f"wort{i} mit buchstaben{i % 97} und noch etwas text " * 40 for i in range(8_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["de", "en"] * 4_000)], ["text", "lang"])
+
+    def total(batches):
+        out = {}
+        for part in langid.counted(iter(batches)):
+            for lang, feature, n in zip(*(part.column(c).to_pylist() for c in ("lang", "feature", "n")), strict=True):
+                out[lang, feature] = out.get((lang, feature), 0) + n
+        return out
+
+    tracemalloc.start()
+    whole = total([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert whole == total([batch.slice(k, 500) for k in range(0, 8_000, 500)])

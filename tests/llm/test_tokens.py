@@ -1,12 +1,14 @@
 """Token files and packing against the tokenizers library."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import odd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -120,3 +122,15 @@ def test_ids_that_do_not_fit_raise(tmp_path):
     with pytest.raises(ValueError, match="does not fit"):
         writer.add(np.array([2]), np.array([False]), made(5, 65_536))
     tokenfile.ShardWriter(f"file://{tmp_path}", 1, 4).add(np.array([2]), np.array([False]), made(5, 65_536))
+
+
+def test_packing_encodes_slices_of_a_batch():
+    """Memory follows ``BYTES`` of text, not the batch."""
+    texts = ["some plain words of a text that is long enough. " * 40] * 10_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(texts)], ["key", "text"])
+    tracemalloc.start()
+    lengths = sum(sum(out.column("length").to_pylist()) for out in packing.planned(iter([batch]), 0, PATH, 2048))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lengths == 10_000 * len(packing.Tokens(pa.array(texts[:1]), PATH).ids)
+    assert peak < 170e6
