@@ -440,8 +440,7 @@ def _(spark, d):
 
 @query("A19_near_empty", sql([*YOLO, *YOLO_RUNS, OVERLAP.split(",\nshared")[0], EMPTY], "SELECT split, stem, line_no, class_id, CAST(area AS BIGINT) AS area FROM empty"))
 def _(spark, d):
-    lab = yolo_labels(spark, d)
-    return qc.near_empty(lab, qc.label_runs(lab, CANVAS), 60)
+    return qc.near_empty(yolo_labels(spark, d), CANVAS, 60)
 
 
 @query("A20_qc_report", sql([*YOLO, *YOLO_RUNS, OVERLAP, ISSUES, EMPTY.replace("< 60", "< 9"), f"""found AS (SELECT split, chk AS c FROM issues UNION ALL

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigtable.operators.masks import mask_area, mask_overlap, rasterize
+from rigtable.operators.masks import mask_overlap, raster_areas, rasterize
 
 # The report's default thresholds.
 CANVAS = 512
@@ -32,23 +32,21 @@ def degenerate(labels: DataFrame) -> DataFrame:
     return labels.withColumn("why", defect()).filter(F.col("why").isNotNull())
 
 
+def _on_canvas(labels: DataFrame, canvas: int) -> DataFrame:
+    pts = F.transform("poly", lambda p: F.array(p["x"] * canvas, p["y"] * canvas))
+    return labels.select("split", "stem", "line_no", "class_id", pts.alias("pts"))
+
+
 def label_runs(labels: DataFrame, canvas: int = CANVAS) -> DataFrame:
     """Rasterised labels on the canvas; needs ``split, stem, line_no, class_id, poly``."""
-    pts = F.transform("poly", lambda p: F.array(p["x"] * canvas, p["y"] * canvas))
-    return rasterize(labels.select("split", "stem", "line_no", "class_id", pts.alias("pts")), "pts", canvas, canvas)
+    return rasterize(_on_canvas(labels, canvas), "pts", canvas, canvas)
 
 
-def near_empty(labels: DataFrame, runs: DataFrame, limit: int = EMPTY_AREA) -> DataFrame:
-    """Polygons of three points or more whose raster area stays below the limit (zero included)."""
+def near_empty(labels: DataFrame, canvas: int = CANVAS, limit: int = EMPTY_AREA) -> DataFrame:
+    """Polygons of three points or more whose raster area stays below the limit (zero included); rows of one line count together."""
     keys = ["split", "stem", "line_no"]
-    area = mask_area(runs, keys)
-    return (
-        labels.filter(F.size("poly") >= 3)
-        .select(*keys, "class_id")
-        .join(area, keys, "left")
-        .withColumn("area", F.coalesce("area", F.lit(0)))
-        .filter(F.col("area") < limit)
-    )
+    sized = raster_areas(_on_canvas(labels.filter(F.size("poly") >= 3), canvas), "pts", canvas, canvas)
+    return sized.withColumn("area", F.sum("area").over(Window.partitionBy(*keys))).filter(F.col("area") < limit)
 
 
 def overlap_issues(runs: DataFrame) -> DataFrame:
@@ -75,7 +73,7 @@ def qc_report(labels: DataFrame, canvas: int = CANVAS) -> DataFrame:
     found = (
         overlap_issues(runs).select("split", "check")
         .unionByName(degenerate(labels).select("split", F.lit("degenerate").alias("check")))
-        .unionByName(near_empty(labels, runs).select("split", F.lit("near_empty").alias("check")))
+        .unionByName(near_empty(labels, canvas).select("split", F.lit("near_empty").alias("check")))
         .unionByName(split_leakage(labels).select(F.lit("all").alias("split"), F.lit("leakage").alias("check")))
     )
     counts = found.groupBy("split", "check").agg(F.count("*").alias("n"))
