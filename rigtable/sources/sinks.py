@@ -60,9 +60,9 @@ def write_text_files(rows: DataFrame, root: str) -> DataFrame:
 
 
 def write_labelme(docs: DataFrame, path: str, layout: str = "lines") -> DataFrame | None:
-    """Annotation documents as JSON lines partitioned by pool, or as one file per image."""
+    """Annotation documents as JSON lines, compressed (the text repeats its field names in every shape), or as one file per image."""
     if layout == "lines":
-        docs.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        docs.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
         return None
     folder = F.when(F.coalesce("pool", F.lit("")) != "", F.concat("pool", F.lit("/"))).otherwise("") if "pool" in docs.columns else F.lit("")
     rows = docs.select(F.concat(folder, F.col("stem"), F.lit(".json")).alias("file"), labelme_document().alias("text"))
