@@ -50,7 +50,7 @@ def predictions(spark, d):
     rows = t.withColumn("model", m).filter((F.col("model") == "a") | (F.col("truth_id") % 3 != 0))
     moved = lambda c, s: (F.col(c) + s).alias(c)
     return rows.select(
-        "model", "stem", "class_name", F.concat_ws(":", "model", "key").alias("pred_id"), ((F.col("truth_id") % 89) / 89.0).alias("score"),
+        "model", "stem", "class_name", F.col("truth_id").alias("line_no"), F.concat_ws(":", "model", "key").alias("pred_id"), ((F.col("truth_id") % 89) / 89.0).alias("score"),
         moved("x0", shift), moved("y0", 0.0), moved("x1", shift), moved("y1", 0.0),
         F.transform("points", lambda p: F.array(p[0] + shift, p[1])).alias("points"),
     )
@@ -67,9 +67,11 @@ ov AS (SELECT p.model, p.class_name, p.pred_id, p.score, t.truth_id, (least(p.x1
 
 @query("A22_box_overlap", sql([SHAPES, GOOD, BOX_SQL], f"SELECT model, pred_id, truth_id, {rs('i / (s - i)')} AS iou FROM ov"))
 def _(spark, d):
-    preds = predictions(spark, d)
-    pairs = md.box_overlap(preds, truth_boxes(spark, d).withColumn("truth_id", F.col("key")), ["stem"], 16.0)
-    return pairs.select(F.substring("pred_id", 1, 1).alias("model"), "pred_id", "truth_id", r("iou").alias("iou"))
+    # Numbers go through the join; names of an image are made from them afterwards.
+    preds = predictions(spark, d).withColumn("pred_id", F.col("line_no") * 2 + F.when(F.col("model") == "b", 1).otherwise(0))
+    pairs = md.box_overlap(preds, truth_boxes(spark, d), ["stem"], 16.0).withColumn("model", F.when(F.col("pred_id") % 2 == 1, "b").otherwise("a"))
+    named = lambda *parts: F.concat_ws(":", *parts)
+    return pairs.select("model", named("model", "stem", F.shiftright("pred_id", 1)).alias("pred_id"), named("stem", "truth_id").alias("truth_id"), r("iou").alias("iou"))
 
 
 EVAL = """claims AS (SELECT pred_id, arg_max(truth_id, (i / (s - i), truth_id)) AS truth_id, max(i / (s - i)) AS iou FROM ov GROUP BY 1),
