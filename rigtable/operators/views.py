@@ -56,19 +56,22 @@ def cap(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) ->
 
 
 def views_column(views: Sequence[tuple[str, float, float]] = DEFAULT_VIEWS) -> Column:
-    return F.array(
-        *[F.struct(F.lit(n).alias("view_id"), F.lit(y).alias("yaw_deg"), F.lit(p).alias("pitch_deg")) for n, y, p in views]
-    )
+    """Cameras with their rotation, all constants: no sine or cosine is left to be taken point by point."""
+
+    def camera(name: str, yaw: float, pitch: float) -> Column:
+        rot = vec.yaw_pitch_rot(F.lit(yaw), F.lit(pitch))
+        cells = [cell.alias(f"r{i}{j}") for i, row in enumerate(rot) for j, cell in enumerate(row)]
+        return F.struct(F.lit(name).alias("view_id"), F.lit(yaw).alias("yaw_deg"), F.lit(pitch).alias("pitch_deg"), *cells)
+
+    return F.array(*[camera(*v) for v in views])
 
 
 def expand_views(points: DataFrame, views: Sequence[tuple[str, float, float]] = DEFAULT_VIEWS) -> DataFrame:
     """Each point once per view, turned into that camera; a map-side generator, no join."""
-    each = points.withColumn("_w", F.explode(views_column(views))).select(
-        *points.columns, "_w.view_id", "_w.yaw_deg", "_w.pitch_deg"
-    )
-    r = vec.yaw_pitch_rot(F.col("yaw_deg"), F.col("pitch_deg"))
+    each = points.withColumn("_w", F.explode(views_column(views)))
+    r = [[F.col(f"_w.r{i}{j}") for j in range(3)] for i in range(3)]
     x, y, z = vec.rotate(r, (F.col("x"), F.col("y"), F.col("z")))
-    return each.withColumns({"vx": x, "vy": y, "vz": z})
+    return each.select(*points.columns, "_w.view_id", "_w.yaw_deg", "_w.pitch_deg", x.alias("vx"), y.alias("vy"), z.alias("vz"))
 
 
 def project_views(points: DataFrame, fx: float, fy: float, ppx: float, ppy: float) -> DataFrame:
@@ -128,8 +131,29 @@ def visible_views(
     """
     view = list(view)
     left = instances if occluder is None else subtract_mask(instances, occluder, pixel or (view + ["u", "v"]))
-    dropped = instances.select(*view).distinct().join(left.select(*view).distinct(), view, "left_anti")
-    return left, dropped
+    return left, pixels_left(instances, occluder, view, pixel).filter("n_left = 0").select(*view)
+
+
+def pixels_left(
+    instances: DataFrame, occluder: DataFrame | None, view: Sequence[str], pixel: Sequence[str] | None = None
+) -> DataFrame:
+    """Every view with ``n_left``, its different instance pixels not under the occluder; see ``visible_views``.
+
+    Blocks of 8 x 8 pixels are one word of bits, united map-side, so that blocks meet instead of pixels.
+    """
+    view, shared = list(view), [c for c in (pixel or view) if c not in ("u", "v")]
+    drawn = _block_bits(instances, view)
+    if occluder is not None:
+        drawn = drawn.join(_block_bits(occluder, shared).withColumnRenamed("_bits", "_under"), shared + ["_ty", "_tx"], "left")
+        drawn = drawn.withColumn("_bits", F.col("_bits").bitwiseAND(F.bitwise_not(F.coalesce("_under", F.lit(0).cast("bigint")))))
+    return drawn.groupBy(*view).agg(F.coalesce(F.sum(F.bit_count("_bits").cast("bigint")), F.lit(0).cast("bigint")).alias("n_left"))
+
+
+def _block_bits(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The pixels of blocks (``_ty``, ``_tx``) of 8 lines and 8 columns as bits of one word."""
+    block = lambda c: F.floor(F.col(c) / 8)
+    bit = F.expr("shiftleft(1L, cast(pmod(v, 8) * 8 + pmod(u, 8) AS INT))")
+    return pixels.groupBy(*keys, block("v").alias("_ty"), block("u").alias("_tx")).agg(F.bit_or(bit).alias("_bits"))
 
 
 def resize_image(pixels: DataFrame, keys: Sequence[str], from_size: tuple[int, int], to_size: tuple[int, int], channels=("r", "g", "b")) -> DataFrame:

@@ -22,8 +22,11 @@ def render_views(
     views: Sequence = DEFAULT_VIEWS,
     payload: Sequence[str] = ("instance_id", "r", "g", "b"),
 ) -> tuple[DataFrame, DataFrame]:
-    """(nearest-point pixels of every capture and view, one meta row per view)."""
-    projected = project_views(expand_views(points, views), *intrinsics)
+    """(nearest-point pixels of every capture and view, one meta row per view).
+
+    The points of a capture meet before views and discs multiply them, so that only points are shuffled.
+    """
+    projected = project_views(expand_views(points.repartition("capture_id"), views), *intrinsics)
     pixels = splat(projected, ["capture_id", "view_id"], width, height, radius, payload)
     table = F.explode(
         F.array(*[F.struct(F.lit(n).alias("view_id"), F.lit(y).alias("yaw_deg"), F.lit(p).alias("pitch_deg")) for n, y, p in views])
