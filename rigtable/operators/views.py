@@ -109,11 +109,19 @@ def splat(
 
 
 def composite(
-    background: DataFrame, objects: DataFrame, occluder: DataFrame | None, keys: Sequence[str], colors: Sequence[str] = ("r", "g", "b")
+    background: DataFrame,
+    objects: DataFrame,
+    occluder: DataFrame | None,
+    keys: Sequence[str],
+    colors: Sequence[str] = ("r", "g", "b"),
+    pixel: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Object pixels over the background except below the occluder; keys include u and v."""
+    """Object pixels over the background except below the occluder; keys include u and v.
+
+    ``pixel`` are the columns the occluder shares; one native mask may serve all views.
+    """
     keys = list(keys)
-    front = objects if occluder is None else subtract_mask(objects, occluder, keys)
+    front = objects if occluder is None else subtract_mask(objects, occluder, pixel or keys)
     over = front.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in colors], F.lit(True).alias("_hit"))
     return background.join(over, keys, "left").select(
         *keys,

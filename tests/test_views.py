@@ -55,3 +55,15 @@ def test_points_of_a_capture_meet_before_they_are_multiplied(spark):
     px, _ = synth.render_views(pts, (10.0, 10.0, 3.5, 3.5), 8, 8)
     plan = px.groupBy("capture_id", "view_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_one_native_occluder_serves_all_views(spark):
+    px, cover = drawn(np.random.default_rng(4))
+    rows = sorted(px)
+    objects = spark.createDataFrame(pd.DataFrame([(*k, 7) for k in rows], columns=["capture_id", "view_id", "u", "v", "r"]))
+    ground = spark.createDataFrame(pd.DataFrame([(c, w, u, v, 1) for c in range(5) for w in "ab" for u in range(40) for v in range(30)], columns=["capture_id", "view_id", "u", "v", "r"]))
+    occ = spark.createDataFrame(pd.DataFrame(sorted(cover), columns=["capture_id", "u", "v"]))
+    got = vw.composite(ground, objects, occ, ["capture_id", "view_id", "u", "v"], ["r"], pixel=["capture_id", "u", "v"]).collect()
+    seen = {k for k in px if (k[0], k[2], k[3]) not in cover}
+    assert len(got) == 5 * 2 * 40 * 30
+    assert {(r.capture_id, r.view_id, r.u, r.v) for r in got if r.pasted} == seen == {(r.capture_id, r.view_id, r.u, r.v) for r in got if r.r == 7}
