@@ -180,3 +180,24 @@ def test_smoothed_normals(spark):
         cur = 0.7 * cur + 0.3 * new
         cur /= np.linalg.norm(cur)
         assert np.allclose(cur, row)
+
+
+def test_throttle_is_exact_and_streams_many_keys_a_batch(spark, monkeypatch):
+    rng, gap_us = np.random.default_rng(8), 700_000
+    start = 1_704_067_211_172_425
+    rows, want = [], set()
+    for key in range(60):
+        # Steps around the gap and exactly of it, also over midnight; doubles of seconds miss some of these by a rounding.
+        at = start + key * 1_000_003 + np.cumsum(rng.choice([gap_us, gap_us - 1, 233_333, 86_400_000_000 - 3], 80, p=[0.5, 0.2, 0.25, 0.05]))
+        last = None
+        for n, t in enumerate(at.tolist()):
+            if last is None or t - last >= gap_us:
+                last = t
+                want.add((key, n))
+            rows.append((key, n, t))
+    rows += [(None, 0, start), (1, 99, None)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "k int, n int, us long").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    # A batch is not cut into a piece of pandas for every key and pause.
+    monkeypatch.setattr(tk, "ordered_fold", None)
+    got = tk.throttle(df, ["k"], ["ts", "n"], gap_s=0.7)
+    assert got.columns == df.columns and {(r.k, r.n) for r in got.collect()} == want
