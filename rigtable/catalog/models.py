@@ -346,9 +346,8 @@ def _(spark, d):
     sample = lambda index: F.struct(index.alias("index"), F.lit("f.png").alias("image"), eye.alias("base_T_ee"), F.lit(9).alias("n_corners"))
     head = ["session_id", F.lit("base").alias("base_frame"), F.lit("ee").alias("ee_frame"), F.lit("board.json").alias("board")]
     path = scratch_path(spark, "sessions")
-    whole = F.to_json(F.struct(*head, F.array(sample(F.lit(0))).alias("samples")))
-    sk.write_text_files(one.select(F.concat("session_id", F.lit("/session.json")).alias("file"), whole.alias("text")), path).agg(F.sum("lines")).first()
-    old = rd.read_sessions(spark, path)
+    sk.write_sessions(one.select(*head, F.array(sample(F.lit(0))).alias("samples")), path)
+    old = rd.read_sessions(spark, path, "lines")
     new = det.withColumn("session_id", F.col("session_id").cast("string")).select(
         *head, F.lit(None).cast("int").alias("index"), F.lit("f.png").alias("image"), eye.alias("base_T_ee"), F.lit(9).alias("n_corners"), F.col("ts").alias("taken_at")
     )

@@ -84,6 +84,15 @@ def write_yolo(lines: DataFrame, path: str, layout: str = "lines") -> DataFrame
     return _write_text_files(rows, path, "file", "text", ["line_no"])
 
 
+def write_sessions(docs: DataFrame, path: str, layout: str = "lines") -> DataFrame | None:
+    """Calibration sessions as JSON lines, compressed, or as ``<session_id>/session.json`` each: a folder a session costs a listing each time it is read."""
+    if layout == "lines":
+        docs.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
+        return None
+    text = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    return write_text_files(docs.select(F.concat("session_id", F.lit("/session.json")).alias("file"), text.alias("text")), path)
+
+
 def manifest_text(classes: DataFrame) -> DataFrame:
     """Dataset manifest lines; the registry is small, so one ordered column is fine."""
     head = [(0, "path: ."), (1, "train: images/train"), (2, "val: images/val"), (3, "names:")]
