@@ -270,10 +270,11 @@ def _(spark, d):
     from rigtable.streaming.windows import tracking_error_stream
 
     det = lambda: stream_detections(spark, d).withColumn("goal_id", F.col("det_idx"))
-    goals = det().select("goal_id", "ts", arm.resample(F.array(F.col("k").cast("double")), F.array("value"), 1.0, 10).alias("points"))
+    goals = det().select("goal_id", "ts", F.array(F.col("k").cast("double")).alias("from"), F.array("value").alias("to"))
+    path = lambda goal: arm.resample(goal["from"], goal["to"], 1.0, 10)
     later = F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 20_000)
     states = det().select("goal_id", later.alias("ts"), F.array(F.col("value") / 2).alias("position"), F.array(F.col("k") / 10.0).alias("velocity"))
-    err = drain(tracking_error_stream(goals, states, 3.0))
+    err = drain(tracking_error_stream(goals, states, 3.0, path=path))
     return err.select("goal_id", r(F.col("error")[0], 5).alias("error"), r(F.col("velocity_error")[0], 5).alias("velocity_error"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,26 +111,34 @@ def with_start(points: Column, current: Column) -> Column:
     return F.when(points[0]["t"] > 0, F.concat(F.array(first), points)).otherwise(points)
 
 
+def _taken_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where lambdas inside ``use`` refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def interp_at(points: Column, t: Column) -> Column:
     """Positions at time t: linear between neighbours, held at both ends.
 
     Point times that run backwards count as equal to the previous one, so of several
     candidates the first segment whose end has been reached or lies ahead is used.
     """
-    n = F.size(points)
-    spans = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.struct(
-            F.get(points, i - 1).alias("a"),
-            F.coalesce(F.get(points, i), F.get(points, i - 1)).alias("b"),
-        ),
-    )
-    ahead = F.filter(spans, lambda s: F.greatest(s["b"]["t"], s["a"]["t"]) >= t)
-    span = F.coalesce(F.get(ahead, F.lit(0)), F.element_at(spans, -1))
-    t0 = span["a"]["t"]
-    t1 = F.greatest(span["b"]["t"], t0)
-    share = F.when(t1 <= t0, F.lit(1.0)).otherwise(clamp((t - t0) / (t1 - t0), 0.0, 1.0))
-    return F.zip_with(span["a"]["positions"], span["b"]["positions"], lambda p, q: p + (q - p) * share)
+
+    def segment(given: Column) -> Column:
+        at, n = given["points"], F.size(given["points"])
+        spans = F.transform(
+            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+            lambda i: F.struct(F.get(at, i - 1).alias("a"), F.coalesce(F.get(at, i), F.get(at, i - 1)).alias("b")),
+        )
+        return _taken_once(spans, lambda all_: F.coalesce(F.get(F.filter(all_, lambda s: F.greatest(s["b"]["t"], s["a"]["t"]) >= given["t"]), F.lit(0)), F.element_at(all_, -1)))
+
+    def shared(span: Column, at: Column) -> Column:
+        t0 = span["a"]["t"]
+        t1 = F.greatest(span["b"]["t"], t0)
+        share = F.when(t1 <= t0, F.lit(1.0)).otherwise(clamp((at - t0) / (t1 - t0), 0.0, 1.0))
+        return _taken_once(share, lambda w: F.zip_with(span["a"]["positions"], span["b"]["positions"], lambda p, q: p + (q - p) * w))
+
+    given = F.struct(points.alias("points"), t.alias("t"))
+    return _taken_once(given, lambda g: _taken_once(segment(g), lambda span: shared(span, g["t"])))
 
 
 def wrap_near(value: Column, ref: Column | float) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigtable.functions import arm
@@ -63,22 +63,26 @@ def fresh_at(ticks: DataFrame, messages: DataFrame, keys: Sequence[str], ttl_s:
 
 
 def tracking_error_stream(
-    goals: DataFrame, states: DataFrame, longest_s: float, key: str = "goal_id", ts: str = "ts", goal_delay: str = "10 seconds", state_delay: str = "10 seconds"
+    goals: DataFrame, states: DataFrame, longest_s: float, key: str = "goal_id", ts: str = "ts", goal_delay: str = "10 seconds", state_delay: str = "10 seconds",
+    path: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Desired minus actual joint values of every state that falls into a goal's time; the stream twin of ``tracking_error``.
 
-    ``goals``: key, start time and ``points`` (see ``resample``); ``states``: key, time, ``position``, ``velocity``.  A state meets
-    the goal of its key from its start on for ``longest_s`` at most.  Both sides have a watermark, so with this bound a goal is let
+    ``goals``: key, start time and ``points`` (see ``resample``); or other columns, of which ``path`` makes the points where a state
+    meets its goal, so that not the whole path waits in state.  ``states``: key, time, ``position``, ``velocity``.  A state meets the goal of its key from its start on for ``longest_s`` at most.  Both sides have a watermark, so with this bound a goal is let
     go once no state can meet it, a state once no goal can; what comes later than a watermark is dropped and counted
     (``run.late_rows``).
     """
-    start = goals.select(key, F.col(ts).alias("goal_ts"), "points").withWatermark("goal_ts", goal_delay)
+    made_of = ["points"] if path is None else [c for c in goals.columns if c not in (key, ts)]
+    start = goals.select(key, F.col(ts).alias("goal_ts"), F.struct(*made_of).alias("_goal")).withWatermark("goal_ts", goal_delay)
     actual = states.withColumnRenamed(key, "state_key").withWatermark(ts, state_delay)
     reach = F.make_interval(secs=F.lit(longest_s))
     meets = (F.col("state_key") == F.col(key)) & (F.col(ts) >= F.col("goal_ts")) & (F.col(ts) <= F.col("goal_ts") + reach)
     both = start.join(actual, meets).drop("state_key")
     t = (F.unix_micros(ts) - F.unix_micros("goal_ts")) / 1e6
-    return errors_of(both.withColumn("t", t).withColumn("desired", arm.interp_at(F.col("points"), F.col("t"))).drop("points", "goal_ts"))
+    points = F.col("_goal.points") if path is None else path(F.col("_goal"))
+    timed = both.withColumns({"t": t, "_points": points})
+    return errors_of(timed.withColumn("desired", arm.interp_at(F.col("_points"), F.col("t"))).drop("_points", "_goal", "goal_ts"))
 
 
 def arbitrate_stream(

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rigtable.functions import arm
 from rigtable.operators import robot as rb
 from rigtable.operators import tracking as tk
 from rigtable.streaming import stateful as st
@@ -145,3 +146,27 @@ def test_every_half_second_of_a_class_opens_a_track(spark, tmp_path):
     ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = queries.QUERIES["T1_track_stream"](spark, str(tmp_path)).collect()
     assert sorted((r.session_id, r.class_name, r.n, r.n_tracks) for r in got) == [("7", "cork", 2, 2), ("7", "pompom", 1, 1)]
+
+
+def test_a_path_is_made_where_a_state_meets_its_goal(spark, tmp_path):
+    goals, states = [[("g1", 0.0)], [("end", 10_000.0)]], [[("g1", 0.25, 0.1), ("g1", 0.5, 0.2)], [("end", 10_000.0, 0.0)]]
+    a = steps(spark, str(tmp_path / "goals"), "goal_id string, s double", goals).withColumns({"start": F.array(F.lit(0.0)), "goal": F.array(F.lit(1.0))})
+    b = steps(spark, str(tmp_path / "states"), "goal_id string, s double, p double", states)
+    b = b.select("goal_id", "ts", F.array("p").alias("position"), F.array(F.lit(0.5)).alias("velocity"))
+    made = lambda goal: arm.resample(goal["start"], goal["goal"], 1.0, 10)
+    out, held = [], []
+    for name, given, path in (("late", a.drop("s"), made), ("early", a.withColumn("points", arm.resample(F.col("start"), F.col("goal"), 1.0, 10)), None)):
+        seen = []
+        got = drain(wn.tracking_error_stream(given, b, 2.0, path=path), str(tmp_path / name), seen=seen)
+        assert "points" not in got.columns and "_goal" not in got.columns
+        out.append(sorted((r.goal_id, r.s, round(r.error[0], 6)) for r in got.select("goal_id", rel(), "error").collect() if r.goal_id != "end"))
+        held.append(max(o["customMetrics"]["stateOnCurrentVersionSizeBytes"] for p in seen[0].recentProgress for o in p["stateOperators"]) if "stateOnCurrentVersionSizeBytes" in seen[0].recentProgress[0]["stateOperators"][0]["customMetrics"] else None)
+    assert out[0] == out[1] == [("g1", 0.25, 0.15), ("g1", 0.5, 0.3)]
+    assert held[0] is None or held[0] < held[1]
+
+
+def test_points_of_a_path_are_made_once_a_row(spark):
+    df = spark.range(20).select(F.array(F.col("id") * 1.0).alias("a"), F.array(F.col("id") * 2.0).alias("b"), (F.col("id") / 20).alias("t"))
+    got = df.select("a", "t", arm.interp_at(arm.resample(F.col("a"), F.col("b"), 1.0, 10), F.col("t")).alias("at"))
+    assert got._jdf.queryExecution().analyzed().toString().count("sequence(0, 10") == 1
+    assert all(abs(r["at"][0] - r["a"][0] * (1 + r["t"])) < 1e-9 for r in got.collect())
