@@ -148,6 +148,20 @@ def test_every_half_second_of_a_class_opens_a_track(spark, tmp_path):
     assert sorted((r.session_id, r.class_name, r.n, r.n_tracks) for r in got) == [("7", "cork", 2, 2), ("7", "pompom", 1, 1)]
 
 
+def test_neighbouring_half_seconds_of_a_class_open_two_tracks(spark, tmp_path):
+    import datetime
+
+    from rigtable.catalog import tracking as queries
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(1, at(0.1), 7, "click"), (2, at(0.6), 7, "click"), (3, at(0.7), 7, "click"), (4, at(1.0), 7, "click")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").selectExpr(
+        "event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "1.5D AS value", "'{\"k\": 3}' AS props"
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["T1_track_stream"](spark, str(tmp_path)).collect()
+    assert [(r.session_id, r.class_name, r.n, r.n_tracks) for r in got] == [("7", "cork", 3, 3)]
+
+
 def test_a_path_is_made_where_a_state_meets_its_goal(spark, tmp_path):
     goals, states = [[("g1", 0.0)], [("end", 10_000.0)]], [[("g1", 0.25, 0.1), ("g1", 0.5, 0.2)], [("end", 10_000.0, 0.0)]]
     a = steps(spark, str(tmp_path / "goals"), "goal_id string, s double", goals).withColumns({"start": F.array(F.lit(0.0)), "goal": F.array(F.lit(1.0))})
