@@ -427,7 +427,8 @@ LEAKS = "leaks AS (SELECT CAST(o_custkey AS VARCHAR) AS stem, count(DISTINCT o_o
 
 
 def yolo_labels(spark, d):
-    reg = classes(spark).select(F.col("name").alias("_n"), "class_id")
+    # The registry is a fixed list; without the hint all shapes are shuffled by name before its size is known.
+    reg = F.broadcast(classes(spark).select(F.col("name").alias("_n"), "class_id"))
     s = shapes(spark, d).withColumn("_n", F.trim("label")).join(reg, "_n", "left").join(images(spark, d).select("stem", "split"), "stem")
     poly = F.transform("points", lambda p: F.struct((p[0] / 60).alias("x"), (p[1] / 45).alias("y")))
     return s.select("split", "stem", "line_no", F.coalesce("class_id", F.lit(9)).alias("class_id"), poly.alias("poly"))
@@ -455,7 +456,7 @@ def _(spark, d):
   FROM (SELECT *, CASE WHEN chk = 'cross' THEN greatest(iou, cont) ELSE iou END AS w FROM issues)) WHERE rank <= 25"""))
 def _(spark, d):
     lab = yolo_labels(spark, d)
-    top = qc.top_offenders(qc.overlap_issues(qc.label_runs(lab, CANVAS)), 25)
+    top = qc.top_offenders(qc.label_issues(lab, CANVAS), 25)
     return top.select("split", "check", "stem", "i", "j", r("weight").alias("weight"), "rank")
 
 

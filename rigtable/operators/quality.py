@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigtable.operators.masks import mask_overlap, raster_areas, rasterize
+from rigtable.operators.masks import mask_overlap, polygon_overlap, raster_areas, rasterize
 
 # The report's default thresholds.
 CANVAS = 512
@@ -32,9 +32,9 @@ def degenerate(labels: DataFrame) -> DataFrame:
     return labels.withColumn("why", defect()).filter(F.col("why").isNotNull())
 
 
-def _on_canvas(labels: DataFrame, canvas: int) -> DataFrame:
+def _on_canvas(labels: DataFrame, canvas: int, carry: Sequence[str] = ()) -> DataFrame:
     pts = F.transform("poly", lambda p: F.array(p["x"] * canvas, p["y"] * canvas))
-    return labels.select("split", "stem", "line_no", "class_id", pts.alias("pts"))
+    return labels.select("split", "stem", "line_no", "class_id", *carry, pts.alias("pts"))
 
 
 def label_runs(labels: DataFrame, canvas: int = CANVAS) -> DataFrame:
@@ -49,15 +49,28 @@ def near_empty(labels: DataFrame, canvas: int = CANVAS, limit: int = EMPTY_AREA)
     return sized.withColumn("area", F.sum("area").over(Window.partitionBy(*keys))).filter(F.col("area") < limit)
 
 
-def overlap_issues(runs: DataFrame) -> DataFrame:
-    """Same-class duplicates and cross-class overlaps with their ``check`` name; runs carry ``class_id``."""
-    image = ["split", "stem"]
-    pairs = mask_overlap(runs, image, "line_no", carry=["class_id"]).withColumnsRenamed({f"class_id_{i}": f"class_{i}" for i in "ij"})
-    same = F.col("class_i") == F.col("class_j")
-    check = F.when(same & ((F.col("iou") >= DUPLICATE_IOU) | (F.col("cont") >= DUPLICATE_CONT)), "duplicate").when(
+def _overlap_check() -> Column:
+    """What is wrong with a pair that carries ``class_id``, or null."""
+    same = F.col("class_id_i") == F.col("class_id_j")
+    return F.when(same & ((F.col("iou") >= DUPLICATE_IOU) | (F.col("cont") >= DUPLICATE_CONT)), "duplicate").when(
         ~same & ((F.col("iou") >= CROSS_IOU) | (F.col("cont") >= CROSS_CONT)), "cross"
     )
-    return pairs.withColumn("check", check).filter(F.col("check").isNotNull())
+
+
+def _with_check(pairs: DataFrame) -> DataFrame:
+    found = pairs.withColumn("check", _overlap_check()).filter(F.col("check").isNotNull())
+    return found.withColumnsRenamed({f"class_id_{i}": f"class_{i}" for i in "ij"})
+
+
+def overlap_issues(runs: DataFrame) -> DataFrame:
+    """Same-class duplicates and cross-class overlaps with their ``check`` name; runs carry ``class_id``."""
+    return _with_check(mask_overlap(runs, ["split", "stem"], "line_no", carry=["class_id"]))
+
+
+def label_issues(labels: DataFrame, canvas: int = CANVAS) -> DataFrame:
+    """``overlap_issues`` of the rasterised labels, which meet as polygons."""
+    pairs = polygon_overlap(_on_canvas(labels, canvas), "pts", canvas, canvas, ["split", "stem"], "line_no", ["class_id"], where=_overlap_check().isNotNull())
+    return _with_check(pairs)
 
 
 def split_leakage(labels: DataFrame, key: str = "stem", split: str = "split") -> DataFrame:
