@@ -81,13 +81,17 @@ def split_leakage(labels: DataFrame, key: str = "stem", split: str = "split") ->
 
 
 def qc_report(labels: DataFrame, canvas: int = CANVAS) -> DataFrame:
-    """Issues per split and check plus the overall verdict row (split null)."""
-    runs = label_runs(labels, canvas)
-    found = (
-        overlap_issues(runs).select("split", "check")
-        .unionByName(degenerate(labels).select("split", F.lit("degenerate").alias("check")))
-        .unionByName(near_empty(labels, canvas).select("split", F.lit("near_empty").alias("check")))
-        .unionByName(split_leakage(labels).select(F.lit("all").alias("split"), F.lit("leakage").alias("check")))
+    """Issues per split and check plus the overall verdict row (split null).
+
+    Overlaps, small and degenerate labels come from one pass over the labels of an image.
+    """
+    marked = _on_canvas(labels.withColumns({"_bad": defect().isNotNull(), "_full": F.size("poly") >= 3}), canvas, ["_bad", "_full"])
+    small = F.col("_full_i") & (F.col("area_i") < EMPTY_AREA)
+    single = F.when(F.col("_bad_i"), "degenerate"), F.when(small, "near_empty")
+    checks = F.array_compact(F.when(F.col("j").isNull(), F.array(*single)).otherwise(F.array(_overlap_check())))
+    met = polygon_overlap(marked, "pts", canvas, canvas, ["split", "stem"], "line_no", ["class_id", "_bad", "_full"], alone=True, where=F.size(checks) > 0)
+    found = met.select("split", F.explode(checks).alias("check")).unionByName(
+        split_leakage(labels).select(F.lit("all").alias("split"), F.lit("leakage").alias("check"))
     )
     counts = found.groupBy("split", "check").agg(F.count("*").alias("n"))
     verdict = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
