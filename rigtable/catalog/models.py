@@ -74,6 +74,11 @@ def _(spark, d):
     return pairs.select("model", named("model", "stem", F.shiftright("pred_id", 1)).alias("pred_id"), named("stem", "truth_id").alias("truth_id"), r("iou").alias("iou"))
 
 
+def pred_name():
+    """A prediction's full name; numbers go through the matching."""
+    return F.concat_ws(":", "model", "stem", "pred_id")
+
+
 EVAL = """claims AS (SELECT pred_id, arg_max(truth_id, (i / (s - i), truth_id)) AS truth_id, max(i / (s - i)) AS iou FROM ov GROUP BY 1),
 steps AS (SELECT (50 + 5 * k) / 100e0 AS step FROM range(10) t(k)),
 sc AS (SELECT p.model, p.class_name, p.pred_id, p.score, truth_id, step, coalesce(round(iou, 12) >= step, FALSE) AS ok FROM preds p LEFT JOIN claims USING (pred_id), steps),
@@ -96,10 +101,8 @@ def _(spark, d):
 
 @query("A22_evaluate_masks")
 def _(spark, d):
-    preds, truth = predictions(spark, d), truth_boxes(spark, d).withColumn("truth_id", F.col("key"))
-    cut = lambda df, key: mk.rasterize(df.select("stem", "class_name", key, "points"), "points", WIDTH, HEIGHT)
-    pairs = md.mask_matches(cut(preds, "pred_id"), cut(truth, "truth_id"), ["stem"])
-    out = md.evaluate(preds, truth, pairs, ["stem"])
+    preds = predictions(spark, d).withColumn("pred_id", F.col("line_no"))
+    out = md.evaluate_masks(preds, truth_boxes(spark, d), "points", WIDTH, HEIGHT, ["stem"], pred_name(), by_text=True)
     return out.select("model", *[r(c, 4).alias(c) for c in ("precision", "recall", "ap50", "ap50_95")])
 
 
