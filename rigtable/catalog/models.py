@@ -93,9 +93,8 @@ ap AS (SELECT model, class_name, step, sum(t * b) / any_value(n) AS ap FROM best
   {rs('(SELECT sum(t) FROM tp WHERE tp.model = ap.model AND step = 5e-1) / (SELECT count(*) FROM truth)', 5)} AS recall, {rs('sum(CASE WHEN step = 5e-1 THEN ap END) / (SELECT count(*) FROM npos)', 5)} AS ap50,
   {rs('sum(ap) / 10 / (SELECT count(*) FROM npos)', 5)} AS ap50_95 FROM ap GROUP BY model"""))
 def _(spark, d):
-    preds, truth = predictions(spark, d), truth_boxes(spark, d).withColumn("truth_id", F.col("key"))
-    pairs = md.box_overlap(preds, truth, ["stem"], 16.0).withColumn("iou", F.round("iou", 12))
-    out = md.evaluate(preds, truth, pairs, ["stem"])
+    preds = predictions(spark, d).withColumn("pred_id", F.col("line_no"))
+    out = md.evaluate_boxes(preds, truth_boxes(spark, d), ["stem"], 16.0, 12, pred_name(), by_text=True)
     return out.select("model", *[r(c, 5).alias(c) for c in ("precision", "recall", "ap50", "ap50_95")])
 
 

@@ -113,14 +113,40 @@ def evaluate(
     return _scores(hits, truth, model, steps)
 
 
-def evaluate_masks(
-    preds: DataFrame, truth: DataFrame, points: str, width: int, height: int, image: Sequence[str], name: Column | str = "pred_id",
+def evaluate_boxes(
+    preds: DataFrame, truth: DataFrame, image: Sequence[str], cell: float = 64.0, digits: int | None = None, name: Column | str = "pred_id",
     by_text: bool = False, model: str = "model", steps: Sequence[float] = IOU_STEPS,
 ) -> DataFrame:
-    """``evaluate`` with the pairs of ``mask_matches`` for masks given as polygons, one a prediction or truth, found and claimed where those of an image and class lie together.
+    """``evaluate`` with the pairs of ``box_overlap``, rounded to ``digits``, found and claimed where the boxes of an image and class lie together.
 
     ``pred_id`` is unique in a model and image and ``truth_id`` in an image; ``by_text`` orders them as text.  ``name`` orders equal scores of a model.
     """
+    box = ["x0", "y0", "x1", "y1"]
+
+    def meet(data: pa.RecordBatch, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+        x0, y0, x1, y1 = (data.column(c).to_numpy(zero_copy_only=False).astype(float) for c in box)
+        w = np.minimum(x1[p], x1[t]) - np.maximum(x0[p], x0[t])
+        h = np.minimum(y1[p], y1[t]) - np.maximum(y0[p], y0[t])
+        some = (w > 0) & (h > 0)
+        p, t, shared = p[some], t[some], (w * h)[some]
+        area = (x1 - x0) * (y1 - y0)
+        iou = shared / (area[p] + area[t] - shared)
+        return p, t, iou if digits is None else np.round(iou, digits)
+
+    def apart(preds: DataFrame, truth: DataFrame) -> DataFrame:
+        pairs = box_overlap(preds, truth, image, cell)
+        return pairs if digits is None else pairs.withColumn("iou", F.round("iou", digits))
+
+    cut = lambda df, *c: df.select(*image, "class_name", *c, *[F.col(b).cast("double").alias(b) for b in box])
+    hits = _matched(cut(preds, model, "pred_id", "score"), cut(truth, "truth_id"), image, meet, apart, by_text, model, steps)
+    return _scores(hits.withColumn("_name", F.col(name) if isinstance(name, str) else name), truth, model, steps)
+
+
+def evaluate_masks(
+    preds: DataFrame, truth: DataFrame, points: str, width: int, height: int, image: Sequence[str], name: Column | str = "pred_id",
+    by_text: bool = False, model: str = "model", steps: Sequence[float] = IOU_STEPS,
+) -> DataFrame:
+    """``evaluate`` with the pairs of ``mask_matches`` for masks given as polygons, one a prediction or truth; see ``evaluate_boxes``."""
 
     def meet(data: pa.RecordBatch, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
         runs = RunTable(*flat_lines(data.column("_xy"), width, height), data.num_rows)

@@ -64,3 +64,16 @@ def test_predictions_are_dealt_once(spark):
     # Both passes over the predictions read one exchange of five narrow columns; before, each step's counts and precisions were shuffled.
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "_tp0" not in plan and plan.count("REPARTITION_BY_COL") >= 1
+
+
+@pytest.mark.parametrize("local", [500, 8])
+def test_boxes_are_claimed_inside_an_image(spark, monkeypatch, local):
+    preds, truth = frames(spark, 7)
+    named = [preds.withColumn("pred_id", F.col("pred_id").cast("string")), truth.withColumn("truth_id", F.col("truth_id").cast("string"))]
+    want = md.evaluate(*named, md.box_overlap(*named, ["image"], 8.0).withColumn("iou", F.round("iou", 12)), ["image"])
+    monkeypatch.setattr(mk, "LOCAL", local)
+    written = []
+    monkeypatch.setattr(md, "staged", lambda df: written.append(settle(df)) or written[-1])
+    near(md.evaluate_boxes(preds, truth, ["image"], 8.0, 12, F.col("pred_id").cast("string"), by_text=True), want)
+    if local == 500:
+        assert [w.count() for w in written] == [152, 0] and written[0].filter("x0 IS NOT NULL").isEmpty()
